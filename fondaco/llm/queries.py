@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fondaco.llm import consensus, nearest, tokens
+from fondaco.llm import consensus, nearest, neardup, tokens
 from fondaco.session import table
 
 _FIELDS = [("model_a", "model_a_label"), ("model_b", "model_b_label"), ("judge_model", "judge_label")]
@@ -26,6 +26,14 @@ def p1_models(spark: SparkSession, sf: str) -> DataFrame:
     return _consensus(spark, sf)[1].select(F.col("annotator").alias("model"), F.round("competence", 6).alias("competence"), "votes")
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return neardup.near_pairs(table(spark, sf, "massime"), "id", "testo_normalizzato", threshold=0.6, width=3)
+
+
+def p2_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return neardup.near_groups(table(spark, sf, "massime"), "id", "testo_normalizzato", threshold=0.6, width=3)
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return nearest.nearest_pairs(table(spark, sf, "normativa_chunk_embeddings"), "id", "model", "dims", "embedding").select("id_a", "id_b")
 
@@ -34,5 +42,5 @@ def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.encode(table(spark, sf, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_consensus": p1_consensus, "p1_models": p1_models, "p7_found": p7_found, "p8_ids": p8_ids}
+QUERIES = {"p1_found": p1_found, "p1_consensus": p1_consensus, "p1_models": p1_models, "p2_found": p2_found, "p2_groups": p2_groups, "p7_found": p7_found, "p8_ids": p8_ids}
 SQL: dict[str, str] = {}
