@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fondaco.llm import consensus, nearest, neardup, tokens
+from fondaco.llm import consensus, nearest, neardup, residue, tokens
 from fondaco.session import table
 
 _FIELDS = [("model_a", "model_a_label"), ("model_b", "model_b_label"), ("judge_model", "judge_label")]
@@ -42,5 +42,14 @@ def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.encode(table(spark, sf, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_consensus": p1_consensus, "p1_models": p1_models, "p2_found": p2_found, "p2_groups": p2_groups, "p7_found": p7_found, "p8_ids": p8_ids}
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return residue.residue(table(spark, sf, "documents"), "doc_id", "text", "source").select(F.col("id").alias("doc_id"))
+
+
+def p10_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    found = residue.residue(table(spark, sf, "documents"), "doc_id", "text", "source")
+    return found.select(F.col("id").alias("doc_id"), F.concat_ws(",", "kinds").alias("kinds"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_consensus": p1_consensus, "p1_models": p1_models, "p2_found": p2_found, "p2_groups": p2_groups, "p7_found": p7_found, "p8_ids": p8_ids, "p10_found": p10_found, "p10_kinds": p10_kinds}
 SQL: dict[str, str] = {}
