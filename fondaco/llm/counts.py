@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -57,3 +58,20 @@ def mix(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(27))
     h = h * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))
+
+
+_word_hashes: dict[str, int] = {}
+
+
+def hash_words(words: list[str]) -> np.ndarray:
+    """A 64-bit hash of each word, the same in every process; hashes of words met before are kept, up to a bound."""
+    known = _word_hashes
+    if len(known) > 2_000_000:
+        known.clear()
+    out = []
+    for w in words:
+        h = known.get(w)
+        if h is None:
+            h = known[w] = int.from_bytes(blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        out.append(h)
+    return np.array(out, np.uint64)

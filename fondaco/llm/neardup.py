@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from fondaco.llm.counts import hashed_counts, mix
+from fondaco.llm.counts import hash_words, hashed_counts, mix
 from fondaco.session import materialise, tasks_of
 
 WORDS = re.compile(r"[^\W_]+")
@@ -43,30 +43,12 @@ PAIRS_AT_ONCE = 1_000_000
 TOKENS_A_PARTITION = 4_000_000
 BITS = 256
 
-_word_hashes: dict[str, int] = {}
-
-
-def _hash_words(words: list[str]) -> np.ndarray:
-    from hashlib import blake2b
-
-    known = _word_hashes
-    if len(known) > 2_000_000:
-        known.clear()
-    out = []
-    for w in words:
-        h = known.get(w)
-        if h is None:
-            h = known[w] = int.from_bytes(blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-        out.append(h)
-    return np.array(out, np.uint64)
-
-
 def shingles(text: str | None, width: int) -> np.ndarray:
     """The sorted set of 64-bit hashes of the text's shingles."""
     words = WORDS.findall(text.lower()) if text else []
     if len(words) < width:
         return np.zeros(0, np.uint64)
-    w = _hash_words(words)
+    w = hash_words(words)
     n = len(w) - width + 1
     h = w[:n].copy()
     for i in range(1, width):
