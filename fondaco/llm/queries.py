@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fondaco.llm import consensus, nearest, neardup, residue, scans, tokens
+from fondaco.llm import consensus, linkage, nearest, neardup, residue, scans, tokens
 from fondaco.session import table
 
 _FIELDS = [("model_a", "model_a_label"), ("model_b", "model_b_label"), ("judge_model", "judge_label")]
@@ -42,6 +42,18 @@ def p4_texts(spark: SparkSession, sf: str) -> DataFrame:
     return scans.repair(table(spark, sf, "massime"), "id", "testo").select("id", "text")
 
 
+def _links(spark: SparkSession, sf: str) -> DataFrame:
+    return linkage.link(*(table(spark, sf, t) for t in ("normativa_altalex", "normativa", "work")))
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _links(spark, sf).select(F.col("left_id").alias("altalex_id"), F.col("right_id").alias("normativa_id"))
+
+
+def p5_confidence(spark: SparkSession, sf: str) -> DataFrame:
+    return _links(spark, sf).select(F.col("left_id").alias("altalex_id"), F.col("right_id").alias("brocardi_match_id"), F.round("confidence", 4).alias("brocardi_similarity"))
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return nearest.nearest_pairs(table(spark, sf, "normativa_chunk_embeddings"), "id", "model", "dims", "embedding").select("id_a", "id_b")
 
@@ -59,5 +71,5 @@ def p10_kinds(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.concat_ws(",", "kinds").alias("kinds"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_consensus": p1_consensus, "p1_models": p1_models, "p2_found": p2_found, "p2_groups": p2_groups, "p4_found": p4_found, "p4_texts": p4_texts, "p7_found": p7_found, "p8_ids": p8_ids, "p10_found": p10_found, "p10_kinds": p10_kinds}
+QUERIES = {"p1_found": p1_found, "p1_consensus": p1_consensus, "p1_models": p1_models, "p2_found": p2_found, "p2_groups": p2_groups, "p4_found": p4_found, "p4_texts": p4_texts, "p5_found": p5_found, "p5_confidence": p5_confidence, "p7_found": p7_found, "p8_ids": p8_ids, "p10_found": p10_found, "p10_kinds": p10_kinds}
 SQL: dict[str, str] = {}
