@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fondaco.llm import consensus, linkage, nearest, neardup, residue, scans, tokens
+from fondaco.llm import consensus, linkage, nearest, neardup, packing, residue, scans, tokens
 from fondaco.session import table
 
 _FIELDS = [("model_a", "model_a_label"), ("model_b", "model_b_label"), ("judge_model", "judge_label")]
@@ -62,6 +62,16 @@ def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.encode(table(spark, sf, "documents"))
 
 
+def p9_containers(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.containers(table(spark, sf, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+def p9_fill(spark: SparkSession, sf: str) -> DataFrame:
+    """Containers and the share of their room that is filled."""
+    filled = packing.containers(table(spark, sf, "documents"), "doc_id", "text").where("container is not null")
+    return filled.agg(F.countDistinct("container").alias("containers"), F.round(F.sum("n_tokens") / (4096 * F.countDistinct("container")), 4).alias("filled"))
+
+
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return residue.residue(table(spark, sf, "documents"), "doc_id", "text", "source").select(F.col("id").alias("doc_id"))
 
@@ -71,5 +81,5 @@ def p10_kinds(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.concat_ws(",", "kinds").alias("kinds"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_consensus": p1_consensus, "p1_models": p1_models, "p2_found": p2_found, "p2_groups": p2_groups, "p4_found": p4_found, "p4_texts": p4_texts, "p5_found": p5_found, "p5_confidence": p5_confidence, "p7_found": p7_found, "p8_ids": p8_ids, "p10_found": p10_found, "p10_kinds": p10_kinds}
+QUERIES = {"p1_found": p1_found, "p1_consensus": p1_consensus, "p1_models": p1_models, "p2_found": p2_found, "p2_groups": p2_groups, "p4_found": p4_found, "p4_texts": p4_texts, "p5_found": p5_found, "p5_confidence": p5_confidence, "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill, "p10_found": p10_found, "p10_kinds": p10_kinds}
 SQL: dict[str, str] = {}
