@@ -60,9 +60,21 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def mix_one(h: int) -> int:
+    """mix for one number."""
+    h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF
+    h = (h ^ h >> 27) * 0x94D049BB133111EB & 0xFFFFFFFFFFFFFFFF
+    return h ^ h >> 31
+
+
 _word_hashes: dict[str, int] = {}
 
 
+def hash_word(w: str) -> int:
+    h = _word_hashes.get(w)
+    return int(hash_words([w])[0]) if h is None else h
+
+
 def hash_words(words: list[str]) -> np.ndarray:
     """A 64-bit hash of each word, the same in every process; hashes of words met before are kept, up to a bound."""
     known = _word_hashes
