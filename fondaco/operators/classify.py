@@ -18,7 +18,7 @@ def nearest_centroid(rows: DataFrame, key: str, vector: str, centers: DataFrame,
 
     There are as many centroids as labels, a configured set; each row meets all of them.
     """
-    scored = rows.select(key, vector).join(F.broadcast(centers)).select(key, label, sim.cosine(F.col(vector), F.col("centroid")).alias("score"))
+    scored = rows.select(key, vector).join(F.broadcast(centers)).select(key, label, F.round(sim.cosine(F.col(vector), F.col("centroid")), 6).alias("score"))
     best = Window.partitionBy(key).orderBy(F.desc("score"), label)
     top = scored.withColumn("_n", F.row_number().over(best)).where("_n <= 2")
     first, second = F.max(F.when(F.col("_n") == 1, F.col("score"))), F.max(F.when(F.col("_n") == 2, F.col("score")))
