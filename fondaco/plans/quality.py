@@ -197,9 +197,9 @@ def by_centroid(spark, sf):
     return cl.nearest_centroid(e, "vec_id", "embedding", cl.centroids(e, "label", "embedding"), "label")
 
 
-@op(f"{CENTROID} SELECT vec_id, max(label) FILTER (WHERE n = 1) AS label, round(max(score) FILTER (WHERE n = 1), 4) AS score, round(max(score) FILTER (WHERE n = 1) - max(score) FILTER (WHERE n = 2), 4) AS delta FROM r WHERE n <= 2 GROUP BY vec_id")
+@op(f"{CENTROID} SELECT vec_id, max(label) FILTER (WHERE n = 1) AS label, round(max(score) FILTER (WHERE n = 1), 3) AS score, round(max(score) FILTER (WHERE n = 1) - max(score) FILTER (WHERE n = 2), 3) AS delta FROM r WHERE n <= 2 GROUP BY vec_id")
 def classify_centroid(spark, sf):
-    return by_centroid(spark, sf).select("vec_id", "label", F.round("score", 4).alias("score"), F.round("delta", 4).alias("delta"))
+    return by_centroid(spark, sf).select("vec_id", "label", F.round("score", 3).alias("score"), F.round("delta", 3).alias("delta"))
 
 
 NATURA = {"PROCESSUALE": ["competenza", "termine", "decadenza", "notifica", "impugnazione", "ricorso", "appello", "cassazione", "nullità", "procedimento"], "SOSTANZIALE": ["responsabilità", "danno", "inadempimento", "contratto", "diritto", "obbligo", "colpa", "dolo", "proprietà", "risarcimento"]}
