@@ -30,7 +30,7 @@ def number():
     return F.regexp_extract("articolo", r"(\d+(?:[-\s]?(?:bis|ter|quater|quinquies))?)", 1)
 
 
-_READ = "SELECT id::VARCHAR AS name, regexp_extract(articolo, '(\\d+(?:[-\\s]?(?:bis|ter|quater|quinquies))?)', 1) AS articolo, rubrica, trim(testo) AS testo, regexp_extract(libro, '([IVXLC]+)$', 1) AS libro FROM normativa WHERE libro IS NOT NULL"
+_READ = "SELECT id::VARCHAR AS name, regexp_extract(articolo, '(\\d+(?:[-\\s]?(?:bis|ter|quater|quinquies))?)', 1) AS articolo, rubrica, regexp_replace(testo, '^\\s+|\\s+$', '', 'g') AS testo, regexp_extract(libro, '([IVXLC]+)$', 1) AS libro FROM normativa WHERE libro IS NOT NULL"
 
 
 @op(_READ)

@@ -40,7 +40,7 @@ def markdown_articles(files: DataFrame) -> DataFrame:
     lines = lines.withColumn("_no", F.sum(F.when(F.col("_art").isNotNull() | F.col("_head"), 1).otherwise(0)).over(by))
     first = F.min(F.when(F.col("_art").isNotNull(), F.struct("n", "_art", "_rub", *[f"at_{k}" for k in head])))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_art").isNull() & ~F.col("_head"), F.struct("n", "line")))), lambda s: s.line), "\n")
-    told = lines.groupBy("name", "_no").agg(first.alias("f"), F.trim(body).alias("testo")).where("f is not null")
+    told = lines.groupBy("name", "_no").agg(first.alias("f"), F.regexp_replace(body, r"^\s+|\s+$", "").alias("testo")).where("f is not null")
     return told.select("name", F.col("f._art").alias("articolo"), F.nullif(F.trim("f._rub"), F.lit("")).alias("rubrica"), "testo", *[F.col(f"f.at_{k}").alias(k) for k in head])
 
 
