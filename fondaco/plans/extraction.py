@@ -218,15 +218,15 @@ def section_parse(spark, sf):
 
 def edges(spark, sf):
     li = table(spark, sf, "lineitem")
-    return li.groupBy((-F.col("l_suppkey")).alias("source"), F.col("l_partkey").alias("target")).agg(F.round(F.max("l_discount") * 10, 4).alias("weight"))
+    return li.groupBy((-1 - F.col("l_suppkey")).alias("source"), F.col("l_partkey").alias("target")).agg(F.round(F.max("l_discount") * 10, 4).alias("weight"))
 
 
 def seeds(spark, sf):
-    return table(spark, sf, "supplier").where("s_suppkey % 50 = 0").select((-F.col("s_suppkey")).alias("id"))
+    return table(spark, sf, "supplier").where("s_suppkey % 50 = 0").select((-1 - F.col("s_suppkey")).alias("id"))
 
 
-E = "e AS (SELECT -l_suppkey AS source, l_partkey AS target, round(max(l_discount) * 10, 4) AS weight FROM lineitem GROUP BY 1, 2)"
-S = "s AS (SELECT -s_suppkey AS id FROM supplier WHERE s_suppkey % 50 = 0)"
+E = "e AS (SELECT -1 - l_suppkey AS source, l_partkey AS target, round(max(l_discount) * 10, 4) AS weight FROM lineitem GROUP BY 1, 2)"
+S = "s AS (SELECT -1 - s_suppkey AS id FROM supplier WHERE s_suppkey % 50 = 0)"
 B = "b AS (SELECT source, target, weight FROM e UNION ALL SELECT target, source, weight FROM e)"
 
 
