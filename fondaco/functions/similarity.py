@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import md5
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+#: Hashes of character grams that a task keeps; short grams recur all the time.
+KEPT_GRAMS = 1_000_000
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -66,6 +74,38 @@ def simhash(rows: DataFrame, id_column: str, features: Column, high: bool = True
     return votes.select(id_column, total.alias("fingerprint"))
 
 
+def _gram_votes(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for batch in batches:
+            out = []
+            for text in batch.column("text").to_pylist():
+                hashes = []
+                for i in range(len(text) - n + 1):
+                    g = text[i : i + n]
+                    h = known.get(g)
+                    if h is None:
+                        h = known[g] = int.from_bytes(md5(g.encode()).digest()[:8], "big")
+                    hashes.append(h)
+                bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+                out.append(int(np.packbits(2 * bits > len(hashes), bitorder="little").view("<i8")[0]))
+                if len(known) > KEPT_GRAMS:
+                    known.clear()
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.int64())], names=["id", "fingerprint"])
+
+    return run
+
+
+def simhash_characters(rows: DataFrame, n: int = 3) -> DataFrame:
+    """(id, fingerprint) of (id, text): signed 64-bit simhash over all runs of n characters, by the high half of their md5.
+
+    Runs in Arrow batches: md5 is taken once for each different run that a task meets, where the JVM would take it for every
+    occurrence. Null texts and those of fewer than n characters have no fingerprint.
+    """
+    told = rows.where(F.length("text") >= n).select(F.col("id").cast("long").alias("id"), "text")
+    return told.mapInArrow(_gram_votes(n), "id long, fingerprint long")
+
+
 def hamming(a: Column, b: Column) -> Column:
     """Bits that differ; 64 where one is null."""
     return F.coalesce(F.bit_count(a.bitwiseXOR(b)).cast("int"), F.lit(64))

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fondaco.functions import similarity as sim
 
+#: Labels that centroids are made for; more are refused, as every row meets every centroid.
+LABELS = 1_000
+
 
 def centroids(rows: DataFrame, label: str, vector: str) -> DataFrame:
     """(label, centroid): mean vector by label, averaged position by position with partial sums."""
@@ -16,8 +19,10 @@ def centroids(rows: DataFrame, label: str, vector: str) -> DataFrame:
 def nearest_centroid(rows: DataFrame, key: str, vector: str, centers: DataFrame, label: str) -> DataFrame:
     """(key, label, score, delta): the best centroid by cosine and its lead over the second.
 
-    There are as many centroids as labels, a configured set; each row meets all of them.
+    There are as many centroids as labels, a configured set of LABELS at most; each row meets all of them.
     """
+    if centers.limit(LABELS + 1).count() > LABELS:
+        raise ValueError(f"more than {LABELS} labels")
     scored = rows.select(key, vector).join(F.broadcast(centers)).select(key, label, F.round(sim.cosine(F.col(vector), F.col("centroid")), 6).alias("score"))
     best = Window.partitionBy(key).orderBy(F.desc("score"), label)
     top = scored.withColumn("_n", F.row_number().over(best)).where("_n <= 2")

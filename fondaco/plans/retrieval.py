@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from fondaco.functions import text as tx
 from fondaco.operators import relational as rel, retrieval as ret
 from fondaco.plans.texts import sql_trigrams, sql_words
-from fondaco.session import table
+from fondaco.session import materialise, table
 
 QUERIES, SQL = {}, {}
 
@@ -171,7 +171,7 @@ def hybrid(spark, sf) -> DataFrame:
     LEFT JOIN dense d ON h.query_id = d.query_id AND h.id = d.id LEFT JOIN sparse s ON h.query_id = s.query_id AND h.id = s.id LEFT JOIN trgm t ON h.query_id = t.query_id AND h.id = t.id""")
 def hybrid_search(spark, sf):
     """The flagship: three searches, fused by rank, with the rank of each."""
-    parts = lists(spark, sf)
+    parts = [materialise(x, "ranked") for x in lists(spark, sf)]  # each is read twice
     out = ret.rrf(parts, 20)
     for name, part in zip(("dense_rank", "sparse_rank", "trgm_rank"), parts):
         out = out.join(part.select("query_id", "id", F.col("rank").alias(name)), ["query_id", "id"], "left")

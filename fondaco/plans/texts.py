@@ -144,8 +144,7 @@ SQL["header_footer_test"] = rf"""
 
 
 def simhash64_chars(spark: SparkSession, sf: str) -> DataFrame:
-    normal = table(spark, sf, "massime").select("id", tx.normalize_for_hash(F.col("testo")).alias("t")).where(F.length("t") >= 3)
-    return sim.simhash(normal, "id", F.transform(F.sequence(F.lit(1), F.length("t") - 2), lambda i: F.substring("t", i, 3)))
+    return sim.simhash_characters(table(spark, sf, "massime").select("id", tx.normalize_for_hash(F.col("testo")).alias("text")))
 
 
 def simhash_words(spark: SparkSession, sf: str) -> DataFrame:
