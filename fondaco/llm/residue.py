@@ -78,8 +78,8 @@ VARIABLE = r"[\p{L}_][\p{L}\p{N}_.]*"
 PLACEHOLDERS = [
     r"\{\{+\s*[^{}\n]{1,60}\}?", rf"[$#]\{{\s*{VARIABLE}", rf"\$\(\s*{VARIABLE}\s*\)", rf"<%=?\s*{VARIABLE}", rf"\{{%\s*{VARIABLE}", rf"\{{{VARIABLE}\}}",
     rf"\[\[\s*{VARIABLE}", r"\[\s*(?:INSERIRE|inserire|Inserire|INSERT|insert|TODO|FIXME|XXX)\b", r"\[[^\[\]\n]{1,60} da (?:completare|inserire|definire|compilare)\]",
-    rf"##{VARIABLE}##", rf"@@{VARIABLE}@@", rf"%%{VARIABLE}%%", r"(?<![\p{L}\p{N}_])__[\p{L}][\p{L}\p{N}_.]*__", r"(?<![\p{L}\p{N}%])%[sd](?![\p{L}\p{N}])",
-    r"_{3,}", r"€ ?\.{4,}", r"(?<!\.)\.{6,}", r"(?<![\p{L}\p{N}])X{3,}/\d{0,2}X", r"(?:^|[\s(])(?:TODO|FIXME)(?:[\s:]|$)",
+    r"(?<!\p{L})DA (?:COMPLETARE|INSERIRE|DEFINIRE|COMPILARE)(?!\p{L})", r"(?<!\p{L})(?:gg|GG|dd|DD)/(?:mm|MM)/(?:a{2,4}|A{2,4}|y{2,4}|Y{2,4})(?!\p{L})", rf"##{VARIABLE}##", rf"@@{VARIABLE}@@", rf"%%{VARIABLE}%%", r"(?<![\p{L}\p{N}_])__[\p{L}][\p{L}\p{N}_.]*__", r"(?<![\p{L}\p{N}%])%[sd](?![\p{L}\p{N}])",
+    r"_{3,}", r"€ ?\.{4,}", r"(?<!\.)\.{6,}", r"(?<![\p{L}\p{N}])X{3,}/\d{0,2}X", r"(?<![\p{L}\p{N}])XX/XX/\d{0,2}XX", r"(?:^|[\s(\[])(?:TODO|FIXME|TBD)(?:[\s:.,;)\]]|$)",
     rf"\[(?!(?:omissis|sic|ndr|nda|NDR|OMISSIS)\]){VARIABLE}\]", rf"(?<!<)<(?!/|omissis|OMISSIS|noscript|(?:a|b|i|u|p|br|hr|em|h[1-6]|li|ul|ol|td|tr|div|sub|sup|span|strong|table)\b){VARIABLE}(?: {VARIABLE})?>",
     rf"&(?!(?:amp|lt|gt|quot|apos|nbsp|laquo|raquo|euro|sect|deg|hellip|[mn]dash|[aeiouAEIOU](?:grave|acute|circ|uml)|ccedil|szlig|#?\p{{N}}+);){VARIABLE};",
 ]
@@ -90,7 +90,8 @@ DUMMY_WORDS = (
 FILLERS = [
     rf"(?:(?<![\p{{L}}\p{{N}}])(?:{DUMMY_WORDS})[\s,.;]+){{5,}}",
     r"(?:(?<![\p{L}\p{N}])x{2,}[\s,.;]+){4,}",
-    r"(?:(?<![\p{L}\p{N}])(?:asdf|qwerty|qwertz|foo|bar|bla|test|prova|blah)[\s,.;]+){4,}",
+    r"(?:(?<![\p{L}\p{N}])(?:foo|bar|bla|test|prova|blah)[\s,.;]+){4,}",
+    r"(?:(?<![\p{L}\p{N}])(?:asdf|qwert[yz])[\s,.;]+){2,}",
     r"(?:inserire|scrivere|incollare) qui il ",
     r"testo (?:segnaposto|di prova|provvisorio|non ancora disponibile)",
     r"contenuto (?:provvisorio|mancante|in preparazione|in arrivo)",
@@ -111,9 +112,11 @@ def line_key(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(line, r"\d+", "#"), r"[\s ​]+", " "))
 
 
+#: One word three times in a row.
+ONE_WORD = r"(?iu)(?<![\p{L}\p{N}])(\p{L}{3,})(?:\s+\1){2,}(?![\p{L}\p{N}])"
 #: What a line must hold for the costly patterns to be tried on it.
-MAY_HOLD_PLACEHOLDER = r"[{\[<$#@%_&]|€|[.]{6}|XXX|TODO|FIXME"
-MAY_BE_FILLER = r"(?iu)ipsum|dolor|lorem|veniam|nostrud|xx|asdf|qwert|foo|blah|prova|qui il |segnaposto|provvisori|disponibile|mancante|in preparazione|in arrivo|da sostituire|placeholder|dummy"
+MAY_HOLD_PLACEHOLDER = r"[{\[<$#@%_&]|€|[.]{6}|XXX|XX/|TODO|FIXME|TBD|DA [CDI]|(?i:mm/[ay])"
+MAY_BE_FILLER = r"(?iu)ipsum|dolor|lorem|veniam|nostrud|xx|asdf|qwert|foo|blah|prova|qui il |segnaposto|provvisori|disponibile|mancante|in preparazione|in arrivo|da sostituire|da completare|da inserire|da definire|placeholder|dummy"
 
 
 def evidence(said: Column) -> Column:
@@ -126,6 +129,7 @@ def evidence(said: Column) -> Column:
         F.when(said.rlike(start + _any(ERROR_LINES)), "error")
         .when(said.rlike(start + _any(SCRIPT_LINES)), "script")
         .when(said.rlike(MAY_HOLD_PLACEHOLDER) & said.rlike(_any(PLACEHOLDERS)), "placeholder")
+        .when(said.rlike(ONE_WORD), "filler")
         .when((said.rlike(MAY_BE_FILLER) & F.concat(said, F.lit(" ")).rlike("(?iu)" + _any(FILLERS))) | repeated, "filler")
     )
 
