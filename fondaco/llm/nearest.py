@@ -28,10 +28,10 @@ from fondaco.session import materialise
 SAMPLE = 20_000
 CENTROIDS = 32_768
 LIST_SIZE = 400
-LISTS = 6
-RATIO = 0.22
+LISTS = 8
+RATIO = 0.3
 DEGREE = 16
-BEAM = 12
+BEAM = 24
 BLOCK = 3_000
 
 
@@ -86,9 +86,22 @@ class CentroidGraph:
             d[np.arange(len(d)), np.arange(at, at + len(d))] = np.inf
             if degree:
                 links[at : at + 1024] = np.argpartition(d, degree - 1, axis=1)[:, :degree]
-        # A ring keeps the graph connected.
-        self.links = np.concatenate([links, ((np.arange(n) + 1) % n)[:, None].astype(np.int32)], axis=1)
-        self.entries = np.unique(np.linspace(0, n - 1, min(n, max(16, int(2 * np.sqrt(n))))).astype(np.int64))
+        # A ring keeps the graph connected; a few far links make it a small world.
+        far = np.random.default_rng(13).integers(0, n, (n, 4)).astype(np.int32)
+        every = np.sort(np.concatenate([links, far, ((np.arange(n) + 1) % n)[:, None].astype(np.int32)], axis=1), axis=1)
+        # A link that recurs becomes a link to the node itself, which a search has always met already.
+        again = np.concatenate([np.zeros((n, 1), bool), every[:, 1:] == every[:, :-1]], axis=1)
+        self.links = np.where(again, np.arange(n, dtype=np.int32)[:, None], every)
+        self.entries = self._spread(min(n, max(32, int(4 * np.sqrt(n)))))
+
+    def _spread(self, count: int) -> np.ndarray:
+        """Entries far from one another: each next one is the centroid farthest from those before."""
+        chosen = [0]
+        least = ((self.c - self.c[0]) ** 2).sum(1)
+        while len(chosen) < count:
+            chosen.append(int(least.argmax()))
+            least = np.minimum(least, ((self.c - self.c[chosen[-1]]) ** 2).sum(1))
+        return np.array(chosen, np.int64)
 
     def search(self, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and squared distances of about the k nearest centroids of each row, nearest first."""
@@ -99,7 +112,7 @@ class CentroidGraph:
         near = np.argpartition(first, take - 1, axis=1)[:, :take]
         ids, dist = self.entries[near], np.take_along_axis(first, near, 1)
         open_ = np.ones(ids.shape, bool)
-        for _ in range(12):
+        for _ in range(32):
             # Expand the best unexpanded node of each query.
             best = np.where(open_, dist, np.inf).argmin(1)
             row = np.arange(len(x))
