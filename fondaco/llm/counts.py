@@ -80,10 +80,6 @@ def hash_words(words: list[str]) -> np.ndarray:
     known = _word_hashes
     if len(known) > 2_000_000:
         known.clear()
-    out = []
-    for w in words:
-        h = known.get(w)
-        if h is None:
-            h = known[w] = int.from_bytes(blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-        out.append(h)
-    return np.array(out, np.uint64)
+    for w in set(words).difference(known):
+        known[w] = int.from_bytes(blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))

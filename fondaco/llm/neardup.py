@@ -56,6 +56,33 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     return np.unique(mix(h))
 
 
+def sets_of(texts: list[str | None], width: int) -> list[np.ndarray]:
+    """shingles of each text of a batch, hashed and sorted together."""
+    words: list[str] = []
+    lengths = []
+    for t in texts:
+        w = WORDS.findall(t.lower()) if t else []
+        words += w
+        lengths.append(len(w))
+    ends = np.cumsum(lengths)
+    n = len(words) - width + 1
+    if n < 1:
+        return [np.zeros(0, np.uint64)] * len(texts)
+    w = hash_words(words)
+    h = w[:n].copy()
+    for i in range(1, width):
+        h = mix(h) + w[i : i + n]
+    h = mix(h)
+    record = np.repeat(np.arange(len(texts)), lengths)[:n]
+    inside = np.arange(n) + width <= ends[record]
+    h, record = h[inside], record[inside]
+    order = np.lexsort((h, record))
+    h, record = h[order], record[order]
+    new = np.r_[True, (h[1:] != h[:-1]) | (record[1:] != record[:-1])][: len(h)]
+    h, record = h[new], record[new]
+    return np.split(h, np.cumsum(np.bincount(record, minlength=len(texts)))[:-1])
+
+
 def least_overlap(a, b, t: float):
     """Common tokens that sets of a and b tokens need for similarity t."""
     return np.ceil(t / (1 + t) * (a + b) - 1e-9)
@@ -80,8 +107,8 @@ def _keys(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts, keys = [], [], []
-            for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
-                s = shingles(text, width)
+            given = batch.column("text").to_pylist()
+            for i, text, s in zip(batch.column("id").to_pylist(), given, sets_of(given, width)):
                 if len(s):
                     with np.errstate(over="ignore"):
                         low = int(mix(s * np.uint64(3)).sum(dtype=np.uint64)) & (2**64 - 1)
@@ -95,9 +122,8 @@ def _keys(width: int):
 
 def _all_tokens(width: int):
     def hashes(batch: pa.RecordBatch):
-        sets = [shingles(t, width) for t in batch.column("text").to_pylist()]
-        if sets:
-            yield np.concatenate(sets)
+        if batch.num_rows:
+            yield np.concatenate(sets_of(batch.column("text").to_pylist(), width))
 
     return hashes
 
@@ -114,8 +140,7 @@ def _poster(counts, width: int, t: float, parts: int):
         count = counts.value
         for batch in batches:
             out: dict[int, list[tuple]] = {}
-            for rec, text in zip(batch.column("rec").to_pylist(), batch.column("text").to_pylist()):
-                s = shingles(text, width)
+            for rec, s in zip(batch.column("rec").to_pylist(), sets_of(batch.column("text").to_pylist(), width)):
                 prefix = ordered(s, count, 1)[: prefix_length(len(s), t)]
                 often = count[(prefix % np.uint64(len(count))).astype(np.int64)]
                 place = np.flatnonzero(often > 1)  # a token counted once is in this record alone
