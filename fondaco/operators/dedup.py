@@ -34,3 +34,24 @@ def fingerprint_pairs(rows: DataFrame, key: str, fingerprint: str, most: int) ->
 def overlap_kind(same: Column, similarity: Column) -> Column:
     """exact, format_diff (> 0.95), content_diff (> 0.80), else mismatch."""
     return F.when(same, "exact").when(similarity > 0.95, "format_diff").when(similarity > 0.80, "content_diff").otherwise("mismatch")
+
+
+def jaccard_pairs(rows: DataFrame, key: str, tokens: Column, threshold: float) -> DataFrame:
+    """(a, b, similarity): pairs of different token sets with Jaccard similarity of ``threshold`` or more; a and b are the smallest keys of their sets.
+
+    Equal sets are one class. Sets meet on the tokens of their prefix, rarest first, which any such pair must share; a pair
+    that shares several is verified once.
+    """
+    sets = rows.select(F.col(key).alias("_k"), F.array_sort(F.array_distinct(tokens)).alias("_t")).where(F.size("_t") > 0)
+    classes = sets.groupBy("_t").agg(F.min("_k").alias("_k"))
+    spread = classes.select("_k", F.size("_t").alias("_n"), F.explode("_t").alias("_w"))
+    counts = spread.groupBy("_w").agg(F.count("*").alias("_c"))
+    # The prefix of each set, gathered again: as long as the set, whatever the corpus.
+    ordered = spread.join(counts, "_w").groupBy("_k", "_n").agg(F.array_sort(F.collect_list(F.struct("_c", "_w"))).alias("_o"))
+    prefix = ordered.select("_k", "_n", F.explode(F.slice("_o", F.lit(1), (F.col("_n") - F.ceil(F.col("_n") * threshold - 1e-9) + 1).cast("int"))).alias("p"))
+    left = prefix.where("p._c > 1").select("_k", "_n", F.col("p._w").alias("_w"))
+    right = left.select(F.col("_k").alias("_k2"), F.col("_n").alias("_n2"), "_w")
+    near = left.join(right, "_w").where("_k < _k2").where(F.least("_n", "_n2") >= F.greatest("_n", "_n2") * threshold - 1e-9).select("_k", "_k2").distinct()
+    other = classes.select(F.col("_k").alias("_k2"), F.col("_t").alias("_t2"))
+    told = near.join(classes, "_k").join(other, "_k2").withColumn("similarity", sim.jaccard(F.col("_t"), F.col("_t2")))
+    return told.where(F.col("similarity") >= threshold - 1e-12).select(F.col("_k").alias("a"), F.col("_k2").alias("b"), F.round("similarity", 6).alias("similarity"))

@@ -168,3 +168,46 @@ def write_jsonl(rows: DataFrame, path: str) -> None:
 
 def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
+def binary_files(spark: SparkSession, path: str) -> DataFrame:
+    """(name, content) of binary files, for a parser of their format."""
+    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("name"), "content")
+
+
+def parsed_elements(files: DataFrame, parse) -> DataFrame:
+    """(name, n, kind, text, page) of files by a parser: a function from bytes to (kind, text, page) rows.
+
+    The engine brings no PDF parser; any that runs on the executors fits. A file the parser fails on has no elements.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist()):
+                try:
+                    rows += [(name, n, *e) for n, e in enumerate(parse(content))]
+                except Exception:
+                    continue
+            cols = list(zip(*rows)) or [[]] * 5
+            kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["name", "n", "kind", "text", "page"])
+
+    return files.select("name", "content").mapInArrow(run, "name string, n int, kind string, text string, page int")
+
+
+def landing_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows that a fetcher left as lines of JSON; the schema is given, never guessed, and bad lines come out as nulls."""
+    return spark.read.schema(schema).json(path)
+
+
+def with_cached_vectors(texts: DataFrame, cache: DataFrame, embed=None, dims: int = 0) -> DataFrame:
+    """(key, digest, vec) of (key, text): vectors by the hash of the text, from the cache or, for new texts, from ``embed``.
+
+    ``embed`` is a Pandas function column -> array<float>; without one new texts come out with a null vector, to be fetched.
+    """
+    keyed = texts.select("key", F.sha2("text", 256).alias("digest"), "text")
+    known = keyed.join(cache.select("digest", "vec"), "digest", "left")
+    new = F.lit(None).cast("array<float>") if embed is None else F.when(F.col("vec").isNull(), embed(F.col("text")))
+    vec = F.coalesce("vec", new)
+    return known.select("key", "digest", (vec if not dims else F.when(F.size(vec) == dims, vec)).alias("vec"))
