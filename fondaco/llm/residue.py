@@ -39,7 +39,7 @@ ERROR_LINES = [
     rf"(?:http(?:/\d(?:\.\d)?)?\s+)?[45]\d\d\s*[-:–]?\s*(?:{STATUS})\b",
     r"http(?:/\d(?:\.\d)?)?\s+[45]\d\d\s*$",
     r"id richiesta\s*:",
-    rf"(?:<[a-z][^>]*>\s*)+(?:[45]\d\d\s*)?(?:{STATUS})\b",
+    rf"(?:<[a-z][^>]*>\s*){{1,9}}(?:[45]\d\d\s*)?(?:{STATUS})\b",
     r"\{\s*\"?(?:errors?|status|code|message)\"?\s*:",
     r"traceback \(most recent call last\)",
     r"\w+(?:error|exception): ",
@@ -88,10 +88,10 @@ DUMMY_WORDS = (
     "nostrud|exercitation|ullamco|laboris|nisi|aliquip|ex|ea|commodo|consequat"
 )
 FILLERS = [
-    rf"(?:(?<![\p{{L}}\p{{N}}])(?:{DUMMY_WORDS})[\s,.;]+){{5,}}",
-    r"(?:(?<![\p{L}\p{N}])x{2,}[\s,.;]+){4,}",
-    r"(?:(?<![\p{L}\p{N}])(?:foo|bar|bla|test|prova|blah)[\s,.;]+){4,}",
-    r"(?:(?<![\p{L}\p{N}])(?:asdf|qwert[yz])[\s,.;]+){2,}",
+    rf"(?:(?<![\p{{L}}\p{{N}}])(?:{DUMMY_WORDS})[\s,.;]+){{5}}",
+    r"(?:(?<![\p{L}\p{N}])x{2,}[\s,.;]+){4}",
+    r"(?:(?<![\p{L}\p{N}])(?:foo|bar|bla|test|prova|blah)[\s,.;]+){4}",
+    r"(?:(?<![\p{L}\p{N}])(?:asdf|qwert[yz])[\s,.;]+){2}",
     r"(?:inserire|scrivere|incollare) qui il ",
     r"testo (?:segnaposto|di prova|provvisorio|non ancora disponibile)",
     r"contenuto (?:provvisorio|mancante|in preparazione|in arrivo)",
@@ -113,7 +113,7 @@ def line_key(line: Column) -> Column:
 
 
 #: One word three times in a row.
-ONE_WORD = r"(?iu)(?<![\p{L}\p{N}])(\p{L}{3,})(?:\s+\1){2,}(?![\p{L}\p{N}])"
+ONE_WORD = r"(?iu)(?<![\p{L}\p{N}])(\p{L}{3,})(?:\s+\1){2}(?![\p{L}\p{N}])"
 #: What a line must hold for the costly patterns to be tried on it.
 MAY_HOLD_PLACEHOLDER = r"[{\[<$#@%_&]|€|[.]{6}|XXX|XX/|TODO|FIXME|TBD|DA [CDI]|(?i:mm/[ay])"
 MAY_BE_FILLER = r"(?iu)ipsum|dolor|lorem|veniam|nostrud|xx|asdf|qwert|foo|blah|prova|qui il |segnaposto|provvisori|disponibile|mancante|in preparazione|in arrivo|da sostituire|da completare|da inserire|da definire|placeholder|dummy"

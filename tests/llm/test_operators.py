@@ -345,6 +345,15 @@ def test_boilerplate_of_a_host_is_no_evidence(spark):
     assert residue.residue(spark.createDataFrame([], "doc_id long, text string, source string"), "doc_id", "text", "source").count() == 0
 
 
+def test_very_long_lines(spark):
+    rows = [(1, "xx " * 100_000), (2, "lorem ipsum dolor " * 30_000), (3, "bozza " * 50_000), (4, "<p> " * 50_000), (5, "parola diversa " * 30_000), (6, "e" * 500_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit("h"))
+    got = {r["id"] for r in residue.residue(df, "doc_id", "text", "source").collect()}
+    assert {1, 2, 3} <= got and not {5, 6} & got
+    texts = df.select(F.col("doc_id").alias("id"), F.concat(F.lit("INTESTAZIONE | 3\n"), "text").alias("testo"))
+    assert {r["item"] for r in scans.findings(texts, "id", "testo").where("kind = 'riga'").collect()} == {"INTESTAZIONE | 3"}
+
+
 # Counts
 
 
