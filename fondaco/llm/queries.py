@@ -82,4 +82,17 @@ def p10_kinds(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_consensus": p1_consensus, "p1_models": p1_models, "p2_found": p2_found, "p2_groups": p2_groups, "p4_found": p4_found, "p4_texts": p4_texts, "p5_found": p5_found, "p5_confidence": p5_confidence, "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill, "p10_found": p10_found, "p10_kinds": p10_kinds}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p2_found": r"""
+        WITH w AS (SELECT id, regexp_extract_all(lower(testo_normalizzato), '[\p{L}\p{N}]+') AS w FROM massime WHERE testo_normalizzato IS NOT NULL),
+        s AS (SELECT id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: concat_ws(' ', w[i], w[i + 1], w[i + 2]))) AS s FROM w WHERE len(w) > 2),
+        p AS (SELECT a.id AS id_a, b.id AS id_b, len(list_intersect(a.s, b.s)) AS c, len(a.s) + len(b.s) AS n FROM s a JOIN s b ON a.id < b.id AND least(len(a.s), len(b.s)) >= 0.6 * greatest(len(a.s), len(b.s)))
+        SELECT id_a, id_b FROM p WHERE c >= 0.6 * (n - c)""",
+    "p7_found": """
+        WITH v AS (SELECT id, model, embedding::DOUBLE[] AS x, sqrt(list_sum(list_transform(embedding, lambda e: e::DOUBLE * e::DOUBLE))) AS n
+            FROM normativa_chunk_embeddings WHERE embedding IS NOT NULL AND len(embedding) = dims),
+        g AS (SELECT * FROM v WHERE n > 0 AND NOT isnan(n) AND NOT isinf(n)),
+        c AS (SELECT a.id AS a, b.id AS b, round(list_inner_product(a.x, b.x) / (a.n * b.n), 6) AS cos FROM g a JOIN g b ON a.model = b.model AND a.id <> b.id),
+        r AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY cos DESC, b) AS k FROM c WHERE cos >= 0.85)
+        SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM r WHERE k <= 5""",
+}
