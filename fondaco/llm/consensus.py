@@ -56,14 +56,15 @@ def patterns_of(votes: DataFrame) -> DataFrame:
 
 
 def _hold(params: DataFrame, small: bool) -> DataFrame:
+    """The parameters of a round, cut from what made them: a local table if few, else a written one."""
     return params.sparkSession.createDataFrame(params.collect(), params.schema) if small else materialise(params, "params")
 
 
-def fit(patterns: DataFrame, rounds: int = 20, smooth: float = 0.1) -> tuple[DataFrame, DataFrame]:
+def fit(patterns: DataFrame, rounds: int = 50, smooth: float = 0.1, tolerance: float = 1e-4) -> tuple[DataFrame, DataFrame]:
     """(pattern, posterior array) and (annotator, competence, guess array, votes) after EM over (pattern, n, votes).
 
     The row with null annotator holds the distribution of the labels themselves. ``smooth`` is added to each guess count,
-    one to each count of truthful and guessed votes.
+    one to each count of truthful and guessed votes. The rounds end when no competence moves by ``tolerance``.
     """
     n_labels = len(LABELS)
     each = F.explode("votes").alias("v")
@@ -107,11 +108,14 @@ def fit(patterns: DataFrame, rounds: int = 20, smooth: float = 0.1) -> tuple[Dat
             F.lit(None).cast("string").alias("annotator"), F.lit(1.0).alias("competence"),
             F.array(*[(F.col(f"q{t}") + 1) / (F.col("n") + n_labels) for t in range(n_labels)]).alias("guess"), F.lit(0).cast("long").alias("votes"),
         )
-        params = _hold(fitted.unionByName(shares), small)
+        before, params = params, _hold(fitted.unionByName(shares), small)
+        moved = before.select("annotator", F.col("competence").alias("_c")).join(params, "annotator").agg(F.max(F.abs(F.col("competence") - F.col("_c"))).alias("m")).first()["m"]
+        if (moved or 0.0) < tolerance:
+            break
     return posterior(params).select("pattern", F.col("q").alias("posterior")), params
 
 
-def consensus(rows: DataFrame, item: str, row_id: str, created: str, fields: list[tuple[str, str]], rounds: int = 20) -> tuple[DataFrame, DataFrame]:
+def consensus(rows: DataFrame, item: str, row_id: str, created: str, fields: list[tuple[str, str]], rounds: int = 50) -> tuple[DataFrame, DataFrame]:
     """Consensus per item and reliability per annotator.
 
     (item, label, confidence, agreement, n_labels): agreement is the share of pairs of votes on the item that agree (1 for a
