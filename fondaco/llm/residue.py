@@ -1,7 +1,10 @@
 """Records that hold template residue, filler, error messages or script notices instead of, or amid, real content.
 
-Lines are normalised (case, digits, hexadecimal ids, white space) and counted by host over all records. A line on a share of
-a host's records is boilerplate of the host and is subtracted; a record is excluded if what is left of it holds evidence:
+Lines with evidence are normalised (case, digits, hexadecimal ids, white space) and counted by host over distinct bodies, a body
+being what a record holds beside its evidence: copies of a page count once. A line with evidence that recurs beside bodies of their own,
+that is, mostly of lines that do not recur, is boilerplate of the host; it is subtracted from records that hold a line which
+does not recur, never from others. So copies of one bad page, exact or near, stay cases. A record is excluded if what is left
+of it holds evidence:
 
 * error        a message that stands as a line of its own;
 * script       a notice that scripts are required, as a line of its own;
@@ -15,7 +18,7 @@ Defined results: null, empty and blank texts hold no evidence; a null host is a
 the evidence; empty tables give an empty result; extra columns are ignored.
 
 Scale: evidence is found line by line in one pass over the texts, which keeps a hash for each line; subtracting boilerplate
-means looking up the few lines with evidence. Counts are summed before they are shuffled; a hot host is many keys.
+means looking up the few lines with evidence. Hashes of lines are shuffled by record and by line; a hot host is many keys.
 """
 
 from __future__ import annotations
@@ -24,8 +27,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fondaco.session import materialise
 
-#: A line on this share of a host's records, and on so many at least, is boilerplate of the host.
+#: A line beside this share of a host's distinct bodies, and beside so many at least, recurs.
 SHARE, LEAST = 0.05, 20
+#: A body is a record's own if the lines that do not recur hold this share of the record's characters.
+OWN = 1 / 3
 
 # Wording of messages, notices and dummy text in the languages of the corpus.
 STATUS = (
@@ -135,27 +140,40 @@ def evidence(said: Column) -> Column:
 
 
 def marked_lines(documents: DataFrame, id_column: str, text_column: str, host: str) -> DataFrame:
-    """(id, host, key, kind): each line of each record by the hash of its normal form, with its evidence. One pass over the texts."""
+    """(id, host, key, chars, kind): each line of each record by a hash, of its normal form if it has evidence. One pass over the texts."""
     texts = documents.select(F.col(id_column).alias("id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.col(text_column).alias("text"))
     lines = texts.where("text is not null and id is not null").select("id", "host", F.explode(F.split("text", r"[\r\n]+")).alias("line"))
     lines = lines.where(F.length(F.trim("line")) > 0)
-    return lines.select("id", "host", F.xxhash64(line_key(F.col("line"))).alias("key"), evidence(F.regexp_replace("line", QUOTED, " ")).alias("kind"))
+    lines = lines.select("id", "host", "line", evidence(F.regexp_replace("line", QUOTED, " ")).alias("kind"))
+    key = F.when(F.col("kind").isNull(), F.xxhash64(F.trim("line"))).otherwise(F.xxhash64(line_key(F.col("line"))))
+    return lines.select("id", "host", key.alias("key"), F.length("line").alias("chars"), "kind")
 
 
-def line_counts(marked: DataFrame) -> DataFrame:
-    """(host, key, n): records of a host with the line."""
-    return marked.groupBy("host", "key", "id").agg(F.lit(1)).groupBy("host", "key").agg(F.count("*").alias("n"))
+def with_bodies(marked: DataFrame) -> DataFrame:
+    """(id, host, key, chars, kind, body, of): the distinct lines of each record; body is a hash of its lines without evidence, null if it has none."""
+    lines = marked.groupBy("host", "id", "key").agg(F.max("chars").alias("chars"), F.max("kind").alias("kind"))
+    bodies = lines.groupBy("host", "id").agg(F.bit_xor(F.when(F.col("kind").isNull(), F.xxhash64("key"))).alias("body"), F.sum("chars").alias("of"))
+    return lines.join(bodies, ["host", "id"])
 
 
-def boilerplate(marked: DataFrame) -> DataFrame:
-    """(host, key) of the lines that recur on a host."""
-    totals = marked.groupBy("host", "id").agg(F.lit(1)).groupBy("host").agg(F.count("*").alias("of"))
-    counts = line_counts(marked).where(F.col("n") >= LEAST)
-    return counts.join(totals, "host").where(F.col("n") >= SHARE * F.col("of")).select("host", "key")
+def recurrent(lines: DataFrame, bodies: DataFrame) -> DataFrame:
+    """(host, key) of the lines that stand beside the least number and share of a host's distinct bodies."""
+    totals = bodies.where("body is not null").select("host", "body").distinct().groupBy("host").agg(F.count("*").alias("total"))
+    counts = lines.where("body is not null").select("host", "key", "body").distinct().groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST)
+    return counts.join(totals, "host").where(F.col("n") >= SHARE * F.col("total")).select("host", "key")
+
+
+def subtracted(marked: DataFrame) -> DataFrame:
+    """(host, id, key): evidence that is boilerplate of the host, in records that hold other content."""
+    lines = materialise(with_bodies(marked), "bodies")
+    own = lines.where("kind is null").join(recurrent(lines.where("kind is null"), lines), ["host", "key"], "left_anti")
+    own = own.groupBy("host", "id").agg((F.sum("chars") >= OWN * F.first("of")).alias("full"))
+    told = lines.where("kind is not null").join(own, ["host", "id"])
+    return told.join(recurrent(told.where("full"), lines), ["host", "key"]).select("host", "id", "key")
 
 
 def residue(documents: DataFrame, id_column: str, text_column: str, host: str) -> DataFrame:
     """(id, kinds): the records to exclude, with the kinds of evidence in what is left of them."""
     marked = materialise(marked_lines(documents, id_column, text_column, host), "lines")
-    left = marked.where("kind is not null").join(boilerplate(marked), ["host", "key"], "left_anti")
+    left = marked.where("kind is not null").join(subtracted(marked), ["host", "id", "key"], "left_anti")
     return left.groupBy("id").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))

@@ -345,6 +345,18 @@ def test_boilerplate_of_a_host_is_no_evidence(spark):
     assert residue.residue(spark.createDataFrame([], "doc_id long, text string, source string"), "doc_id", "text", "source").count() == 0
 
 
+def test_copies_of_a_bad_page_stay_cases(spark):
+    notice, schema = "Please enable JavaScript to continue.", "doc_id long, text string, source string"
+    page = "Errore 404: pagina non trovata\nTorna alla pagina iniziale del sito oppure usa la ricerca.\n"
+    slugs = ["".join(random.Random(i).choices("ghijklmnop", k=9)) for i in range(300)]
+    good = [(i, f"Il testo {slugs[i]} della sentenza di merito.\n{notice}", "a") for i in range(60)]
+    exact = [(1000 + i, page, "a") for i in range(30)]
+    near = [(2000 + i, f"{page}{slugs[100 + i]}", "a") for i in range(30)]
+    only = [(3000 + i, notice, "a") for i in range(5)]
+    got = {r["id"] for r in residue.residue(spark.createDataFrame(good + exact + near + only, schema), "doc_id", "text", "source").collect()}
+    assert got == {i for i, _, _ in exact + near + only}
+
+
 def test_very_long_lines(spark):
     rows = [(1, "xx " * 100_000), (2, "lorem ipsum dolor " * 30_000), (3, "bozza " * 50_000), (4, "<p> " * 50_000), (5, "parola diversa " * 30_000), (6, "e" * 500_000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit("h"))
