@@ -194,6 +194,24 @@ def test_linkage_by_place_heading_and_text(spark):
     assert linkage.link(l.where("false"), r, acts).count() == 0 and linkage.link(l, r.where("false"), acts).count() == 0
 
 
+def test_linkage_of_hot_copies_hot_keys_and_short_texts(spark):
+    rnd = random.Random(11)
+    body = lambda n: " ".join(f"parola{rnd.randrange(5000)}" for _ in range(n))
+    acts = spark.createDataFrame([(1, "CPOR", "Codice dei porti", "Cod. porti", ["c.p."], "26", T0.date())],
+        "id long, code string, nome_completo string, nome_breve string, abbreviazioni array<string>, atto_numero string, atto_data date")
+    copied, short = body(60), [body(5) for _ in range(12)]
+    right = [(100 + i, 1, "1", "Oggetto primo", copied) for i in range(70)] + [(300 + i, 1, "2", f"Titolo {'abcdefgh'[i % 8]} {'ilmnopqr'[i // 8]} proprio{i}", None) for i in range(60)]
+    right += [(500 + i, 1, str(10 + i), f"Voce{i}", t) for i, t in enumerate(short)]
+    left = [(1, "CPOR", "1", "Oggetto primo", copied), (2, "CPOR", "2", "Titolo c l proprio10 corretto", None)] + [(10 + i, None, None, None, t) for i, t in enumerate(short)]
+    l = spark.createDataFrame(left, "id long, codice string, articolo string, rubrica string, testo string")  # noqa: E741
+    r = spark.createDataFrame(right, "id long, work_id long, articolo string, rubrica string, testo string")
+    got = {x["left_id"]: x["right_id"] for x in linkage.link(l, r, acts, 0.0).collect()}
+    sure = {x["left_id"] for x in linkage.link(l.where("id <> 2"), r, acts).collect()}
+    assert sure == {1, *range(10, 22)}
+    assert got == {1: 100, 2: 310} | {10 + i: 500 + i for i in range(12)}
+
+
+
 def test_solver_keeps_values_exclusive_and_rows_of_one_text_together():
     left, right = np.array([1, 1, 2, 2]), np.array([10, 11, 10, 11])
     pull = np.array([3.0, 3.0, 3.0, 0.0])
