@@ -92,9 +92,10 @@ def text_history(rows: DataFrame, *, key: str, text: str, begin: str, end: str,
     ).where("key is not null and snapshot is not null")
     # The text of a snapshot is that of its last delivery; its dates are those stated by any.
     snapshots = seen.groupBy("key", "snapshot").agg(F.max(F.struct("_created", "_digest")).alias("_last"), F.min("_from").alias("_from"), F.min("_to").alias("_to"))
-    by_key = Window.partitionBy("key").orderBy("snapshot")
-    marked = snapshots.withColumn("_digest", F.col("_last._digest")).withColumn("_before", F.lag("_digest").over(by_key))
-    marked = marked.withColumn("_run", F.sum(F.when(F.col("_before") == F.col("_digest"), 0).otherwise(1)).over(by_key))
-    runs = marked.groupBy("key", "_run").agg(F.coalesce(F.min("_from"), F.min("snapshot")).alias("valid_from"), F.min("_to").alias("_to"))
-    after = F.lead("valid_from").over(Window.partitionBy("key").orderBy("_run"))
+    snapshots = snapshots.select("key", "snapshot", F.col("_last._digest").alias("_digest"), "_from", "_to")
+    texts = satellite_view(satellite(snapshots, ["_digest"])).select("key", F.col("load_date").alias("_begin"), F.col("end_date").alias("_end"))
+    dates = satellite_view(satellite(snapshots, ["_from", "_to"]))
+    during = (F.col("_end").isNull() | (F.col("load_date") < F.col("_end"))) & (F.col("end_date").isNull() | (F.col("end_date") > F.col("_begin")))
+    runs = texts.join(dates, "key").where(during).groupBy("key", "_begin").agg(F.coalesce(F.min("_from"), F.col("_begin")).alias("valid_from"), F.min("_to").alias("_to"))
+    after = F.lead("valid_from").over(Window.partitionBy("key").orderBy("_begin"))
     return runs.select("key", "valid_from", F.least(F.col("_to"), after).alias("valid_to"))

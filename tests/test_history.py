@@ -44,3 +44,12 @@ def test_satellite_appends_only_changes(spark):
     assert sorted((r["key"], r["load_date"].month) for r in history.append_satellite(stored, fresh, ["v"]).collect()) == [(1, 5), (3, 4)]
     ends = {(r["key"], r["load_date"].month): r["end_date"] for r in history.satellite_view(stored).collect()}
     assert ends[(1, 1)] == date(2020, 3, 1) and ends[(1, 3)] is None
+
+
+def test_history_is_built_from_satellites(spark, monkeypatch):
+    built, satellite = [], history.satellite
+    monkeypatch.setattr(history, "satellite", lambda rows, attributes: built.append(attributes) or satellite(rows, attributes))
+    # The stated dates of the first snapshot still hold when the text changes.
+    rows = [row(1, "a", "20200101", date(2020, 2, 1)), row(1, "b", "20200401", date(2020, 2, 1)), row(1, "b", "20200701")]
+    assert run(spark, rows) == [(1, date(2020, 2, 1), None), (1, date(2020, 2, 1), date(2020, 2, 1))]
+    assert built == [["_digest"], ["_from", "_to"]]
