@@ -1,9 +1,9 @@
-"""Corpus counts in hashed tables of fixed size.
+"""Corpus counts in hashed tables whose size follows the corpus, up to a bound.
 
-Every task counts its rows into one table; the tables are summed segment by segment. A table has a fixed number of cells,
-whatever the corpus, so it may be sent to the driver and broadcast. A count can only be too high, by the counts of the other
-keys in its cell: with ``cells`` well above the number of frequent keys that concerns rare keys only. Raise ``cells`` with the
-corpus (2**26 cells are 256 MB).
+Every task counts its rows into one table; the tables are summed segment by segment. ``cells_for`` gives a table four cells for
+each key of the corpus, up to ``MOST_CELLS`` (128 MB), which is the bound of what is sent to the driver and broadcast. A count
+can only be too high, by the counts of the other keys in its cell. The operators that use a table take no decision from a count
+that could lose a result: counts give an order of tokens or the weight of one, and any order and any weights are sound.
 """
 
 from __future__ import annotations
@@ -17,16 +17,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SEGMENTS = 16
+LEAST_CELLS, MOST_CELLS = 1 << 18, 1 << 25
+
+
+def cells_for(keys: int) -> int:
+    """Cells of a table for so many keys: a power of two."""
+    return min(MOST_CELLS, max(LEAST_CELLS, 1 << (4 * max(int(keys), 1) - 1).bit_length()))
 
 
 def _partial(hashes: Callable[[pa.RecordBatch], Iterable[np.ndarray]], cells: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(cells, np.int64)
+        total = np.zeros(cells, np.uint32)
         for batch in batches:
             for part in hashes(batch):
-                total += np.bincount((part % np.uint64(cells)).astype(np.int64), minlength=cells)
+                at = (part % np.uint64(cells)).astype(np.int64)
+                if len(at) * 4 < cells:
+                    at, n = np.unique(at, return_counts=True)
+                    total[at] += n.astype(np.uint32)
+                else:
+                    total += np.bincount(at, minlength=cells).astype(np.uint32)
         if total.any():
-            packed = [zlib.compress(s.astype(np.uint32).tobytes(), 1) for s in np.split(np.minimum(total, 2**32 - 1), SEGMENTS)]
+            packed = [zlib.compress(s.tobytes(), 1) for s in np.split(total, SEGMENTS)]
             yield pa.RecordBatch.from_arrays([pa.array(range(SEGMENTS), pa.int32()), pa.array(packed, pa.binary())], names=["segment", "packed"])
 
     return run

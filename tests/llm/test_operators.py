@@ -211,6 +211,48 @@ def test_linkage_of_hot_copies_hot_keys_and_short_texts(spark):
     assert got == {1: 100, 2: 310} | {10 + i: 500 + i for i in range(12)}
 
 
+@pytest.mark.parametrize("shrink", [1, 64, 1024])
+def test_linkage_by_text_alone_whatever_the_table(spark, monkeypatch, shrink):
+    usual = linkage.cells_for
+    monkeypatch.setattr(linkage, "cells_for", lambda keys: max(16, usual(keys) // (64 * shrink)))
+    rnd = random.Random(13)
+    phrases = [" ".join(f"voce{rnd.randrange(300)}" for _ in range(6)) for _ in range(40)]
+    body = lambda: " ".join(rnd.choice([rnd.choice(phrases), " ".join(f"parola{rnd.randrange(900)}" for _ in range(6))]) for _ in range(12))
+    right = [(100 + i, None, None, None, body()) for i in range(300)]
+    left = [(i, None, None, None, " ".join(w if rnd.random() > 0.05 else "xx" for w in right[i][4].split()[: rnd.randint(40, 80)])) for i in range(300)]
+    left += [(400, None, None, None, ""), (401, None, None, None, "  "), (402, None, None, None, "due parole")]
+    acts = spark.createDataFrame([], "id long, code string, nome_completo string, nome_breve string, abbreviazioni array<string>, atto_numero string, atto_data date")
+    l = spark.createDataFrame(left, "id long, codice string, articolo string, rubrica string, testo string")  # noqa: E741
+    r = spark.createDataFrame(right + [(500, None, None, None, "")], "id long, work_id long, articolo string, rubrica string, testo string")
+    got = {x["left_id"]: x["right_id"] for x in linkage.link(l, r, acts).collect()}
+    assert got == {i: 100 + i for i in range(300)}
+
+
+def test_blank_text_is_unknown(spark):
+    acts = spark.createDataFrame([(1, "CPOR", "Codice dei porti", "Cod. porti", ["c.p."], "26", T0.date())],
+        "id long, code string, nome_completo string, nome_breve string, abbreviazioni array<string>, atto_numero string, atto_data date")
+    right = [(100 + i, 1, str(i), f"Oggetto {i}", None) for i in range(1, 4)]
+    confidences = []
+    for blank in (None, "", " \n"):
+        left = [(i, "CPOR", str(i), f"oggetto {i}" if i != 2 else "cosa diversa", blank) for i in range(1, 4)]
+        l = spark.createDataFrame(left, "id long, codice string, articolo string, rubrica string, testo string")  # noqa: E741
+        r = spark.createDataFrame(right, "id long, work_id long, articolo string, rubrica string, testo string")
+        confidences.append({(x["left_id"], x["right_id"]): round(x["confidence"], 6) for x in linkage.link(l, r, acts, 0.0).collect()})
+    assert confidences[0] == confidences[1] == confidences[2] and {(1, 101), (3, 103)} <= set(confidences[0])
+
+
+def test_text_blocks_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(linkage, "COMMON", 3)
+    rnd = random.Random(17)
+    texts = [(i, " ".join(f"p{rnd.randrange(4)}" for _ in range(rnd.randint(3, 40)))) for i in range(60)]
+    sides = [spark.createDataFrame(t, "id long, text string").mapInArrow(linkage._grams, "id long, grams binary").cache() for t in (texts[:30], texts[30:] + [(90, texts[0][1]), (91, texts[1][1] + " p1 p2 p3")])]
+    table = counts.hashed_counts(sides[0].unionByName(sides[1]).select("grams"), lambda b: [linkage._unpack(b.column("grams"))[0].astype(np.uint64)], 1 << 12)
+    got = {(r["cid"], r["nid"]) for r in linkage._share_text(*sides, spark.sparkContext.broadcast(table), 1 << 12).collect()}
+    sets = [{r["id"]: set(np.frombuffer(r["grams"], np.uint32).tolist()) for r in side.collect()} for side in sides]
+    w = lambda keys: sum(1 / math.sqrt(max(int(table[k % 4096]), 1)) for k in keys)
+    want = {(a, b) for a, x in sets[0].items() for b, y in sets[1].items() if x and y and w(x & y) >= linkage.BLOCK * min(w(x), w(y))}
+    assert len(want) > 2 and want <= got
+
 
 def test_solver_keeps_values_exclusive_and_rows_of_one_text_together():
     left, right = np.array([1, 1, 2, 2]), np.array([10, 11, 10, 11])
