@@ -9,14 +9,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from fondaco.operators import history, ledger
 from fondaco.session import table
 
-#: All leases of the logged runs have expired by then.
-AFTER_ALL_RUNS = datetime(2100, 1, 1)
-
-
 def _ledger(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The newest versions and the state of their items when the last run of the log began or ended."""
+    runs = table(spark, sf, "sync_run")
     newest = ledger.newest_versions(table(spark, sf, "normativa_chunk"), "id", "created_at")
-    events = ledger.events_of_runs(table(spark, sf, "sync_item"), table(spark, sf, "sync_run"), key="chunk_id", version="chunk_created_at")
-    return newest, ledger.ledger_state(events, AFTER_ALL_RUNS, shared_done=True)
+    events = ledger.events_of_runs(table(spark, sf, "sync_item"), runs, key="chunk_id", version="chunk_created_at")
+    clock = runs.agg(F.max(F.greatest("started_at", "finished_at"))).first()[0] or datetime(1970, 1, 1)
+    return newest, ledger.ledger_state(events, clock)
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -59,10 +58,11 @@ SQL = {
             WHERE r.status = 'success' AND i.chunk_id = n.id AND i.chunk_created_at = n.v)""",
     "p3_states": """
         WITH newest AS (SELECT id, max(created_at) AS v FROM normativa_chunk GROUP BY id),
-        marked AS (SELECT id, EXISTS (
-            SELECT 1 FROM sync_item i JOIN sync_run r ON i.run_id = r.run_id
-            WHERE r.status = 'success' AND i.chunk_id = n.id AND i.chunk_created_at = n.v) AS ok FROM newest n)
-        SELECT CASE WHEN ok THEN 'done' ELSE 'pending' END AS state, count(*) AS n FROM marked GROUP BY 1""",
+        clock AS (SELECT max(greatest(started_at, finished_at)) AS now FROM sync_run),
+        seen AS (SELECT i.chunk_id, i.chunk_created_at, bool_or(r.status = 'success') AS ok,
+            bool_or(r.status = 'running' AND r.started_at + INTERVAL 6 HOUR > (SELECT now FROM clock)) AS held FROM sync_item i JOIN sync_run r ON i.run_id = r.run_id GROUP BY ALL)
+        SELECT CASE WHEN ok THEN 'done' WHEN held THEN 'leased' ELSE 'pending' END AS state, count(*) AS n
+        FROM newest LEFT JOIN seen ON chunk_id = id AND chunk_created_at = v GROUP BY 1""",
     "p6_found": f"""
         WITH seen AS (SELECT normativa_id, {_SNAPSHOT} AS snap, regexp_replace(testo, '\\s+', '', 'g') AS t, created_at,
                 {_STATED.format('inizio_vigore')} AS b, {_STATED.format('fine_vigore')} AS e FROM normativa_vigenza),
