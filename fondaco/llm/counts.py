@@ -1,7 +1,7 @@
 """Corpus counts in hashed tables whose size follows the corpus, up to a bound.
 
-Every task counts its rows into one table; the tables are summed segment by segment. ``cells_for`` gives a table four cells for
-each key of the corpus, up to ``MOST_CELLS`` (128 MB), which is the bound of what is sent to the driver and broadcast. A count
+Every task counts its rows into one table; the tables are summed segment by segment. ``cells_for`` gives a table a cell for
+four occurrences of keys, up to ``MOST_CELLS`` (128 MB), which is the bound of what is sent to the driver and broadcast. A count
 can only be too high, by the counts of the other keys in its cell. The operators that use a table take no decision from a count
 that could lose a result: counts give an order of tokens or the weight of one, and any order and any weights are sound.
 """
@@ -20,9 +20,9 @@ SEGMENTS = 16
 LEAST_CELLS, MOST_CELLS = 1 << 18, 1 << 25
 
 
-def cells_for(keys: int) -> int:
-    """Cells of a table for so many keys: a power of two."""
-    return min(MOST_CELLS, max(LEAST_CELLS, 1 << (4 * max(int(keys), 1) - 1).bit_length()))
+def cells_for(occurrences: int) -> int:
+    """Cells of a table for a corpus of so many occurrences of keys: a power of two."""
+    return min(MOST_CELLS, max(LEAST_CELLS, 1 << (max(int(occurrences) // 4, 1) - 1).bit_length()))
 
 
 def _partial(hashes: Callable[[pa.RecordBatch], Iterable[np.ndarray]], cells: int):

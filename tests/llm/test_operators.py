@@ -31,7 +31,7 @@ FIELDS = [("model_a", "model_a_label"), ("model_b", "model_b_label"), ("judge_mo
 
 
 def agree(spark, rows):
-    items, models = consensus.consensus(clash(spark.createDataFrame(rows, VOTES)), "massima_id", "id", "created_at", FIELDS, rounds=8)
+    items, models = consensus.consensus(clash(spark.createDataFrame(rows, VOTES)), "massima_id", "id", "created_at", FIELDS)
     return {r["item"]: r for r in items.collect()}, {r["annotator"]: r["competence"] for r in models.collect()}
 
 
@@ -59,6 +59,19 @@ def test_consensus_spellings_nulls_repeats_and_ties(spark):
     assert agree(spark, []) == ({}, {})
 
 
+def test_consensus_is_the_same_with_parameters_as_a_table(spark, monkeypatch):
+    rnd = random.Random(4)
+    label = lambda: rnd.choice(consensus.LABELS[:4])
+    rows = [(i, i // 2, rnd.choice("ab"), label(), "c", label(), "d", label(), T0) for i in range(60)]
+    df = spark.createDataFrame(rows, VOTES)
+    here = [consensus.consensus(df, "massima_id", "id", "created_at", FIELDS, rounds=6)]
+    monkeypatch.setattr(consensus, "DRIVER_ANNOTATORS", 2)
+    here.append(consensus.consensus(df, "massima_id", "id", "created_at", FIELDS, rounds=6))
+    items = [{r["item"]: (r["label"], round(r["confidence"], 6), r["n_labels"]) for r in x[0].collect()} for x in here]
+    models = [{r["annotator"]: (round(r["competence"], 6), r["votes"]) for r in x[1].collect()} for x in here]
+    assert items[0] == items[1] and models[0] == models[1] and len(items[0]) == 30
+
+
 # Near duplicates
 
 
