@@ -2,12 +2,15 @@
 
 Page furniture (running headers, page numbers) is told from body lines by shape and by how often the line, freed of numbers
 and folded over the confusable characters, stands alone in the corpus. Words broken over two lines are joined, as one word
-or as a compound, whichever the corpus knows better. A word may then be a misreading: candidates undo character confusions,
-weighed by confusion probabilities and by the likelihood of word pairs in the corpus, and the best sequence of a line is
-decoded by Viterbi over the candidates of its words.
+or as a compound, whichever the corpus knows better. A word may then be a misreading: candidates are the corpus's words that
+character confusions can turn into it, weighed by confusion probabilities and by the likelihood of word pairs in the corpus, and
+the best sequence of a line is decoded by Viterbi over the candidates of its words.
 
-Corpus counts (words, word pairs, lone lines) cover all records and sit in one hashed table of fixed size (see counts.py),
-which is all that is broadcast. Two passes over the texts, no shuffle of texts, so no key can be hot.
+Shape of the work: all counts are exact and cover all records, and none is collected or broadcast. One pass counts words, word
+pairs and lone lines, and lists the words and lone lines of each part, a part being some ``CHARS_A_PART`` characters of
+records. Words and the candidates they may be misreadings of meet by their fold, once for the whole corpus. Each part is then
+sent the counts and candidates of its own words, and later those of the word pairs that its undecided lines ask for. So what a
+task holds is bounded by its part, and what a record comes out as depends on the corpus alone, not on how it is split.
 
 Defined results: null and blank texts come out empty; text is taken whole; typing slips (swapped, lost or doubled letters)
 are left as they are; repeated rows give repeated repairs, and each finding of an id once; extra columns are ignored.
@@ -15,20 +18,21 @@ are left as they are; repeated rows give repeated repairs, and each finding of a
 
 from __future__ import annotations
 
-import itertools
 import math
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from fondaco.llm.counts import hash_word, hash_words, hashed_counts, mix, mix_one
+from fondaco.llm.counts import hash_word, hash_words, mix, mix_one
+from fondaco.session import materialise, tasks_of
 
-CELLS = 1 << 22
-#: Words are counted in two cells each; the lower count holds.
-SECOND = np.uint64(0x5851F42D4C957F2D)
+CHARS_A_PART = 4_000_000
+#: Counts that a task holds before it sends them on.
+COUNTS_AT_ONCE = 1_000_000
 
 # What a scan shows, what stands there, and how often of all misreadings.
 CONFUSIONS = [
@@ -66,8 +70,8 @@ def fold(word: str) -> str:
     return word.translate(DEEP_FOLD)
 
 
-def misreading(seen: str, true: str) -> float | None:
-    """Log probability that a scan shows one word for another, None if no confusions lead there."""
+def _paths(seen: str, true: str, confusions: list[tuple[str, str, float]]) -> float | None:
+    """The greatest sum of weights of confusions that show ``true`` as ``seen``, None if no sequence of them does."""
     best: list[float | None] = [None] * (len(true) + 1)
     table = [list(best) for _ in range(len(seen) + 1)]
     table[0][0] = 0.0
@@ -79,13 +83,20 @@ def misreading(seen: str, true: str) -> float | None:
             if i < len(seen) and j < len(true) and seen[i] == true[j]:
                 old = table[i + 1][j + 1]
                 table[i + 1][j + 1] = p if old is None else max(old, p)
-            for s, t, q in CONFUSIONS:
+            for s, t, w in confusions:
                 if seen.startswith(s, i) and true.startswith(t, j):
-                    old, new = table[i + len(s)][j + len(t)], p + math.log(q)
+                    old, new = table[i + len(s)][j + len(t)], p + w
                     table[i + len(s)][j + len(t)] = new if old is None else max(old, new)
     return table[-1][-1]
 
 
+def misreading(seen: str, true: str) -> float | None:
+    """Log probability that a scan shows one word for another, None if no confusions lead there. One kind counts once, at however many places."""
+    apt = [(s, t, math.log(q)) for s, t, q in CONFUSIONS if s in seen and t in true]
+    one = [w for s, t, w in apt if _paths(seen, true, [(s, t, 0.0)]) is not None]
+    return max(one) if one else _paths(seen, true, apt)
+
+
 def title_key(core: str) -> str:
     core = re.sub(r"\d+$|(?<=\s)\d+(?=\s|$)", "#", core.lower().strip())
     return re.sub(r"\s+", " ", core.translate(FOLD))
@@ -97,68 +108,48 @@ def pieces(line: str) -> tuple[str, bool, bool]:
     return (m["core"], bool(m["left"]), bool(m["right"])) if m else (line, False, False)
 
 
-class Counts:
-    """Look-ups in the table of corpus counts."""
+class Lexicon:
+    """Counts and candidates of a part of the corpus: words, titles, candidates {word: [(right word, log probability)]}, pairs by key.
 
-    def __init__(self, table: np.ndarray):
-        self.table, self.known = table, {}
+    Without pairs it notes which ones are asked for.
+    """
 
-    def _at(self, h: int) -> int:
-        return int(self.table[mix_one(h) % len(self.table)])
+    def __init__(self, words: dict[str, int], titles: dict[str, int], fixes: dict[str, list[tuple[str, float]]], pairs: dict[int, int] | None = None):
+        self.words, self.titles, self.fixes, self.pairs = words, titles, fixes, pairs
+        self.asked: set[int] = set()
 
     def word(self, w: str) -> int:
-        n = self.known.get(w)
-        if n is None:
-            if len(self.known) > 1_000_000:
-                self.known.clear()
-            h = hash_word(w)
-            n = self.known[w] = min(self._at(h), self._at(h ^ int(SECOND)))
-        return n
+        return self.words.get(w, 0)
 
     def pair(self, a: str, b: str) -> int:
-        return self._at(mix_one(hash_word(a)) + hash_word(b) & 2**64 - 1)
+        key = mix_one(hash_word(a)) + hash_word(b) & 2**64 - 1
+        if self.pairs is None:
+            self.asked.add(key)
+            return 0
+        return self.pairs.get(key, 0)
 
     def title(self, core: str) -> int:
-        return self.word("\n" + title_key(core))
+        return self.titles.get(title_key(core), 0)
 
 
-def _hashes(batch: pa.RecordBatch):
-    words: list[str] = []
-    ends: list[int] = []
-    lone: list[str] = []
-    for text in batch.column("text").to_pylist():
-        lines = text.split("\n")
-        if len(lines) > 1:
-            for line in lines:
-                s = line.strip()
-                if s and len(s) <= 80 and s[-1] not in ".,;:)" and not PAGE.fullmatch(s):
-                    core = pieces(s)[0]
-                    if core[:1].isupper():
-                        lone.append("\n" + title_key(core))
-        # A word broken over two lines is no word here, and no pair reaches over a record's end.
-        words += WORD.findall(re.sub(rf"(?<!\S)\S+[{HYPHENS}][ \t]*\n\s*\S+", "\n", text.lower()))
-        ends.append(len(words))
-    if words:
-        h = hash_words(words)
-        yield mix(h)
-        yield mix(h ^ SECOND)
-        across = np.ones(len(h), bool)
-        across[np.array(ends, np.int64)[:-1] % max(len(h), 1)] = False
-        yield mix(mix(h[:-1]) + h[1:])[across[1:]]
-    if lone:
-        h = hash_words(lone)
-        yield mix(h)
-        yield mix(h ^ SECOND)
+def is_strange(word: str) -> bool:
+    return any(c in STRANGE for c in word)
+
+
+def is_suspect(word: str, own: int, total: float) -> bool:
+    """Whether a word of so many occurrences may be a misreading."""
+    letters = sum(c.isalpha() for c in word)
+    if len(word) > LONGEST or letters < 2 or letters * 2 < len(word) or (len(word) < 3 and not is_strange(word)):
+        return False
+    return own <= max(3, FREQUENT * total)
 
 
 class Repairer:
-    def __init__(self, table: np.ndarray, total: float):
-        self.counts, self.total = Counts(table), max(total, 1.0)
+    def __init__(self, lexicon: Lexicon, total: float):
+        self.counts, self.total = lexicon, max(total, 1.0)
         self.fixes: dict[str, list[tuple[str, float]]] = {}
         #: Words that stand for themselves.
         self.plain: set[str] = set()
-        self.folds: dict[str, list[str]] = {}
-        self.indexed: set[str] = set()
 
     # Page furniture
 
@@ -204,62 +195,19 @@ class Repairer:
 
     # Misread words
 
-    def learn(self, texts: list[str | None]) -> None:
-        """Index the frequent words of a batch by their fold, to find the words that several kinds of confusion lead away from."""
-        if len(self.folds) > 500_000:
-            self.folds.clear()
-            self.indexed.clear()
-        for w in {w for t in texts if t for w in WORD.findall(t.lower())} - self.indexed:
-            self.indexed.add(w)
-            if len(w) > 2 and w.isalpha() and self.counts.word(w) >= 4:
-                self.folds.setdefault(fold(w), []).append(w)
-
-    def undo(self, word: str) -> list[tuple[str, float]]:
-        """Candidates for a word with the log probability of its misreading: one kind of confusion at any of its places, or any kinds towards a frequent word."""
-        out: dict[str, float] = {}
-        for seen, true, p in CONFUSIONS:
-            if seen not in word:
-                continue
-            places = [m.start() for m in re.finditer(f"(?={re.escape(seen)})", word)]
-            for k in range(1, min(len(places), 4) + 1):
-                for chosen in itertools.combinations(places, k):
-                    if all(b - a >= len(seen) for a, b in itertools.pairwise(chosen)):
-                        w = word
-                        for at in reversed(chosen):
-                            w = w[:at] + true + w[at + len(seen) :]
-                        out[w] = max(out.get(w, -99.0), math.log(p))
-        for w in self.folds.get(fold(word), ()):
-            if w != word and w not in out and (p := misreading(word, w)) is not None:
-                out[w] = p
-        return list(out.items())
-
     def hypotheses(self, word: str) -> list[tuple[str, float]]:
         """What may stand for the word, with log probabilities of being read so; only itself if it is no suspect."""
         known = self.fixes.get(word)
         if known is not None:
             return known
-        if len(self.fixes) > 500_000:
-            self.fixes.clear()
-            self.plain.clear()
-        own = self.counts.word(word)
-        strange = any(c in STRANGE for c in word)
         itself = [(word, math.log(1 - MISREAD))]
-        letters = sum(c.isalpha() for c in word)
-        if len(word) > LONGEST or letters < 2 or letters * 2 < len(word) or (len(word) < 3 and not strange) or own > max(3, FREQUENT * self.total):
-            self.fixes[word] = itself
-            self.plain.add(word)
-            return itself
         found = []
-        for w, p in self.undo(word):
-            if not all(c.isalpha() or c == "-" for c in w):
-                continue
-            n = self.counts.word(w)
-            if n >= (1 if strange else 4) and own <= max(min(3, n / 3), RARER * n):
-                found.append((w, math.log(MISREAD) + p))
-        if strange and not found:
-            w = "".join(STRANGE.get(c, c) for c in word)
-            if w.isalpha() and letters * 5 >= len(word) * 3 and len(word) >= 4:
-                found = [(w, math.log(MISREAD))]
+        if is_suspect(word, self.counts.word(word), self.total):
+            found = [(w, math.log(MISREAD) + p) for w, p in self.counts.fixes.get(word, ())]
+            if not found and is_strange(word):
+                w = "".join(STRANGE.get(c, c) for c in word)
+                if w.isalpha() and sum(c.isalpha() for c in word) * 5 >= len(word) * 3 and len(word) >= 4:
+                    found = [(w, math.log(MISREAD))]
         if not found:
             self.plain.add(word)
         self.fixes[word] = found or itself
@@ -295,10 +243,10 @@ class Repairer:
 
     # A record
 
-    def repair(self, text: str | None) -> tuple[str, list[str], list[str]]:
-        """The continuous text, the words put right (broken or misread), the lines of furniture."""
+    def prepare(self, text: str | None) -> tuple[list[str], list[int], list[str], list[str]]:
+        """The body lines with broken words joined, which of them are undecided, the joined words, the lines of furniture."""
         if not text or not text.strip():
-            return "", [], []
+            return [], [], [], []
         lines = text.split("\n")
         furniture = self.furniture(lines)
         rows = [x.strip() for x, f in zip(lines, furniture) if f]
@@ -308,39 +256,40 @@ class Repairer:
         i = 0
         while i < len(body):
             line = body[i]
-            while line[-1] in HYPHENS and i + 1 < len(body) and (a := LAST.search(line, max(0, len(line) - LONGEST))) and (b := FIRST.match(body[i + 1], 0, LONGEST)):
-                if not any(c.isalpha() for c in a[1]):
-                    break
+            while i + 1 < len(body) and (ends := broken(line, body[i + 1])):
+                a, b = ends
                 word = self._join(a[1], b[0], line[-1])
-                words.append(word.lower())
+                words.append(self.decode([word.lower()])[0])  # a broken word that was misread as well counts as it is put right
                 line = line[: a.start()] + word + body[i + 1][b.end() :]
                 i += 1
             joined.append(line)
             i += 1
-        out = []
-        for line in joined:
+        undecided = []
+        for k, line in enumerate(joined):
             read = WORD.findall(line.lower())
-            if self.plain.issuperset(read):
-                out.append(line)
-                continue
-            at = list(WORD.finditer(line))
-            read = [m[0].lower() for m in at]
-            right = self.decode(read)
-            if right != read:
-                parts, last = [], 0
-                for m, old, new in zip(at, read, right):
-                    parts.append(line[last : m.start()])
-                    if old == new:
-                        parts.append(m[0])
-                    else:
-                        parts.append(new.upper() if m[0].isupper() and len(new) > 1 else new.capitalize() if m[0][0].isupper() else new)
-                        words.append(new)
-                    last = m.end()
-                line = "".join(parts) + line[last:]
-            out.append(line)
-        # A broken word that was misread as well counts as it was put right.
-        wrong = {w: self.decode([w])[0] for w in words}
-        return " ".join(out), list(dict.fromkeys(wrong[w] for w in words)), rows
+            if not self.plain.issuperset(read):
+                self.decode(read)  # asks for the pairs it needs
+                if not self.plain.issuperset(read):
+                    undecided.append(k)
+        return joined, undecided, list(dict.fromkeys(words)), rows
+
+    def decide(self, line: str) -> tuple[str, list[str]]:
+        """The line with misread words put right, and these words."""
+        at = list(WORD.finditer(line))
+        read = [m[0].lower() for m in at]
+        right = self.decode(read)
+        if right == read:
+            return line, []
+        parts, words, last = [], [], 0
+        for m, old, new in zip(at, read, right):
+            parts.append(line[last : m.start()])
+            if old == new:
+                parts.append(m[0])
+            else:
+                parts.append(new.upper() if m[0].isupper() and len(new) > 1 else new.capitalize() if m[0][0].isupper() else new)
+                words.append(new)
+            last = m.end()
+        return "".join(parts) + line[last:], words
 
     def _join(self, a: str, b: str, hyphen: str) -> str:
         whole, compound = (a + b).lower(), f"{a}-{b}".lower()
@@ -350,28 +299,235 @@ class Repairer:
         return a + b
 
 
-def _repair(counts, total: float):
+def broken(line: str, after: str):
+    """The matches of the two halves of a word broken between two lines, None if none is."""
+    if line[-1] not in HYPHENS:
+        return None
+    a = LAST.search(line, max(0, len(line) - LONGEST))
+    b = a and FIRST.match(after, 0, LONGEST)
+    return (a, b) if b and any(c.isalpha() for c in a[1]) else None
+
+
+# What the corpus knows
+
+BROKEN = re.compile(rf"(?<!\S)\S+[{HYPHENS}][ \t]*\n\s*\S+")
+
+
+def _title(s: str) -> str | None:
+    """The part of a stripped line that may be a title, None if its shape says that it is none."""
+    if len(s) > 160 or not (s[0].isupper() or s[0] in "0l1" or s[0].isdigit()) or s[-1] in ".,;:)":
+        return None
+    core = pieces(s)[0]
+    return core if len(core) <= 80 and core[-1] not in ".,;:)" and (core[0].isupper() or core[0] in "0l1") else None
+
+
+def joins(lines: list[str]) -> set[str]:
+    """All words that joining broken words of a record may give, whichever of its lines are furniture."""
+    out: set[str] = set()
+
+    def grow(line: str, i: int) -> None:
+        """The line is followed by one of the next lines, up to the first that is no furniture."""
+        for j in range(i, len(lines)):
+            if not lines[j]:
+                continue
+            if ends := broken(line, lines[j]):
+                a, b = ends
+                for word in dict.fromkeys((a[1] + b[0], f"{a[1]}-{b[0]}")):
+                    chunk = line[: a.start()].rsplit(None, 1)
+                    chunk = (chunk[-1] if chunk and not line[a.start() - 1 : a.start()].isspace() else "") + word
+                    rest = lines[j][b.end() :]
+                    out.update((word.lower(), *WORD.findall((chunk + (rest.split(None, 1) or [""])[0] if rest[:1].strip() else chunk).lower())))
+                    if rest and rest[-1] in HYPHENS and not rest[:-1].strip(HYPHENS):
+                        grow(chunk + rest, j + 1)
+            if _title(lines[j]) is None and not (len(lines[j]) <= 40 and PAGE.fullmatch(lines[j])) and not pieces(lines[j])[2]:
+                return
+
+    for i, line in enumerate(lines):
+        if line and line[-1] in HYPHENS:
+            grow(line, i + 1)
+    return out
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of words (w), word pairs (p) and titles (t) of the corpus; the words (v) and possible titles (u) of each part, counted 0."""
+    words, titles, pairs = Counter(), Counter(), [np.zeros(0, np.uint64)]
+    own, lone = defaultdict(set), defaultdict(set)
+    names = ["kind", "part", "word", "pair", "n"]
+
+    def flush():
+        rows = [("w", None, w, n) for w, n in words.items()] + [("t", None, t, n) for t, n in titles.items()]
+        rows += [("v", p, w, 0) for p, ws in own.items() for w in ws] + [("u", p, t, 0) for p, ts in lone.items() for t in ts]
+        kind, part, word, n = zip(*rows) if rows else ((),) * 4
+        yield pa.RecordBatch.from_arrays([pa.array(kind, pa.string()), pa.array(part, pa.int32()), pa.array(word, pa.string()), pa.nulls(len(rows), pa.int64()), pa.array(n, pa.int64())], names=names)
+        h, n = np.unique(np.concatenate(pairs), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(["p"] * len(h), pa.string()), pa.nulls(len(h), pa.int32()), pa.nulls(len(h), pa.string()), pa.array(h.view(np.int64)), pa.array(n, pa.int64())], names=names)
+        for kept in (words, titles, own, lone):
+            kept.clear()
+        pairs[:] = [np.zeros(0, np.uint64)]
+
+    held = 0
+    for batch in batches:
+        read: list[str] = []
+        ends: list[int] = []
+        for part, text in zip(batch.column("part").to_pylist(), batch.column("text").to_pylist()):
+            if not text:
+                continue
+            low = text.lower()
+            # A word broken over two lines is no word here, and no pair reaches over a record's end.
+            whole = WORD.findall(BROKEN.sub("\n", low))
+            read += whole
+            ends.append(len(read))
+            vocabulary = own[part]
+            vocabulary.update(whole)
+            lines = [x.strip() for x in text.split("\n")]
+            if len(lines) < 2:
+                continue
+            for m in BROKEN.finditer(low):
+                vocabulary.update(WORD.findall(m[0]))
+            vocabulary.update(joins(lines))
+            for s in lines:
+                if s and (core := _title(s)):
+                    key = title_key(core)
+                    lone[part].add(key)
+                    if len(s) <= 80 and core[0].isupper() and not PAGE.fullmatch(s):
+                        titles[key] += 1
+        if read:
+            words.update(read)
+            h = hash_words(read)
+            across = np.ones(len(h), bool)
+            across[np.array(ends, np.int64) % len(h)] = False
+            pairs.append((mix(h[:-1]) + h[1:])[across[1:]])
+            held += len(read)
+        if len(words) + held // 4 + sum(map(len, own.values())) > COUNTS_AT_ONCE:
+            held = 0
+            yield from flush()
+    yield from flush()
+
+
+def _folder(total: float):
+    """Words with their fold, and whether each may be a misreading, of strange characters, or the right word for one."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        repairer = Repairer(counts.value, total)
         for batch in batches:
-            given = batch.column("text").to_pylist()
-            repairer.learn(given)
-            texts, words, rows = zip(*map(repairer.repair, given)) if given else ((), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(texts, pa.string()), pa.array(words, pa.list_(pa.string())), pa.array(rows, pa.list_(pa.string()))], names=["id", "text", "words", "furniture"]
-            )
+            words, n = batch.column("word").to_pylist(), batch.column("n").to_pylist()
+            out = [(fold(w), is_suspect(w, k, total), is_strange(w), k > 0 and len(w) <= LONGEST and all(c.isalpha() or c == "-" for c in w)) for w, k in zip(words, n)]
+            columns = zip(*out) if out else ((),) * 4
+            types = (pa.string(), pa.bool_(), pa.bool_(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), *[pa.array(c, t) for c, t in zip(columns, types)]], names=["word", "n", "fold", "suspect", "strange", "right"])
+
+    return run
+
+
+def _weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        p = [misreading(w, r) for w, r in zip(batch.column("word").to_pylist(), batch.column("right").to_pylist())]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], names=[*batch.schema.names, "p"])
+
+
+def candidates(vocabulary: DataFrame, total: float) -> DataFrame:
+    """(word, n, fixes): every word with its count and the right words it may be a misreading of, with log probability and count."""
+    folds = materialise(vocabulary.mapInArrow(_folder(total), "word string, n long, fold string, suspect boolean, strange boolean, right boolean"), "folds")
+    right = folds.where("right").select("fold", F.col("word").alias("right"), F.col("n").alias("_n"))
+    met = folds.where("suspect").select("fold", "word", "n", "strange").join(right, "fold").where(F.col("word") != F.col("right"))
+    met = met.where((F.col("_n") >= F.when(F.col("strange"), 1).otherwise(4)) & (F.col("n") <= F.greatest(F.least(F.lit(3.0), F.col("_n") / 3), RARER * F.col("_n"))))
+    weighed = met.select("word", "right", "_n").mapInArrow(_weigh, "word string, right string, _n long, p double").where("p is not null")
+    fixes = weighed.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("right", "p", F.col("_n").alias("n")))).alias("fixes"))  # words of one fold
+    return folds.select("word", "n").join(fixes, "word", "left")
+
+
+def _lexicon(table: pa.Table, pairs: bool) -> Lexicon:
+    words: dict[str, int] = {}
+    titles: dict[str, int] = {}
+    fixes: dict[str, list[tuple[str, float]]] = {}
+    asked: dict[int, int] = {}
+    for kind, word, n, found, pair in zip(*(table.column(c).to_pylist() for c in ("kind", "word", "n", "fixes", "pair"))):
+        if kind == "v":
+            words[word] = n
+            if found:
+                fixes[word] = [(f["right"], f["p"]) for f in found]
+        elif kind == "u":
+            titles[word] = n
+        else:
+            asked[pair & 2**64 - 1] = n
+    for found in table.column("fixes").to_pylist():
+        for f in found or ():
+            words.setdefault(f["right"], f["n"])
+    return Lexicon(words, titles, fixes, asked if pairs else None)
+
+
+DRAFT = "id long, part int, text string, lines array<string>, undecided array<int>, words array<string>, furniture array<string>, pair long"
+
+
+def _drafter(total: float):
+    """Repairs of records without an undecided line; drafts of the others, and the word pairs they ask for."""
+
+    def run(texts: pa.Table, known: pa.Table) -> pa.Table:
+        if not texts.num_rows:
+            return pa.Table.from_batches([], schema=_ARROW_DRAFT)
+        repairer = Repairer(_lexicon(known, False), total)
+        rows = []
+        part = texts.column("part")[0].as_py()
+        for i, text in zip(texts.column("id").to_pylist(), texts.column("text").to_pylist()):
+            lines, undecided, words, furniture = repairer.prepare(text)
+            rows.append((i, part, None if undecided else " ".join(lines), lines if undecided else None, undecided or None, words, furniture, None))
+        asked = np.fromiter(repairer.counts.asked, np.uint64, len(repairer.counts.asked)).view(np.int64)
+        rows += [(None, part, None, None, None, None, None, int(h)) for h in asked]
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), _ARROW_DRAFT)], schema=_ARROW_DRAFT)
 
     return run
 
 
-def repair(rows: DataFrame, id_column: str, text_column: str, cells: int = CELLS) -> DataFrame:
+def _decider(total: float):
+    """Repairs of the records with undecided lines."""
+
+    def run(drafts: pa.Table, known: pa.Table) -> pa.Table:
+        repairer = Repairer(_lexicon(known, True), total)
+        out = []
+        for i, lines, undecided, words, furniture in zip(*(drafts.column(c).to_pylist() for c in ("id", "lines", "undecided", "words", "furniture"))):
+            for k in undecided:
+                lines[k], right = repairer.decide(lines[k])
+                words += right
+            out.append((i, " ".join(lines), list(dict.fromkeys(words)), furniture))
+        columns = zip(*out) if out else ((),) * 4
+        return pa.table([pa.array(c, f.type) for c, f in zip(columns, _ARROW_REPAIR)], schema=_ARROW_REPAIR)
+
+    return run
+
+
+_STRINGS = pa.list_(pa.string())
+_ARROW_REPAIR = pa.schema([("id", pa.int64()), ("text", pa.string()), ("words", _STRINGS), ("furniture", _STRINGS)])
+_ARROW_DRAFT = pa.schema([
+    ("id", pa.int64()), ("part", pa.int32()), ("text", pa.string()), ("lines", _STRINGS), ("undecided", pa.list_(pa.int32())), ("words", _STRINGS), ("furniture", _STRINGS), ("pair", pa.int64()),
+])
+
+
+def repair(rows: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """(id, text, words, furniture): the text put right, the words that were broken or misread, the lines of page furniture."""
     texts = rows.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).where("id is not null")
-    table = hashed_counts(texts.where("text is not null").select("text"), _hashes, cells)
-    counts = rows.sparkSession.sparkContext.broadcast(table)
-    # Every word is counted twice alone and once as part of a pair.
-    total = float(table.astype(np.int64).sum()) / 3
-    return texts.mapInArrow(_repair(counts, total), "id long, text string, words array<string>, furniture array<string>")
+    tasks = tasks_of(rows.sparkSession)
+    parts = max(2 * tasks, math.ceil((texts.agg(F.sum(F.length("text"))).first()[0] or 0) / CHARS_A_PART))
+    spread = max(tasks, parts // 2)
+    # Records of near ids share a part, so that a task's records fall in few parts where ids follow the order of the files.
+    texts = texts.withColumn("part", F.pmod(F.xxhash64(F.shiftright("id", 10)), F.lit(parts)).cast("int"))
+    gathered = texts.select("part", "text").mapInArrow(_gather, "kind string, part int, word string, pair long, n long")
+    gathered = materialise(gathered.groupBy("kind", "part", "word", "pair").agg(F.sum("n").alias("n")), "gathered")
+    total = float(gathered.where("kind = 'w'").agg(F.sum("n")).first()[0] or 0)
+    vocabulary = gathered.where("kind in ('v', 'w')").groupBy("word").agg(F.sum("n").alias("n"))
+    known = candidates(vocabulary, total).withColumnRenamed("n", "_n")
+    of_part = gathered.where("kind = 'v'").select("kind", "part", "word").join(known, "word").select("kind", "part", "word", F.col("_n").alias("n"), "fixes", F.lit(None).cast("long").alias("pair"))
+    titles = gathered.where("kind = 't' and n > 1").select("word", "n")
+    no_fixes = F.lit(None).cast("array<struct<right: string, p: double, n: long>>").alias("fixes")
+    heads = gathered.where("kind = 'u'").select("kind", "part", "word").join(titles, "word").select("kind", "part", "word", "n", no_fixes, F.lit(None).cast("long").alias("pair"))
+    lexicon = materialise(of_part.unionByName(heads), "lexicon")
+
+    by_part = lambda df: df.repartition(spread, "part").groupBy("part")
+    drafts = materialise(by_part(texts).cogroup(by_part(lexicon)).applyInArrow(_drafter(total), DRAFT), "drafts")
+    counted = gathered.where("kind = 'p'").select("pair", "n")
+    pairs = drafts.where("pair is not null").select("part", "pair").join(counted, "pair").select(F.lit("p").alias("kind"), "part", F.lit(None).cast("string").alias("word"), "n", no_fixes, "pair")
+    open_ = drafts.where("undecided is not null").select("part", "id", "lines", "undecided", "words", "furniture")
+    needed = lexicon.where("kind = 'v'").unionByName(pairs)
+    decided = by_part(open_).cogroup(by_part(needed)).applyInArrow(_decider(total), "id long, text string, words array<string>, furniture array<string>")
+    return drafts.where("id is not null and undecided is null").select("id", "text", "words", "furniture").unionByName(decided)
 
 
 def findings(rows: DataFrame, id_column: str, text_column: str) -> DataFrame:
