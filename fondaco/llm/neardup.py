@@ -13,10 +13,11 @@ What passes is verified exactly on the sets.
 
 Shape of the work: records with equal sets are one class before anything is compared. A class sends each partition of the
 token space one packed entry with its prefix tokens that fall there, so the shuffle carries a few bytes a token. Pairs are
-made in the partitions with vectorised code, a bounded number at a time. Tokens of more than ``HOT`` records are split into a
-grid of cells by record hash, each a task's share of its own.
+made in the partitions with vectorised code and leave them as they come, a bounded number at a time. Tokens of more than ``HOT``
+records are split into a grid of cells by record hash, each a task's share of its own.
 
-Corpus counts sit in a table of fixed size (see counts.py); a wrong count changes only the order, never the result.
+Corpus counts sit in a table that follows the corpus (see counts.py); a wrong count changes only the order, never the result.
+What a cell holds on average is taken off before a token counts as hot, so a full table does not make every token hot.
 
 Defined results: null texts and texts of fewer than ``width`` words have no tokens and match nothing, not even each other;
 null ids are left out; repeated rows count once, and an id with several texts belongs to the class of each; empty tables give empty results; extra columns are ignored.
@@ -32,17 +33,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from fondaco.llm.counts import hash_words, hashed_counts, mix
+from fondaco.llm.counts import cells_for, hash_words, hashed_counts, mix
 from fondaco.session import materialise, tasks_of
 
 WORDS = re.compile(r"[^\W_]+")
-CELLS = 1 << 20
 HOT = 20_000
 PAIRS_AT_ONCE = 1_000_000
+#: Copies of one class that meet the others of their class, or of a linked one, in one task.
+COPIES = 2_000
 #: Packed prefix tokens a partition should hold at most.
 TOKENS_A_PARTITION = 4_000_000
 BITS = 256
 
+
 def shingles(text: str | None, width: int) -> np.ndarray:
     """The sorted set of 64-bit hashes of the text's shingles."""
     words = WORDS.findall(text.lower()) if text else []
@@ -138,6 +141,7 @@ def _poster(counts, width: int, t: float, parts: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counts.value
+        noise = int(count.astype(np.int64).sum()) // len(count)
         for batch in batches:
             out: dict[int, list[tuple]] = {}
             for rec, s in zip(batch.column("rec").to_pylist(), sets_of(batch.column("text").to_pylist(), width)):
@@ -150,8 +154,9 @@ def _poster(counts, width: int, t: float, parts: int):
                 part = (mix(tokens) % np.uint64(parts)).astype(np.int64)
                 rest = np.zeros(len(tokens), np.uint64)
                 side = np.zeros(len(tokens), np.uint8)
-                if (often > HOT).any():
-                    tokens, place, part, rest, side = _grid(tokens, place, part, often, rec, parts)
+                blocks = np.maximum(np.ceil((often.astype(np.int64) - noise) / HOT), 1).astype(np.int64)
+                if (blocks > 1).any():
+                    tokens, place, part, rest, side = _grid(tokens, place, part, blocks, rec, parts)
                 short = ((tokens >> np.uint64(20)) ^ rest).astype(np.uint32)
                 bits = _parity_map(s)
                 order = np.argsort(part, kind="stable")
@@ -174,28 +179,26 @@ def _poster(counts, width: int, t: float, parts: int):
 PACKED = ["recs", "sizes", "bits", "lengths", "tokens", "places", "sides"]
 
 
-def _grid(tokens, place, part, often, rec, parts):
+def _grid(tokens, place, part, blocks, rec, parts):
     """Spread the hot tokens over cells (a, b) of record blocks; a record goes to the cells of its block's row and column."""
-    out = []
     own = int(mix(np.array([rec], np.uint64))[0])
-    for k in range(len(tokens)):
-        blocks = math.ceil(int(often[k]) / HOT)
-        if blocks == 1:
-            out.append((tokens[k], place[k], part[k], 0, 0))
-            continue
-        mine = own % blocks
-        for other in range(blocks):
-            a, b = min(mine, other), max(mine, other)
-            cell = int(mix(tokens[k : k + 1] + np.uint64(a * 65_537 + b + 1))[0])
-            out.append((tokens[k], place[k], cell % parts, cell & 0xFFFFFFFF, 0 if a == b else 1 if mine < other else 2))
-    t, pl, pt, rest, side = zip(*out)
-    return np.array(t, np.uint64), np.array(pl), np.array(pt, np.int64), np.array(rest, np.uint64), np.array(side, np.uint8)
+    of = np.repeat(np.arange(len(tokens)), blocks)
+    other = np.arange(len(of)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    mine = (np.uint64(own) % blocks.astype(np.uint64)).astype(np.int64)[of]
+    a, b = np.minimum(mine, other), np.maximum(mine, other)
+    cell = mix(tokens[of] + (a * 65_537 + b + 1).astype(np.uint64))
+    cold = blocks[of] == 1
+    part = np.where(cold, part[of], (cell % np.uint64(parts)).astype(np.int64))
+    rest = np.where(cold, np.uint64(0), cell & np.uint64(0xFFFFFFFF))
+    side = np.where(cold | (a == b), 0, np.where(mine < other, 1, 2)).astype(np.uint8)
+    return tokens[of], place[of], part, rest, side
 
 
 def _pairer(t: float):
     """Candidate pairs of a partition, after the length, position and parity bounds."""
 
-    def run(group: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = pa.Table.from_batches(batches)
         get = lambda name, kind: np.frombuffer(b"".join(group.column(name).to_pylist()), kind)
         recs, sizes, lengths = get("recs", np.int64), get("sizes", np.uint32).astype(np.int64), get("lengths", np.uint32)
         bits = get("bits", np.uint64).reshape(len(recs), -1)
@@ -207,8 +210,14 @@ def _pairer(t: float):
         length = np.diff(np.r_[start, len(tokens)])
         before = np.arange(len(tokens)) - np.repeat(start, length)  # earlier entries of the same token
         ends = np.cumsum(before)
-        found = [np.zeros((0, 2), np.int64)]
-        at = 0
+        found: list[np.ndarray] = []
+
+        def flush():
+            pairs = np.unique(np.concatenate(found), axis=0)
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+        at = held = 0
         while at < len(tokens):
             stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS_AT_ONCE, "right")))
             n = before[at:stop]
@@ -225,8 +234,12 @@ def _pairer(t: float):
             keep = np.bitwise_count(bits[a] ^ bits[b]).sum(1) <= most
             a, b = recs[a[keep]], recs[b[keep]]
             found.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0))
-        pairs = np.unique(np.concatenate(found), axis=0)
-        return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            held += len(found[-1])
+            if held >= PAIRS_AT_ONCE:
+                yield flush()
+                held = 0
+        if found:
+            yield flush()
 
     return run
 
@@ -260,7 +273,7 @@ def _verifier(counts, width: int, t: float):
     return run
 
 
-def near_duplicates(rows: DataFrame, id_column: str, text_column: str, *, threshold: float = 0.8, width: int = 5, cells: int = CELLS) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(rows: DataFrame, id_column: str, text_column: str, *, threshold: float = 0.8, width: int = 5) -> tuple[DataFrame, DataFrame]:
     """(id, class_id) of every record with a token set, and (a, b, similarity) between classes; a < b are class ids.
 
     Records of equal sets share a class, named by its smallest id; their similarity is 1.
@@ -270,8 +283,8 @@ def near_duplicates(rows: DataFrame, id_column: str, text_column: str, *, thresh
     keyed = materialise(texts.mapInArrow(_keys(width), "id long, text string, key binary"), "keyed")
     classes = keyed.groupBy("key").agg(F.min("id").alias("rec"), F.min_by("text", "id").alias("text"), F.count("*").alias("n"))
     reps = materialise(classes.select("key", "rec", "text", "n"), "classes")
-    counts = spark.sparkContext.broadcast(hashed_counts(reps, _all_tokens(width), cells))
     measured = reps.agg(F.sum(F.length("text")).alias("chars")).first()["chars"] or 0
+    counts = spark.sparkContext.broadcast(hashed_counts(reps, _all_tokens(width), cells_for(measured // 7)))
     # About one token in eight characters, 40 % of them in a prefix at 0.6; more partitions than tasks do no harm.
     parts = max(tasks_of(spark), math.ceil(measured / 8 * (1 - threshold) / TOKENS_A_PARTITION))
     posted = reps.select("rec", "text").mapInArrow(_poster(counts, width, threshold, parts), "part int, " + ", ".join(f"{c} binary" for c in PACKED))
@@ -287,12 +300,17 @@ def near_pairs(rows: DataFrame, id_column: str, text_column: str, *, threshold:
     """(id_a, id_b): all pairs of records, copies included. Its size is what the caller asks for; groups use near_groups."""
     members, links = near_duplicates(rows, id_column, text_column, threshold=threshold, width=width)
     members = materialise(members, "members")
-    crowded = members.groupBy("class_id").agg(F.count("*").alias("_n")).where("_n > 1").select("class_id")
-    alike = members.join(crowded, "class_id", "left_semi")
-    left = members.select(F.col("class_id").alias("a"), F.col("id").alias("x"))
-    right = members.select(F.col("class_id").alias("b"), F.col("id").alias("y"))
-    across = links.select("a", "b").join(left, "a").join(right, "b").where("x <> y").select("x", "y")
-    within = alike.select("class_id", F.col("id").alias("x")).join(alike.select("class_id", F.col("id").alias("y")), "class_id").where("x < y").select("x", "y")
+    # Copies of a class stand in blocks; who meets a class meets each of its blocks in a task of its own.
+    crowded = members.groupBy("class_id").agg(F.ceil(F.count("*") / COPIES).cast("int").alias("_blocks"), F.count("*").alias("_n"))
+    placed = members.join(crowded, "class_id").withColumn("_block", F.pmod(F.xxhash64("id"), "_blocks").cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block")
+    right = placed.select(F.col("class_id").alias("b"), "_block", F.col("id").alias("y"))
+    left = placed.select(F.col("class_id").alias("a"), F.col("_block").alias("_left"), F.col("id").alias("x"))
+    linked = links.select("a", "b").join(crowded.select(F.col("class_id").alias("b"), "_blocks"), "b").select("a", "b", every)
+    linked = linked.join(crowded.select(F.col("class_id").alias("a"), "_blocks"), "a").select("a", "b", "_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_left"))
+    across = linked.join(left, ["a", "_left"]).join(right, ["b", "_block"]).where("x <> y").select("x", "y")
+    alike = placed.where("_n > 1")
+    within = alike.select(F.col("class_id").alias("b"), F.col("id").alias("x"), every).join(right, ["b", "_block"]).where("x < y").select("x", "y")
     return across.unionByName(within).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
 
