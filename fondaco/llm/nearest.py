@@ -1,15 +1,18 @@
 """The k most similar vectors of every vector: balanced posting lists with boundary replication.
 
-Index: centroids come from a balanced bisection of a bounded sample (``SAMPLE`` vectors a model, those of the smallest id
-hash). A graph over the centroids is kept in memory on every worker and searched best-first for the lists of a vector. A
-vector is posted to every list whose centroid is at most (1 + ``RATIO``) times as far as its nearest one, at most ``LISTS``;
-the same distance-ratio rule selects the lists in which it is searched. Every row is indexed and every row is a query.
+Index: centroids come from a balanced bisection of a bounded sample, ``SAMPLED`` vectors a centroid, drawn by id hash. Their
+number grows with the rows, one for ``LIST_SIZE``, so lists keep their size up to ``CENTROIDS`` centroids in all (13 million
+vectors); from there on lists grow and are split. A graph over the centroids is built once, broadcast, and searched best-first
+for the lists of a vector. A vector is posted to every list whose centroid is at most (1 + ``RATIO``) times as far as its nearest
+one, at most ``LISTS``; the same distance-ratio rule selects the lists in which it is searched. Every row is indexed and every
+row is a query.
 
 Search: inside a list all cosines are computed in double precision, in blocks. Lists over ``BLOCK`` rows are split in blocks
 that meet pairwise in tasks of their own, so a hot list spreads over the cluster. Equal vectors are searched once: they form
 a class that carries its k + 1 smallest ids.
 
-What is broadcast: at most ``CENTROIDS`` centroids in all (8 MB at 64 dimensions) with their graph, whatever the data.
+What goes through the driver and is broadcast: at most ``CENTROIDS`` centroids in all (8 MB at 64 dimensions) with their graph,
+from at most twice ``SAMPLED`` x ``CENTROIDS`` vectors, whatever the data.
 
 Defined results: null, zero, non-finite and wrong-length vectors take no part; ties go to the smaller id; a null model or id
 takes no part; repeated ids keep the greatest vector; empty tables give no pairs; extra columns are ignored.
@@ -25,14 +28,14 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from fondaco.session import materialise
 
-SAMPLE = 20_000
+SAMPLED = 8
 CENTROIDS = 32_768
 LIST_SIZE = 400
-LISTS = 8
-RATIO = 0.3
+LISTS = 6
+RATIO = 0.25
 DEGREE = 16
 BEAM = 24
-BLOCK = 3_000
+BLOCK = 8_000
 
 
 def valid_vectors(rows: DataFrame, id_column: str, model: str, dims: str, vector: str) -> DataFrame:
@@ -94,6 +97,15 @@ class CentroidGraph:
         self.links = np.where(again, np.arange(n, dtype=np.int32)[:, None], every)
         self.entries = self._spread(min(n, max(32, int(4 * np.sqrt(n)))))
 
+    def arrays(self) -> tuple[np.ndarray, ...]:
+        return self.c, self.sq, self.links, self.entries
+
+    @classmethod
+    def of(cls, arrays: tuple[np.ndarray, ...]) -> "CentroidGraph":
+        graph = cls.__new__(cls)
+        graph.c, graph.sq, graph.links, graph.entries = arrays
+        return graph
+
     def _spread(self, count: int) -> np.ndarray:
         """Entries far from one another: each next one is the centroid farthest from those before."""
         chosen = [0]
@@ -138,15 +150,15 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def _assigner(index: dict[str, np.ndarray]):
+def _assigner(index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        graphs: dict[str, CentroidGraph] = {}
+        graphs = {m: CentroidGraph.of(arrays) for m, arrays in index.value.items()}
         for batch in batches:
             models = np.asarray(batch.column("model").to_pylist(), object)
             lists: list = [None] * len(models)
             for m in set(models):
                 rows = np.flatnonzero(models == m)
-                graph = graphs.setdefault(m, CentroidGraph(index[m])) if m in graphs or m in index else None
+                graph = graphs[m]
                 x = _matrix(batch.column("vec").take(pa.array(rows)))
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
                 for at in range(0, len(rows), 2048):
@@ -195,23 +207,30 @@ def nearest(rows: DataFrame, id_column: str, model: str, dims: str, vector: str,
     spark = rows.sparkSession
     keyed = valid_vectors(rows, id_column, model, dims, vector)
     keyed = keyed.groupBy("id", "model").agg(F.max("vec").alias("vec"))
-    keyed = materialise(keyed.withColumn("key", F.sha2(F.concat_ws(",", F.transform("vec", lambda x: x.cast("string"))), 256)), "vectors")
+    key = F.struct(F.xxhash64("vec"), F.xxhash64(F.lit(1), "vec"))
+    keyed = materialise(keyed.withColumn("key", key), "vectors")
 
-    # Classes of equal vectors; cid is the smallest id. min_by carries one vector per class and task.
-    classes = keyed.groupBy("model", "key").agg(F.min("id").alias("cid"), F.first("vec").alias("vec"))
-    sizes = {r["model"]: r["n"] for r in classes.groupBy("model").agg(F.count("*").alias("n")).collect()}
+    # Classes of equal vectors; cid is the smallest id.
+    classes = materialise(keyed.groupBy("model", "key").agg(F.min("id").alias("cid"), F.first("vec").alias("vec")), "classes")
+    sizes = {r["model"]: r["n"] for r in classes.groupBy("model").agg(F.count("*").alias("n")).limit(CENTROIDS // 16 + 1).collect()}
     if not sizes:
         return spark.createDataFrame([], "id long, near long, cosine double")
     if len(sizes) > CENTROIDS // 16:
-        raise ValueError(f"{len(sizes)} models share the {CENTROIDS} centroids; index them in several runs")
+        raise ValueError(f"more than {CENTROIDS // 16} models share the {CENTROIDS} centroids; index them in several runs")
     total = sum(sizes.values())
-    index = {}
+    counts = {m: max(1, min(n // LIST_SIZE, CENTROIDS * n // total)) for m, n in sizes.items()}
+    drawn = F.lit(False)
     for m, n in sizes.items():
-        drawn = classes.where(F.col("model") == m).orderBy(F.xxhash64("cid"), "cid").select("vec").limit(min(n, SAMPLE)).toArrow().column("vec")
-        x = _matrix(drawn)
+        share = min(1.0, (SAMPLED * counts[m] + 64) / n)
+        drawn = drawn | ((F.col("model") == m) & (F.pmod(F.xxhash64(F.lit(3), "cid"), F.lit(1 << 20)) <= int(share * (1 << 20))))
+    sample = classes.where(drawn).select("model", "vec").toArrow()
+    models = np.asarray(sample.column("model").to_pylist(), object)
+    index = {}
+    for m, count in counts.items():
+        x = _matrix(sample.column("vec").filter(pa.array(models == m)))
         x /= np.linalg.norm(x, axis=1, keepdims=True)
-        count = max(1, min(n // LIST_SIZE, CENTROIDS * n // total, len(x) // 8))
-        index[m] = balanced_centroids(x.astype(np.float32), count)
+        index[m] = CentroidGraph(balanced_centroids(x.astype(np.float32), max(1, min(count, len(x) // 2)))).arrays()
+    index = spark.sparkContext.broadcast(index)
     posted = materialise(
         classes.select("cid", "model", "vec").mapInArrow(_assigner(index), "cid long, model string, vec array<float>, lists array<int>"), "postings"
     )
@@ -232,9 +251,9 @@ def nearest(rows: DataFrame, id_column: str, model: str, dims: str, vector: str,
     at = at.withColumn("own", own).select("cid", "vec", "model", "list", F.explode(cells).alias("cell"))
     at = at.select("cid", "vec", "model", "list", "cell.a", "cell.b", "cell.side")
     found = at.groupBy("model", "list", "a", "b").applyInArrow(_searcher(k, least), "cid long, near long, cosine double")
-    found = found.groupBy("cid", "near").agg(F.max("cosine").alias("cosine"))
+    # A pair found in several lists has one rank, so its copies go after the cut, in the same partitions.
     best = Window.partitionBy("cid").orderBy(F.desc("cosine"), "near")
-    found = found.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k).drop("_n")
+    found = found.withColumn("_n", F.dense_rank().over(best)).where(F.col("_n") <= k).groupBy("cid", "near").agg(F.max("cosine").alias("cosine"))
 
     # From classes back to rows: the k + 1 smallest ids of a class stand for it.
     members = keyed.join(classes.select("model", "key", "cid"), ["model", "key"]).select("id", "cid")
