@@ -118,10 +118,13 @@ def line_key(line: Column) -> Column:
 
 
 #: One word three times in a row.
-ONE_WORD = r"(?iu)(?<![\p{L}\p{N}])(\p{L}{3,})(?:\s+\1){2}(?![\p{L}\p{N}])"
-#: What a line must hold for the costly patterns to be tried on it.
-MAY_HOLD_PLACEHOLDER = r"[{\[<$#@%_&]|€|[.]{6}|XXX|XX/|TODO|FIXME|TBD|DA [CDI]|(?i:mm/[ay])"
-MAY_BE_FILLER = r"(?iu)ipsum|dolor|lorem|veniam|nostrud|xx|asdf|qwert|foo|blah|prova|qui il |segnaposto|provvisori|disponibile|mancante|in preparazione|in arrivo|da sostituire|da completare|da inserire|da definire|placeholder|dummy"
+ONE_WORD = r"(?iu)(?<![\p{L}\p{N}])(\p{L}{3,}+)(?:\s+\1){2}(?![\p{L}\p{N}])"
+#: What a line must hold for the costly patterns to be tried on it; what begins with a letter stands at the start of a word.
+MAY_HOLD_PLACEHOLDER = r"[{\[<$#@%_&€]|\.{6}|\b(?:X[X/]|T(?:ODO|BD)|FIXME|DA [CDI]|[mM][mM]/[aAyY])"
+MAY_BE_FILLER = (
+    r"\b(?:i(?:psum|n (?:preparazione|arrivo))|d(?:olor|isponibile|ummy|a (?:sostituire|completare|inserire|definire))|lorem|veniam|nostrud|xx|asdf|qwert|foo|b(?:lah?|ar)\b|"
+    r"test\b|p(?:rov(?:a|visori)|laceholder)|qui il |segnaposto|mancante)"
+)
 
 
 def evidence(said: Column) -> Column:
@@ -129,13 +132,13 @@ def evidence(said: Column) -> Column:
     start = r"(?iu)^[\s\u00a0\u200b•*>\-]*"
     sentences = F.filter(F.split(F.lower(said), r"(?<=[.!?])\s+"), lambda s: F.length(s) >= 8)
     # One sentence three times in a row, or more; sentences cut at abbreviations recur, but not in a row.
-    repeated = F.size(F.filter(F.zip_with(sentences, F.slice(sentences, 2, 1_000_000), lambda x, y: x == y), lambda same: same)) >= 2
+    repeated = F.size(F.filter(F.zip_with(sentences, F.slice(sentences, F.lit(2), F.size(sentences)), lambda x, y: x == y), lambda same: same)) >= 2
     return (
         F.when(said.rlike(start + _any(ERROR_LINES)), "error")
         .when(said.rlike(start + _any(SCRIPT_LINES)), "script")
         .when(said.rlike(MAY_HOLD_PLACEHOLDER) & said.rlike(_any(PLACEHOLDERS)), "placeholder")
         .when(said.rlike(ONE_WORD), "filler")
-        .when((said.rlike(MAY_BE_FILLER) & F.concat(said, F.lit(" ")).rlike("(?iu)" + _any(FILLERS))) | repeated, "filler")
+        .when((F.lower(said).rlike(MAY_BE_FILLER) & F.concat(said, F.lit(" ")).rlike("(?iu)" + _any(FILLERS))) | repeated, "filler")
     )
 
 
@@ -144,7 +147,7 @@ def marked_lines(documents: DataFrame, id_column: str, text_column: str, host: s
     texts = documents.select(F.col(id_column).alias("id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.col(text_column).alias("text"))
     lines = texts.where("text is not null and id is not null").select("id", "host", F.explode(F.split("text", r"[\r\n]+")).alias("line"))
     lines = lines.where(F.length(F.trim("line")) > 0)
-    lines = lines.select("id", "host", "line", evidence(F.regexp_replace("line", QUOTED, " ")).alias("kind"))
+    lines = lines.select("id", "host", "line", evidence(F.when(F.col("line").rlike("[«“„]|<<"), F.regexp_replace("line", QUOTED, " ")).otherwise(F.col("line"))).alias("kind"))
     key = F.when(F.col("kind").isNull(), F.xxhash64(F.trim("line"))).otherwise(F.xxhash64(line_key(F.col("line"))))
     return lines.select("id", "host", key.alias("key"), F.length("line").alias("chars"), "kind")
 
