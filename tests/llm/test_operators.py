@@ -121,6 +121,17 @@ def test_near_pairs_of_hot_tokens_are_split_without_loss(spark, monkeypatch):
     assert got == brute(texts, 0.6, 3)
 
 
+@pytest.mark.parametrize("cells", [16, 1 << 12])
+def test_near_pairs_whatever_the_table_and_the_copies(spark, monkeypatch, cells):
+    monkeypatch.setattr(neardup, "cells_for", lambda keys: cells)
+    monkeypatch.setattr(neardup, "HOT", 20)
+    monkeypatch.setattr(neardup, "COPIES", 3)
+    texts = corpus(90, 31)
+    texts += [(200 + i, texts[3][1]) for i in range(8)] + [(300 + i, texts[3][1] + " coda") for i in range(4)]
+    got = [(r["id_a"], r["id_b"]) for r in neardup.near_pairs(spark.createDataFrame(texts, "id long, text string"), "id", "text", threshold=0.6, width=3).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(texts, 0.6, 3)
+
+
 def test_groups_join_chains_and_keep_copies_together(spark):
     a = " ".join(f"w{k}" for k in range(60))
     b, c = a.replace("w0 ", "y0 "), a.replace("w0 ", "y0 ").replace("w59", "y59")
@@ -173,6 +184,21 @@ def test_repair_joins_corrects_and_drops_furniture(spark):
     assert text[1001] == noisy[1][1] and text[1002] == text[1003] == text[1004] == ""
 
 
+@pytest.mark.parametrize("chars, parts", [(300, 1), (300, 7), (10**9, 3)])
+def test_repair_does_not_depend_on_the_split(spark, monkeypatch, chars, parts):
+    monkeypatch.setattr(scans, "CHARS_A_PART", chars)
+    noisy = [(1000 + 2048 * i, page(["la rcsponsabilità della", "RASSEGNA GENERALE", "", f"fase cseeutiva del contra-", "tto di locazionc"])) for i in range(3)]  # noqa: F541
+    rows = spark.createDataFrame(scanned() + noisy, "id long, testo string").repartition(parts)
+    found = {(r["id"], r["kind"], r["item"]) for r in scans.findings(rows, "id", "testo").collect()}
+    want = {("parola", w) for w in ("responsabilità", "esecutiva", "contratto", "locazione")} | {("riga", "RASSEGNA GENERALE")}
+    assert found == {(1000 + 2048 * i, *w) for i in range(3) for w in want}
+
+
+def test_joins_foresee_every_joined_word():
+    assert {"tecnico-scientifica", "scientifica", "respon-sabile"} <= scans.joins(["tecnico-scien-", "3", "", "tifica respon-", "RASSEGNA", "sabile"])
+    assert {"responsabile", "respon"} <= scans.joins(["re-", "spon-", "sabile"])
+
+
 def test_findings_of_an_empty_table(spark):
     assert scans.findings(spark.createDataFrame([], "id long, testo string"), "id", "testo").count() == 0
 
@@ -305,6 +331,21 @@ def test_nearest_pairs_against_brute_force(spark, monkeypatch):
     assert nearest.nearest_pairs(spark.createDataFrame([], VECTORS), "id", "model", "dims", "embedding").count() == 0
 
 
+def test_recall_of_every_fiftieth_row_against_all(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "LIST_SIZE", 100)
+    rng = np.random.default_rng(8)
+    centers = rng.normal(size=(60, 24))
+    x = (centers[rng.integers(60, size=6000)] + 0.35 * rng.normal(size=(6000, 24))).astype(np.float32)
+    rows = spark.createDataFrame([(i, "m", 24, v.tolist()) for i, v in enumerate(x)], VECTORS)
+    got = {(r["id"], r["near"]) for r in nearest.nearest(rows, "id", "model", "dims", "embedding", 5, 0.85).where("id % 50 = 0").collect()}
+    n = x.astype(np.float64)
+    n /= np.linalg.norm(n, axis=1, keepdims=True)
+    cos = np.round(n[::50] @ n.T, 6)
+    cos[np.arange(len(cos)), np.arange(0, 6000, 50)] = -2
+    want = {(50 * q, j) for q in range(len(cos)) for j in np.argsort(-cos[q], kind="stable")[:5].tolist() if cos[q, j] >= 0.85}
+    assert len(want) > 300 and len(got & want) >= 0.99 * len(want)
+
+
 def test_graph_finds_the_nearest_centroids():
     rng = np.random.default_rng(5)
     c = rng.normal(size=(300, 8)).astype(np.float32)
