@@ -127,18 +127,19 @@ MAY_BE_FILLER = (
 )
 
 
-def evidence(said: Column) -> Column:
-    """Kind of evidence in a line freed of quotations, null if none."""
+def evidence(said: Column, low: Column) -> Column:
+    """Kind of evidence in a line freed of quotations, also given in lower case; null if none."""
     start = r"(?iu)^[\s\u00a0\u200b•*>\-]*"
-    sentences = F.filter(F.split(F.lower(said), r"(?<=[.!?])\s+"), lambda s: F.length(s) >= 8)
+    sentences = F.filter(F.split(low, r"(?<=[.!?])\s+"), lambda s: F.length(s) >= 8)
     # One sentence three times in a row, or more; sentences cut at abbreviations recur, but not in a row.
     repeated = F.size(F.filter(F.zip_with(sentences, F.slice(sentences, F.lit(2), F.size(sentences)), lambda x, y: x == y), lambda same: same)) >= 2
+    repeated = low.rlike(r"(?s)[.!?]\s.*[.!?]\s") & repeated  # three sentences at least
     return (
         F.when(said.rlike(start + _any(ERROR_LINES)), "error")
         .when(said.rlike(start + _any(SCRIPT_LINES)), "script")
         .when(said.rlike(MAY_HOLD_PLACEHOLDER) & said.rlike(_any(PLACEHOLDERS)), "placeholder")
         .when(said.rlike(ONE_WORD), "filler")
-        .when((F.lower(said).rlike(MAY_BE_FILLER) & F.concat(said, F.lit(" ")).rlike("(?iu)" + _any(FILLERS))) | repeated, "filler")
+        .when((low.rlike(MAY_BE_FILLER) & F.concat(said, F.lit(" ")).rlike("(?iu)" + _any(FILLERS))) | repeated, "filler")
     )
 
 
@@ -147,7 +148,9 @@ def marked_lines(documents: DataFrame, id_column: str, text_column: str, host: s
     texts = documents.select(F.col(id_column).alias("id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.col(text_column).alias("text"))
     lines = texts.where("text is not null and id is not null").select("id", "host", F.explode(F.split("text", r"[\r\n]+")).alias("line"))
     lines = lines.where(F.length(F.trim("line")) > 0)
-    lines = lines.select("id", "host", "line", evidence(F.when(F.col("line").rlike("[«“„]|<<"), F.regexp_replace("line", QUOTED, " ")).otherwise(F.col("line"))).alias("kind"))
+    # Each step is named and used several times after, so the optimiser leaves it a step of its own.
+    said = F.when(F.col("line").rlike("[«“„]|<<"), F.regexp_replace("line", QUOTED, " ")).otherwise(F.col("line"))
+    lines = lines.select("id", "host", "line", said.alias("said")).select("*", F.lower("said").alias("low")).select("id", "host", "line", evidence(F.col("said"), F.col("low")).alias("kind"))
     key = F.when(F.col("kind").isNull(), F.xxhash64(F.trim("line"))).otherwise(F.xxhash64(line_key(F.col("line"))))
     return lines.select("id", "host", key.alias("key"), F.length("line").alias("chars"), "kind")
 
