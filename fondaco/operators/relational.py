@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 # Merges. Tables are immutable files here: every merge gives the rows of the next state of the target.
 
@@ -135,3 +135,13 @@ def specificity_match(rows: DataFrame, profiles: DataFrame, wildcards: dict[str,
     special = reduce(lambda a, b: a + b, [F.col(f"_{p}").isNotNull().cast("int") for p in wildcards])
     best = rows.join(told, fits, "left").groupBy(key).agg(F.min_by("_name", F.struct(-special, F.col("_name"))).alias(name))
     return best
+
+
+def write_run(rows: DataFrame, path: str, run: int) -> None:
+    """Write the rows of a run to a partition of its own; a second write of the run replaces it and touches no other."""
+    rows.withColumn("run_id", F.lit(run)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
+
+
+def read_run(spark: SparkSession, path: str, run: int) -> DataFrame:
+    """The rows of a run; other runs are not read."""
+    return spark.read.parquet(path).where(F.col("run_id") == run)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession, functions as F
 
 from fondaco.functions import legal
 from fondaco.operators import extract as ex, graph as gr, relational as rel, retrieval as ret
 from fondaco.plans.relational import concept_paths
 from fondaco.plans.texts import sql_article_number
-from fondaco.session import table
+from fondaco.session import materialise, shared_dir, table
 
 QUERIES, SQL = {}, {}
 
@@ -39,90 +41,181 @@ def all_of(pattern: str, groups: int, where: str = "massime WHERE testo IS NOT N
 NUMERO = "CASE WHEN {0} <> '' AND regexp_replace({0}, '^0+', '') = '' THEN '0' ELSE regexp_replace({0}, '^0+', '') END"
 SEZIONE = "CASE WHEN lower(trim({0})) IN ('un', 'unite', 'u') THEN 'U' WHEN lower(trim({0})) IN ('lav', 'l') THEN 'L' ELSE trim({0}) END"
 RVN = r"CASE WHEN regexp_extract({0}, '^0*(\d{{5,7}})', 1) <> '' THEN regexp_extract({0}, '^0*(\d{{5,7}})', 1) ELSE {0} END"
-MENTIONS = f"""SELECT id, 'rv' AS kind, {RVN.format('g1')} AS rv, NULL AS sezione, NULL AS numero, NULL::INT AS anno FROM ({all_of(ex.RV, 1)})
-    UNION ALL SELECT id, 'sez_num_anno', NULL, {SEZIONE.format('g1')}, {NUMERO.format('g2')}, g3::INT FROM ({all_of(ex.SEZ, 3)})
-    UNION ALL SELECT id, 'num_anno', NULL, NULL, {NUMERO.format('g1')}, g2::INT FROM ({all_of(ex.NUM, 2)})
-    UNION ALL SELECT id, 'sentenza', NULL, NULL, {NUMERO.format('g1')}, g2::INT FROM ({all_of(ex.SENTENCE, 2)})"""
 
 
-@op(MENTIONS)
+def placed(pattern: str, groups: int, before: int, after: int = 0, where: str = "massime WHERE testo IS NOT NULL") -> str:
+    """SQL of matches with their place and what stands around them: (id, position, raw_span, around, g1, ...)."""
+    found = ", ".join(f"regexp_extract_all(testo, {q(pattern)}, {i}) AS g{i}" for i in range(1, groups + 1))
+    size = "coalesce(list_sum(list_transform({}, lambda x: length(x))), 0)::INT"
+    rest = f" + length(spans[i]) + {after}" if after else ""
+    lists = ", ".join(f"unnest({c}) AS {n}" for c, n in [("places", "position"), ("spans", "raw_span"), ("beside", "around"), *[(f"g{i}", f"g{i}") for i in range(1, groups + 1)]])
+    return f"""SELECT id, {lists} FROM (
+        SELECT *, list_transform(range(1, len(spans) + 1), lambda i: substr(testo, greatest(places[i] - {before}, 0) + 1, places[i] - greatest(places[i] - {before}, 0){rest})) AS beside FROM (
+        SELECT *, list_transform(range(1, len(spans) + 1), lambda i: {size.format('pieces[1:i]')} + {size.format('spans[1:i - 1]')}) AS places FROM (
+        SELECT id, testo, regexp_extract_all(testo, {q(pattern)}, 0) AS spans, string_split_regex(testo, {q(pattern)}) AS pieces, {found} FROM {where})))"""
+
+
+INDICATOR = "CASE " + " ".join(f"WHEN regexp_matches(lower(around), {q(p)}) THEN '{n}'" for n, p in ex.ATTITUDES) + " END"
+MENTIONS = f"""SELECT id, 'rv' AS kind, g1 AS rv_raw, {RVN.format('g1')} AS rv, NULL AS sezione, NULL AS numero, NULL::INT AS anno, position, raw_span, {INDICATOR} AS indicator FROM ({placed(ex.RV, 1, 50)})
+    UNION ALL SELECT id, 'sez_num_anno', NULL, NULL, {SEZIONE.format('g1')}, {NUMERO.format('g2')}, g3::INT, position, raw_span, {INDICATOR} FROM ({placed(ex.SEZ, 3, 50)})
+    UNION ALL SELECT id, 'num_anno', NULL, NULL, NULL, {NUMERO.format('g1')}, g2::INT, position, raw_span, {INDICATOR} FROM ({placed(ex.NUM, 2, 50)})
+    UNION ALL SELECT id, 'sentenza', NULL, NULL, NULL, {NUMERO.format('g1')}, g2::INT, position, raw_span, {INDICATOR} FROM ({placed(ex.SENTENCE, 2, 50)})"""
+
+
+@op(f"SELECT id, kind, rv, sezione, numero, anno, position, raw_span FROM ({MENTIONS})")
 def extract_mentions(spark, sf):
-    return ex.mentions(texts(spark, sf)).select("id", "kind", "rv", "sezione", "numero", "anno")
+    return ex.mentions(texts(spark, sf)).select("id", "kind", "rv", "sezione", "numero", "anno", "position", "raw_span")
 
 
-@op()
+@op(f"SELECT id, kind, position, raw_span, indicator FROM ({MENTIONS})")
 def detect_indicator(spark, sf):
     return ex.mention_places(texts(spark, sf))
 
 
 KEYS = "k AS (SELECT id, rv, sezione, numero, anno FROM massime WHERE is_active)"
-RESOLVED = f"""{KEYS}, m AS (SELECT DISTINCT * FROM ({MENTIONS})), h AS (
+RESOLVED = f"""{KEYS}, m AS ({MENTIONS}), h AS (
     SELECT m.*, 0 AS level, (SELECT min(id) FROM k WHERE k.rv = m.rv) AS target FROM m WHERE m.rv IS NOT NULL UNION ALL
     SELECT m.*, 1, (SELECT min(id) FROM k WHERE {SEZIONE.format('k.sezione')} = m.sezione AND k.numero = m.numero AND k.anno = m.anno) FROM m UNION ALL
     SELECT m.*, 2, (SELECT min(id) FROM k WHERE k.numero = m.numero AND k.anno = m.anno) FROM m),
-    b AS (SELECT id, kind, rv, sezione, numero, anno, arg_min(target, level) AS target, min(level) AS level FROM h WHERE target IS NOT NULL GROUP BY ALL)
+    b AS (SELECT id, kind, rv_raw, rv, sezione, numero, anno, position, raw_span, indicator, arg_min(target, level) AS target, min(level) AS level FROM h WHERE target IS NOT NULL GROUP BY ALL)
     SELECT *, ['rv_exact', 'sez_num_anno', 'num_anno'][level + 1] AS resolver FROM b WHERE target <> id"""
 
 
 def resolved(spark, sf):
     keys = table(spark, sf, "massime").where("is_active").select("id", "rv", "sezione", "numero", "anno")
-    return ex.resolve(extract_mentions(spark, sf).distinct(), keys)
+    return ex.resolve(ex.mentions(texts(spark, sf)).drop("numero_raw"), keys)
 
 
-@op(f"WITH {RESOLVED}")
+@op(f"SELECT id, kind, rv, sezione, numero, anno, position, target, level, resolver FROM (WITH {RESOLVED})")
 def resolve_mention(spark, sf):
-    return resolved(spark, sf).withColumn("level", F.when(F.col("resolver") == "rv_exact", 0).when(F.col("resolver") == "sez_num_anno", 1).otherwise(2))
+    level = F.when(F.col("resolver") == "rv_exact", 0).when(F.col("resolver") == "sez_num_anno", 1).otherwise(2)
+    return resolved(spark, sf).select("id", "kind", "rv", "sezione", "numero", "anno", "position", "target", level.alias("level"), "resolver")
 
 
-WEIGHT = "CASE resolver WHEN 'rv_exact' THEN 1.0 WHEN 'sez_num_anno' THEN 0.9 ELSE 0.7 END"
+WEIGHT = "round(CASE WHEN indicator IN ('OVERRULES', 'DISTINGUISHES') THEN least(1.1 * w, 1.0) ELSE w END, 2)::DOUBLE"
+WEIGHED = f"(SELECT *, {WEIGHT} AS weight FROM (SELECT *, CASE resolver WHEN 'rv_exact' THEN 1.0 WHEN 'sez_num_anno' THEN 0.9 ELSE 0.7 END::DOUBLE AS w FROM (WITH {RESOLVED})))"
 
 
-@op(f"SELECT id, kind, target, {WEIGHT}::DOUBLE AS weight FROM (WITH {RESOLVED})")
+@op(f"SELECT id, kind, position, target, weight FROM {WEIGHED}")
 def mention_weight(spark, sf):
-    return resolved(spark, sf).select("id", "kind", "target", ex.mention_weight(F.col("resolver"), F.lit(None).cast("string")).alias("weight"))
+    return resolved(spark, sf).select("id", "kind", "position", "target", ex.mention_weight(F.col("resolver"), F.col("indicator")).alias("weight"))
+
 
+_JSON = lambda c: f"""coalesce('"' || replace(replace(replace({c}, '\\', '\\\\'), '"', '\\"'), chr(10), '\\n') || '"', 'null')"""
+_PATTERN = "coalesce('Rv.' || rv || CASE WHEN rv_raw <> rv THEN ' (raw: ' || rv_raw || ')' ELSE '' END, 'Sez.' || sezione || '/n.' || numero || '/' || anno, 'n.' || numero || '/' || anno)"
+EVIDENCE = f"""'{{"pattern":' || {_JSON(_PATTERN)} || ',"indicator":' || {_JSON('indicator')} || ',"resolver":' || {_JSON('resolver')} || ',"raw_span":' || {_JSON('substr(raw_span, 1, 100)')} || '}}'"""
 
-@op(f"""SELECT id, target, '{{"pattern":"' || CASE WHEN rv IS NOT NULL THEN 'Rv.' || rv WHEN sezione IS NOT NULL THEN 'Sez.' || sezione || '/n.' || numero || '/' || anno ELSE 'n.' || numero || '/' || anno END || '","resolver":"' || resolver || '"}}' AS evidence FROM (WITH {RESOLVED})""")
+
+@op(f"SELECT id, position, target, {EVIDENCE} AS evidence FROM {WEIGHED}")
 def evidence_json(spark, sf):
-    none = F.lit(None).cast("string")
-    return resolved(spark, sf).select("id", "target", ex.evidence(F.col("rv"), F.col("sezione"), F.col("numero"), F.col("anno"), none, F.col("resolver")).alias("evidence"))
+    told = ex.evidence(*map(F.col, ("rv", "rv_raw", "sezione", "numero", "anno", "raw_span", "resolver", "indicator")))
+    return resolved(spark, sf).select("id", "position", "target", told.alias("evidence"))
 
 
-EDGES = f"SELECT id AS source, target, max({WEIGHT})::DOUBLE AS weight FROM (WITH {RESOLVED}) GROUP BY 1, 2"
+EDGES = f"""SELECT source, target, indicator, confidence, weight, evidence FROM (SELECT id AS source, target, indicator, CASE WHEN contains(resolver, 'rv') THEN 1.0 ELSE 0.9 END::DOUBLE AS confidence, weight, {EVIDENCE} AS evidence,
+    row_number() OVER (PARTITION BY id, target, indicator ORDER BY contains(resolver, 'rv') DESC, list_position({ex.FORMS!r}, kind), position) AS n FROM {WEIGHED}) WHERE n = 1"""
 
 
-@op(EDGES, name="dedupe_mentions")
+@op(EDGES)
 def dedupe_mentions(spark, sf):
-    return mention_weight(spark, sf).groupBy(F.col("id").alias("source"), "target").agg(F.max("weight").alias("weight"))
+    return ex.dedupe(resolved(spark, sf))
+
+
+@op(f"SELECT coalesce(indicator, 'NONE') AS subtype, count(*) AS edges, count(DISTINCT source) AS sources, count(DISTINCT target) AS targets, round(avg(weight), 4) AS weight, count(*) FILTER (weight < 0.6) AS weak FROM ({EDGES}) GROUP BY 1")
+def graph_build_citations(spark, sf):
+    """The metrics of a run that builds the citation graph, by the subtype of its edges."""
+    subtype = F.coalesce("indicator", F.lit("NONE")).alias("subtype")
+    return dedupe_mentions(spark, sf).groupBy(subtype).agg(
+        F.count("*").alias("edges"), F.countDistinct("source").alias("sources"), F.countDistinct("target").alias("targets"), F.round(F.avg("weight"), 4).alias("weight"), F.count_if(F.col("weight") < 0.6).alias("weak"),
+    )
+
 
+@op(f"SELECT 'edge' AS kind, source, target, weight, 7 AS run_id FROM ({EDGES}) UNION ALL SELECT DISTINCT 'node', n, NULL::BIGINT, NULL::DOUBLE, 7 FROM (SELECT source AS n FROM ({EDGES}) UNION ALL SELECT target FROM ({EDGES}))")
+def sink_dual_write(spark, sf):
+    """Edges and the nodes they touch, written by run and read back; a second write of the run replaces the first."""
+    edges = materialise(dedupe_mentions(spark, sf).select("source", "target", "weight"), "edges")
+    nodes = edges.select(F.col("source").alias("source")).unionByName(edges.select(F.col("target").alias("source"))).distinct()
+    both = edges.withColumn("kind", F.lit("edge")).unionByName(nodes.withColumn("kind", F.lit("node")), allowMissingColumns=True)
+    path = f"{shared_dir(spark)}/fondaco-graph-{uuid.uuid4().hex}"
+    for _ in range(2):
+        rel.write_run(both, path, 7)
+    return rel.read_run(spark, path, 7).select("kind", "source", "target", "weight", "run_id")
 
-QUERIES["graph_build_citations"], SQL["graph_build_citations"] = dedupe_mentions, EDGES
-QUERIES["sink_dual_write"], SQL["sink_dual_write"] = dedupe_mentions, EDGES
 
 _codes = ", ".join(f"WHEN g{i + 3} <> '' THEN '{c}'" for i, c in enumerate(ex.CODES)).replace(", WHEN", " WHEN")
-NORMS = f"SELECT DISTINCT id, concat_ws(':', CASE {_codes} END, g1, nullif(lower(g2), '')) AS norm_id FROM ({all_of(ex.CODE_REF, 2 + len(ex.CODES))})" + "".join(
-    f" UNION SELECT id, '{c}:' || g1 || ':' || g2 FROM ({all_of(p, 2)})" for c, p in ex.ACT_REF.items())
 
 
-@op(NORMS)
+def norms_sql(where: str = "massime WHERE testo IS NOT NULL") -> str:
+    codes = f"SELECT DISTINCT id, concat_ws(':', CASE {_codes} END, g1, nullif(lower(g2), '')) AS norm_id FROM ({all_of(ex.CODE_REF, 2 + len(ex.CODES), where)})"
+    acts = "".join(f" UNION SELECT id, '{c}:' || g1 || ':' || g2 FROM ({all_of(p, 2, where)})" for c, p in ex.ACT_REF.items())
+    return codes + acts + "".join(f" UNION SELECT id, '{c}:' || g2 || ':' || g1 FROM ({all_of(p, 2, where)})" for c, p in ex.DATED_REF.items())
+
+
+NORMS = norms_sql()
+_short = lambda c: f"coalesce(map {ex.ABBREVIATIONS!r}[{c}], {c})"
+_acts = "".join(
+    f" UNION ALL SELECT id, position, around, {form}, '{c}:' || g{a} || ':' || g{b}, '{ex.ABBREVIATIONS[c]} n. ' || g{a} || '/' || g{b} FROM ({placed(p, 2, 80, 80)})"
+    for form, refs, a, b in ((1, ex.ACT_REF, 1, 2), (2, ex.DATED_REF, 2, 1)) for c, p in refs.items()
+)
+NORM_REFS = f"""WITH r AS (SELECT id, position, around, 0 AS form, concat_ws(':', c, g1, nullif(lower(g2), '')) AS norm_id, concat_ws(' ', 'art.', g1, nullif(lower(g2), ''), {_short('c')}) AS full_ref
+        FROM (SELECT *, CASE {_codes} END AS c FROM ({placed(ex.CODE_REF, 2 + len(ex.CODES), 80, 80)})){_acts})
+    SELECT id, norm_id, full_ref, trim(regexp_replace(around, '\\s+', ' ', 'g')) AS context FROM (SELECT *, row_number() OVER (PARTITION BY id, norm_id ORDER BY form DESC, position DESC) AS n FROM r) WHERE n = 1"""
+
+
+@op(NORM_REFS)
 def extract_norms(spark, sf):
+    return ex.norm_refs(texts(spark, sf)).select("id", "norm_id", "full_ref", "context")
+
+
+def cited(spark, sf):
     return ex.norms(texts(spark, sf)).select("id", "norm_id")
 
 
 @op(f"SELECT norm_id, count(*) AS citations, min(id) AS first_id FROM ({NORMS}) GROUP BY 1")
 def graph_build_norms(spark, sf):
-    return extract_norms(spark, sf).groupBy("norm_id").agg(F.count("*").alias("citations"), F.min("id").alias("first_id"))
+    return cited(spark, sf).groupBy("norm_id").agg(F.count("*").alias("citations"), F.min("id").alias("first_id"))
+
+
+DOCS = "(SELECT doc_id AS id, text AS testo FROM documents WHERE text IS NOT NULL)"
+
+
+def citations_sql(where: str) -> str:
+    """SQL of ex.citations: (id, tipo, raw_text, articolo, comma, lettera, codice, legge, atto_ue, autorita, sezione, numero, anno)."""
+    span = lambda p: p.replace("(?i)", "(?i)(", 1) + ")"
+    none = lambda c: f"nullif({c}, '')"
+    code = "CASE " + " ".join(f"WHEN g{i + 5} <> '' THEN '{c}'" for i, c in enumerate(ex.CITED_CODES)) + " END"
+    head = f"{none('g2')} AS articolo, {none('g3')} AS comma, {none('g4')} AS lettera"
+    parts = [f"SELECT id, 'norma' AS tipo, g1 AS raw_text, {head}, {code} AS codice, NULL AS legge, NULL AS atto_ue, NULL AS autorita, NULL AS sezione, NULL AS numero, NULL::INT AS anno FROM ({all_of(span(ex.CITED_CODE), 4 + len(ex.CITED_CODES), where)})"]
+    parts += [f"SELECT id, 'norma', g1, {head}, NULL, g5, NULL, NULL, NULL, NULL, NULL FROM ({all_of(span(ex.CITED_LAW), 5, where)})"]
+    parts += [f"SELECT id, '{k}', g1, NULL, NULL, NULL, NULL, NULL, g2 || '/' || g3, NULL, NULL, NULL, NULL FROM ({all_of(span(p), 3, where)})" for k, p in ex.UNION_ACT.items()]
+    parts += [
+        f"SELECT id, 'pronuncia', g1, NULL, NULL, NULL, NULL, NULL, NULL, '{c}', {none('g2')}, {none('g3')}, {none('g6')}::INT FROM ({all_of(span(p), 6, where)}) WHERE g3 <> '' OR g6 <> ''" for c, p in ex.COURTS.items()
+    ]
+    return " UNION ".join(parts)
 
 
-@op(f"SELECT d.doc_id AS id, concat_ws(':', CASE {_codes} END, g1, nullif(lower(g2), '')) AS norm_id FROM (SELECT DISTINCT * FROM ({all_of(ex.CODE_REF, 2 + len(ex.CODES), '(SELECT doc_id AS id, text AS testo FROM documents WHERE text IS NOT NULL)')})) x JOIN documents d ON d.doc_id = x.id GROUP BY ALL")
+CITATIONS = citations_sql(DOCS)
+
+
+def documents(spark, sf):
+    return table(spark, sf, "documents").where("text is not null").select(F.col("doc_id").alias("id"), "text")
+
+
+@op(CITATIONS)
 def extract_all_citations(spark, sf):
-    docs = table(spark, sf, "documents").where("text is not null").select(F.col("doc_id").alias("id"), "text")
-    return ex.norms(docs).where("article is not null").select("id", "norm_id").distinct()
+    return ex.citations(documents(spark, sf))
 
 
-@op(f"SELECT id, list_sort(array_agg(norm_id)) AS norms FROM ({NORMS}) GROUP BY id")
+@op(f"""SELECT id, list_sort(list_distinct(array_agg(lower('art. ' || articolo || ' ' || coalesce(codice, legge) || coalesce(', co. ' || comma, '') || coalesce(', lett. ' || lettera, ''))))) AS norms FROM ({CITATIONS}) WHERE tipo = 'norma' GROUP BY id""")
 def cited_norm_ids(spark, sf):
-    return extract_norms(spark, sf).groupBy("id").agg(F.sort_array(F.collect_list("norm_id")).alias("norms"))
+    norm = ex.cited_norm(*map(F.col, ("articolo", "comma", "lettera", "codice", "legge")))
+    return extract_all_citations(spark, sf).where("tipo = 'norma'").groupBy("id").agg(F.sort_array(F.collect_set(norm)).alias("norms"))
+
+
+@op(f"""SELECT id, list_sort(list_distinct(array_agg(lower(autorita || coalesce(' sez. ' || sezione, '') || ' n. ' || numero || coalesce('/' || anno, ''))))) AS decisions FROM ({CITATIONS}) WHERE tipo = 'pronuncia' AND numero IS NOT NULL GROUP BY id""")
+def cited_pronounce(spark, sf):
+    decision = ex.cited_decision(*map(F.col, ("autorita", "sezione", "numero", "anno")))
+    return extract_all_citations(spark, sf).where("tipo = 'pronuncia' and numero is not null").groupBy("id").agg(F.sort_array(F.collect_set(decision)).alias("decisions"))
 
 
 NUMBERS = r"(?i)\b(art|comma|n|rv|sez)\.?\s*(\d+)"
@@ -150,7 +243,7 @@ def backfill_rv(spark, sf):
     return table(spark, sf, "massime").select("id", F.coalesce("rv", found).alias("rv"))
 
 
-_ACT = "|".join(f"(?:{p[4:]})" for p in ex.ACT_REF.values())
+_ACT = "|".join(f"(?:{p[4:]})" for p in [*ex.ACT_REF.values(), *ex.DATED_REF.values()])
 
 
 @op(f"""SELECT doc_id, CASE WHEN regexp_matches(text, {q(ex.RV)}) THEN 'citation_rv' WHEN regexp_matches(text, {q(ex.SEZ)}) THEN 'citation_sez_num_anno'
@@ -177,13 +270,13 @@ LOOKUP = f"""WITH n AS ({NORMS}), s AS (SELECT n.norm_id, n.id, round(0.85 + lea
 def route_norm_lookup(spark, sf):
     years = table(spark, sf, "massime").select("id", "anno")
     score = F.round(0.85 + F.least(F.lit(0.10), F.greatest(F.lit(0), F.coalesce("anno", F.lit(2000)) - 2000) * 0.005), 6)
-    return rel.rank_by(extract_norms(spark, sf).join(years, "id").select("norm_id", "id", score.alias("score")), ["norm_id"], [F.desc("score"), F.col("id")], "r", 10).drop("r")
+    return rel.rank_by(cited(spark, sf).join(years, "id").select("norm_id", "id", score.alias("score")), ["norm_id"], [F.desc("score"), F.col("id")], "r", 10).drop("r")
 
 
 @op(f"SELECT x.norm_id, x.id, round(x.score + least(0.10 + least(c.citations / 100.0, 1.0) * 0.02, 0.20), 6)::DOUBLE AS score FROM ({LOOKUP}) x JOIN ({SQL['graph_build_norms']}) c ON x.norm_id = c.norm_id")
 def norm_boost(spark, sf):
     ranked = route_norm_lookup(spark, sf).withColumnRenamed("norm_id", "query_id")
-    cites = extract_norms(spark, sf).withColumnRenamed("norm_id", "query_id").join(graph_build_norms(spark, sf).select(F.col("norm_id").alias("query_id"), F.col("citations").alias("citation_count")), "query_id")
+    cites = cited(spark, sf).withColumnRenamed("norm_id", "query_id").join(graph_build_norms(spark, sf).select(F.col("norm_id").alias("query_id"), F.col("citations").alias("citation_count")), "query_id")
     return ret.norm_boost(ranked, cites, 10).select(F.col("query_id").alias("norm_id"), "id", "score")
 
 

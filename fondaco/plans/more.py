@@ -24,17 +24,17 @@ def op(sql: str | None = None, name: str | None = None):
     return register
 
 
-_first = lambda i: f"nullif(regexp_extract_all(testo, {xp.q(ex.CODE_REF)}, {i})[1], '')"
-_code = "CASE " + " ".join(f"WHEN {_first(i + 3)} IS NOT NULL THEN '{c}'" for i, c in enumerate(ex.CODES)) + " END"
+_ASKED = "lower(trim(concat_ws(' ', articolo, codice, rubrica)))"
+_found = lambda p, i: f"nullif(regexp_extract(q, {xp.q(p)}, {i}), '')"
+_codes = ", ".join(f"CASE WHEN {_found(p, 1)} IS NOT NULL THEN concat_ws(':', '{c}', {_found(p, 1)}, {_found(p, 2)}) END" for c, p in ex.QUESTION_CODE.items())
+_acts = ", ".join(f"CASE WHEN {_found(p, 1)} IS NOT NULL THEN concat_ws(':', '{c}', {_found(p, 1)}, {_found(p, 2)}) END" for c, p in ex.QUESTION_ACT.items())
 
 
-@op(f"SELECT id, CASE WHEN {_code} IS NOT NULL THEN concat_ws(':', {_code}, {_first(1)}, lower({_first(2)})) END AS norm_id FROM massime WHERE testo IS NOT NULL")
+@op(f"SELECT id, coalesce({_codes}, {_acts}) AS norm_id FROM (SELECT id, {_ASKED} AS q FROM normativa_altalex)")
 def parse_norm_query(spark, sf):
-    """The first norm a question names, as canonical id."""
-    part = lambda i: F.nullif(F.regexp_extract("text", ex.CODE_REF, i), F.lit(""))
-    code = F.coalesce(*[F.when(part(i + 3).isNotNull(), c) for i, c in enumerate(ex.CODES)])
-    none = F.lit(None)
-    return xp.texts(spark, sf).select("id", F.when(code.isNotNull(), legal.canonical_id(code, part(1), F.lower(part(2)), none.cast("string"), none.cast("int"))).alias("norm_id"))
+    """The norm that a question names: number, act and heading as a user types them, here those of a dirty source."""
+    asked = F.concat_ws(" ", "articolo", "codice", "rubrica")
+    return table(spark, sf, "normativa_altalex").select("id", ex.norm_question(asked).alias("norm_id"))
 
 
 _SETS = f"s AS (SELECT t, min(id) AS k FROM (SELECT id, list_sort({sql_shingles('w', 3)}) AS t FROM (SELECT id, {sql_words('testo_normalizzato')} AS w FROM massime WHERE testo_normalizzato IS NOT NULL)) WHERE len(t) > 0 GROUP BY t)"
