@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fondaco.functions import similarity as sim
+from fondaco.functions import similarity as sim, text as tx
+from fondaco.session import materialise
 
 
 def exact(rows: DataFrame, key: str, digest: Column) -> DataFrame:
@@ -31,6 +32,59 @@ def fingerprint_pairs(rows: DataFrame, key: str, fingerprint: str, most: int) ->
     return found.select(F.col("_k").alias("a"), F.col("_k2").alias("b"), "distance").distinct()
 
 
+#: Prefix tokens that candidates of an alignment share; prefixes are longer by one less.
+AGREE = 4
+
+
+def _candidates(sets: DataFrame, threshold: float) -> DataFrame:
+    """(id, target): pairs across the sides of (side, id, t) that may have Jaccard similarity ``threshold``.
+
+    Two such sets share AGREE tokens among the first n - ceil(threshold * n) + AGREE of each, rarest first over all sets, or as
+    many as the smaller one must share at all; and neither is smaller than ``threshold`` times the other.
+    """
+    spread = sets.select("side", "id", F.size("t").alias("n"), F.explode("t").alias("token"))
+    counts = spread.groupBy("token").agg(F.count("*").alias("c"))
+    ordered = spread.join(counts, "token").groupBy("side", "id", "n").agg(F.array_sort(F.collect_list(F.struct("c", "token"))).alias("o"))
+    least = lambda n: F.ceil(n * threshold - 1e-9).cast("int")
+    prefix = ordered.select("side", "id", "n", F.explode(F.slice("o", F.lit(1), F.col("n") - least(F.col("n")) + AGREE)).alias("p")).select("side", "id", "n", F.xxhash64("p.token").alias("k"))
+    one = lambda side, name, n: prefix.where(F.col("side") == side).select("k", F.col("id").alias(name), F.col("n").alias(n))
+    met = one(0, "id", "na").join(one(1, "target", "nb"), "k").where(F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9)
+    shared = met.groupBy("id", "target", "na", "nb").agg(F.count("*").alias("c"))
+    return shared.where(F.col("c") >= F.least(F.lit(AGREE), least(F.least("na", "nb")))).select("id", "target")
+
+
+def align(left: DataFrame, right: DataFrame, tokens_at: float = 0.65, grams_at: float = 0.70, weak_at: float = 0.3) -> DataFrame:
+    """(id, target, stage, score): the best match of every row of (id, text) in another (id, text), by stages.
+
+    exact, equal after normalisation; tokens, Jaccard similarity of words; grams, of trigrams of characters; weak, the best
+    words below; unmatched, with null target. Rows without an equal one meet on the rarest words of their texts, as many as
+    any pair of ``tokens_at`` must share, so no such pair is lost; the later stages look at the same candidates. Ties go to the
+    smaller target. Null and empty texts are unmatched. Equal texts of one side are one class while they are compared.
+    """
+    hashed = lambda df: df.where("text is not null and trim(text) <> ''").select("id", "text", F.unhex(F.sha2(tx.normalize_for_hash(F.col("text")), 256)).alias("h"))
+    a, b = hashed(left), hashed(right)
+    first = lambda df: df.groupBy("h").agg(F.min("id").alias("id"), F.min_by("text", "id").alias("text"))
+    classes, targets = first(a), first(b)
+    exact = classes.join(targets.select("h", F.col("id").alias("target")), "h").select("h", "target", F.lit("exact").alias("stage"), F.lit(1.0).alias("score"))
+    rest = classes.join(targets.select("h"), "h", "left_anti")
+    words = lambda df, side: df.select(F.lit(side).alias("side"), "id", F.array_distinct(tx.words(F.col("text"))).alias("t")).where(F.size("t") > 0)
+    near = materialise(_candidates(words(rest, 0).unionByName(words(targets, 1)), tokens_at), "near")
+    told = near.join(words(rest, 0).select("id", F.col("t").alias("ta")), "id").join(words(targets, 1).select(F.col("id").alias("target"), F.col("t").alias("tb")), "target")
+    told = told.select("id", "target", F.round(sim.jaccard(F.col("ta"), F.col("tb")), 6).alias("score"))
+    best = lambda df: df.groupBy("id").agg(F.max(F.struct("score", (-F.col("target")).alias("t"))).alias("b")).select("id", (-F.col("b.t")).alias("target"), "b.score")
+    by_words = best(told).withColumn("stage", F.when(F.col("score") >= tokens_at, "tokens").when(F.col("score") > weak_at, "weak"))
+    open_ = near.join(by_words.where("stage = 'tokens'").select("id"), "id", "left_anti")
+    grams = lambda df, key, name: df.select(F.col("id").alias(key), sim.trigrams(F.col("text")).alias(name))
+    close = open_.join(grams(rest, "id", "ga"), "id").join(grams(targets, "target", "gb"), "target")
+    by_grams = best(close.select("id", "target", F.round(sim.jaccard(F.col("ga"), F.col("gb")), 6).alias("score"))).where(F.col("score") >= grams_at)
+    by_grams = by_grams.select("id", F.struct("target", F.lit("grams").alias("stage"), "score").alias("g"))
+    chosen = by_words.select("id", F.struct("target", "stage", "score").alias("w")).join(by_grams, "id", "left")
+    chosen = chosen.select("id", F.when(F.col("w.stage") == "tokens", F.col("w")).otherwise(F.coalesce("g", "w")).alias("m")).where("m.stage is not null").select("id", "m.*")
+    of_class = exact.unionByName(chosen.join(classes.select("id", "h"), "id").select("h", "target", "stage", "score"))
+    found = a.select("id", "h").join(of_class, "h").select("id", "target", "stage", "score")
+    return left.select("id").join(found, "id", "left").select("id", "target", F.coalesce("stage", F.lit("unmatched")).alias("stage"), F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
 def overlap_kind(same: Column, similarity: Column) -> Column:
     """exact, format_diff (> 0.95), content_diff (> 0.80), else mismatch."""
     return F.when(same, "exact").when(similarity > 0.95, "format_diff").when(similarity > 0.80, "content_diff").otherwise("mismatch")

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from fondaco.functions import similarity as sim
+
 
 def neighbors(seeds: DataFrame, edges: DataFrame, depth: int, least: float = 0.0) -> DataFrame:
     """(start, node, depth, weight): nodes within ``depth`` directed steps, at their least depth with the best last edge."""
@@ -47,6 +49,42 @@ def boost(seeds: Column, mean_type_weight: Column, total: Column, depth: Column,
     return factor * (0.4 * cap(seeds * 0.3, 1.0) + 0.3 * cap(mean_type_weight, 1.5) + 0.3 * cap(total / 2.0, 1.0)) * F.pow(F.lit(decay), depth - 1)
 
 
+def expand_from(seeds: DataFrame, edges: DataFrame, least: float, most: int = 50, decay: float = 0.7) -> DataFrame:
+    """(node, seeds, total, depth): what lies one or two undirected steps from the seeds taken together.
+
+    Seeds and their weights add up over the edges of the first step; the ``most`` nodes of greatest weight are expanded once
+    more, each passing on its seeds, with weights times ``decay``. Seeds are no answers.
+    """
+    strong = both_ways(edges).where(F.col("weight") >= least)
+    is_seed = seeds.select(F.col("id").alias("target"))
+    one = strong.join(seeds.select(F.col("id").alias("source")), "source", "left_semi").join(is_seed, "target", "left_anti").select(F.col("target").alias("node"), F.col("source").alias("seed"), "weight")
+    kept = one.groupBy("node").agg(F.round(F.sum("weight"), 6).alias("w")).orderBy(F.desc("w"), "node").limit(most).select(F.col("node").alias("source"))
+    two = strong.join(kept, "source", "left_semi").join(is_seed, "target", "left_anti").join(kept.withColumnRenamed("source", "target"), "target", "left_anti")
+    two = two.select(F.col("target").alias("node"), F.col("source").alias("via"), (F.col("weight") * decay).alias("weight"))
+    passed = two.select("node", "via").join(one.select(F.col("node").alias("via"), "seed"), "via").select("node", "seed")
+    reached = one.select("node", "weight", F.lit(1).alias("depth")).unionByName(two.select("node", "weight", F.lit(2).alias("depth")))
+    weights = reached.groupBy("node").agg(F.round(F.sum("weight"), 6).alias("total"), F.min("depth").alias("depth"))
+    of = one.select("node", "seed").unionByName(passed).distinct().groupBy("node").agg(F.count("*").alias("seeds"))
+    return weights.join(of, "node").select("node", "seeds", "total", "depth")
+
+
+def same_principle(norms: DataFrame, vectors: DataFrame, years: DataFrame, shared: int = 2, cosine: float = 0.85) -> DataFrame:
+    """(a, b, overlap, cosine, weight): rows that share two norms or more and whose vectors are alike.
+
+    norms: (id, norm_id), vectors: (id, vec), years: (id, year). Rows meet on pairs of norms, not on single ones, so a norm
+    that many rows cite brings only those together that share another.
+    """
+    sets = norms.groupBy("id").agg(F.sort_array(F.collect_set("norm_id")).alias("n")).where(F.size("n") >= shared)
+    rest = lambda x, i: F.slice("n", i + 2, F.size("n"))
+    both = F.flatten(F.transform("n", lambda x, i: F.transform(rest(x, i), lambda y: F.concat(x, F.lit("\n"), y))))
+    keyed = sets.select("id", F.explode(both).alias("key"))
+    pairs = keyed.select(F.col("id").alias("a"), "key").join(keyed.select(F.col("id").alias("b"), "key"), "key").where("a < b").select("a", "b").distinct()
+    side = lambda c: sets.join(vectors, "id").join(years, "id").select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("vec").alias(f"v{c}"), F.col("year").alias(f"y{c}"))
+    told = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("overlap", F.size(F.array_intersect("na", "nb"))).withColumn("cosine", F.round(sim.cosine(F.col("va"), F.col("vb")), 6))
+    told = told.where((F.col("overlap") >= shared) & (F.col("cosine") >= cosine))
+    return told.select("a", "b", "overlap", "cosine", F.round(edge_weight(F.col("overlap"), F.col("cosine"), F.coalesce(F.col("ya") - F.col("yb"), F.lit(0))), 4).alias("weight"))
+
+
 def ancestors(nodes: DataFrame, parents: DataFrame, depth: int = 6) -> DataFrame:
     """(start, ancestor, level): the chain above each node, by at most ``depth`` joins."""
     chain = nodes.select(F.col("id").alias("start"), F.col("id").alias("node"))

@@ -73,7 +73,7 @@ def dense_search(queries: DataFrame, rows: DataFrame, limit: int = 50, least: fl
     qb, rb = max(1, math.ceil(nq / QUERY_BLOCK)), max(1, math.ceil(nr / ROW_BLOCK))
     cells = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     r = rows.select("id", "part", F.col("vec").cast("array<double>").alias("vec")).withColumn("rb", F.pmod(F.xxhash64("id"), F.lit(rb))).withColumn("qb", cells(qb))
-    q = queries.select("query_id", "part", F.col("vec").cast("array<double>").alias("vec")).withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(qb))).withColumn("rb", cells(rb))
+    q = queries.select("query_id", F.col("part").alias("part"), F.col("vec").cast("array<double>").alias("vec")).withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(qb))).withColumn("rb", cells(rb))
     found = r.groupBy("part", "rb", "qb").cogroup(q.groupBy("part", "rb", "qb")).applyInArrow(_block_scorer(limit, least), "query_id long, id long, score double")
     return top(found, limit)
 
@@ -100,11 +100,37 @@ def bm25_search(queries: DataFrame, docs: DataFrame, limit: int = 50, k1: float
     return top(scored.select("query_id", "id", "score"), limit)
 
 
+def term_rank_search(queries: DataFrame, docs: DataFrame, limit: int = 20, weight: float = 0.1) -> DataFrame:
+    """Documents with every term of a query, by the mean of weight * (1 + 1/4 + ... + 1/tf²) / (π²/6) over its terms, as full-text ranks of databases have it."""
+    post = postings(docs)
+    asked = queries.select("query_id", F.array_distinct(F.filter(tx.words(F.col("text")), lambda w: ~w.isin(STOP))).alias("t")).select("query_id", F.size("t").alias("terms"), F.explode("t").alias("term"))
+    mass = F.aggregate(F.sequence(F.lit(1), F.col("tf").cast("int")), F.lit(0.0), lambda a, i: a + 1 / (i * i)) / 1.64493406685
+    found = asked.join(post, "term").groupBy("query_id", "id", "terms").agg(F.sum(weight * mass).alias("s"), F.count("*").alias("matched")).where("matched = terms")
+    return top(found.select("query_id", "id", (F.col("s") / F.col("terms")).alias("score")), limit)
+
+
 def trgm_search(queries: DataFrame, docs: DataFrame, limit: int = 20, least: float = 0.3) -> DataFrame:
-    """Trigram similarity of (query_id, text) over (id, text), joined on shared trigrams."""
-    grams = lambda t, key: t.select(key, sim.trigrams(F.col("text")).alias("g")).select(key, F.size("g").alias(f"n_{key}"), F.explode("g").alias("gram"))
-    shared = grams(queries, "query_id").join(grams(docs, "id"), "gram").groupBy("query_id", "id", "n_query_id", "n_id").agg(F.count("*").alias("c"))
-    return top(shared.select("query_id", "id", (F.col("c") / (F.col("n_query_id") + F.col("n_id") - F.col("c"))).alias("score")), limit, least)
+    """Trigram similarity (Jaccard) of (query_id, text) over (id, text), of ``least`` or more.
+
+    Texts meet on the trigrams of their prefixes only: ordered rarest first, sets of similarity ``least`` share one among the
+    first n - ceil(least * n) + 1 of each. The trigrams that all texts hold lie beyond; what meets is compared whole.
+    """
+    sets = lambda t, key: t.select(key, sim.trigrams(F.col("text")).alias(f"g_{key}")).where(F.size(f"g_{key}") > 0)
+    asked, held = sets(queries, "query_id"), sets(docs, "id")
+    counts = held.select(F.explode("g_id").alias("gram")).groupBy("gram").agg(F.count("*").alias("c"))
+
+    def prefix(rows: DataFrame, key: str) -> DataFrame:
+        spread = rows.select(key, F.size(f"g_{key}").alias("n"), F.explode(f"g_{key}").alias("gram")).join(counts, "gram", "left")
+        ordered = spread.groupBy(key, "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "gram"))).alias("o"))
+        length = (F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).cast("int")
+        return ordered.select(key, F.col("n").alias(f"n_{key}"), F.explode(F.slice("o", F.lit(1), length)).alias("p")).select(key, f"n_{key}", F.col("p.gram").alias("gram"))
+
+    near = prefix(asked, "query_id").join(prefix(held, "id"), "gram")
+    near = near.where(F.least("n_query_id", "n_id") >= F.greatest("n_query_id", "n_id") * least - 1e-9).select("query_id", "id").distinct()
+    told = near.join(asked, "query_id").join(held, "id")
+    shared = F.size(F.array_intersect("g_query_id", "g_id"))
+    score = shared / (F.size("g_query_id") + F.size("g_id") - shared)
+    return top(told.select("query_id", "id", score.alias("score")), limit, least)
 
 
 def keyword_boost(ranked: DataFrame, keywords: DataFrame, wanted: Column, limit: int, factor: float = 1.5) -> DataFrame:

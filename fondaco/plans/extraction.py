@@ -6,10 +6,10 @@ import uuid
 
 from pyspark.sql import SparkSession, functions as F
 
-from fondaco.functions import legal
+from fondaco.functions import legal, text as tx
 from fondaco.operators import extract as ex, graph as gr, relational as rel, retrieval as ret
 from fondaco.plans.relational import concept_paths
-from fondaco.plans.texts import sql_article_number
+from fondaco.plans.texts import sql_article_number, sql_words
 from fondaco.session import materialise, shared_dir, table
 
 QUERIES, SQL = {}, {}
@@ -341,17 +341,23 @@ def graph_expand_cypher(spark, sf):
     return gr.expand(seeds(spark, sf), edges(spark, sf), 2, 0.9).select("start", "node", "length", F.round("total", 6).alias("total"), F.round("score", 6).alias("score"))
 
 
-BOOSTED = f"""WITH {E}, {S}, x AS (SELECT target AS node, count(*) AS seeds, sum(weight) AS total FROM s JOIN e ON e.source = s.id WHERE weight >= 0.5 GROUP BY 1)
-    SELECT node, round(0.15 * (0.4 * least(seeds * 0.3, 1.0) + 0.3 * 1.0 + 0.3 * least(total / 2.0, 1.0)), 6)::DOUBLE AS boost FROM x"""
+EXPANDED = f"""WITH {E}, {S}, {B}, one AS (SELECT target AS node, source AS seed, weight FROM b JOIN s ON b.source = s.id WHERE weight >= 0.5 AND target NOT IN (SELECT id FROM s)),
+    kept AS (SELECT node FROM one GROUP BY node ORDER BY round(sum(weight), 6) DESC, node LIMIT 50),
+    two AS (SELECT target AS node, source AS via, weight * 0.7 AS weight FROM b JOIN kept ON b.source = kept.node WHERE weight >= 0.5 AND target NOT IN (SELECT id FROM s) AND target NOT IN (SELECT node FROM kept)),
+    sd AS (SELECT node, seed FROM one UNION SELECT two.node, one.seed FROM two JOIN one ON two.via = one.node), w AS (SELECT node, weight, 1 AS depth FROM one UNION ALL SELECT node, weight, 2 FROM two),
+    t AS (SELECT node, round(sum(weight), 6)::DOUBLE AS total, min(depth) AS depth FROM w GROUP BY node) SELECT t.node, count(*) AS seeds, total, depth FROM t JOIN sd ON t.node = sd.node GROUP BY ALL"""
+BOOSTED = f"SELECT node, round(0.15 * (0.4 * least(seeds * 0.3, 1.0) + 0.3 * 1.0 + 0.3 * least(total / 2.0, 1.0)) * power(0.7, depth - 1), 6)::DOUBLE AS boost FROM ({EXPANDED})"
 
 
-@op(BOOSTED)
-def graph_boost(spark, sf):
-    near = gr.neighbors(seeds(spark, sf), edges(spark, sf), 1, 0.5).groupBy("node").agg(F.count("*").alias("seeds"), F.sum("weight").alias("total"))
-    return near.select("node", F.round(gr.boost(F.col("seeds"), F.lit(1.0), F.col("total"), F.lit(1)), 6).alias("boost"))
+@op(EXPANDED)
+def graph_expand_sql(spark, sf):
+    return gr.expand_from(seeds(spark, sf), edges(spark, sf), 0.5)
 
 
-QUERIES["graph_expand_sql"], SQL["graph_expand_sql"] = graph_boost, BOOSTED
+@op(BOOSTED)
+def graph_boost(spark, sf):
+    near = graph_expand_sql(spark, sf)
+    return near.select("node", F.round(gr.boost(F.col("seeds"), F.lit(1.0), F.col("total"), F.col("depth")), 6).alias("boost"))
 
 
 @op(f"SELECT p_partkey AS id, round(1.0::DOUBLE / (60 + p_size) + coalesce(boost, 0), 6) AS score, row_number() OVER (PARTITION BY p_brand ORDER BY round(1.0::DOUBLE / (60 + p_size) + coalesce(boost, 0), 6) DESC, p_partkey) AS rank FROM part LEFT JOIN ({BOOSTED}) b ON p_partkey = b.node")
@@ -398,14 +404,20 @@ def graph_hier_search(spark, sf):
     return graph_siblings(spark, sf).join(parent, "start").select(F.col("start").alias("query_id"), F.col("sibling").alias("id"), F.round(F.col("c_acctbal") / 10000 * 0.8 + 0.05, 6).alias("score"))
 
 
-@op("""WITH e AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem), s AS (SELECT a.o AS a, b.o AS b, count(*) AS overlap FROM e a JOIN e b ON a.p = b.p AND a.o < b.o GROUP BY 1, 2 HAVING count(*) >= 2)
-    SELECT a, b, overlap, round((least(overlap / 5.0, 1.0) + 0.9 + 1 / (1 + 0.1 * abs(year(x.o_orderdate) - year(y.o_orderdate)))) / 3, 4)::DOUBLE AS weight FROM s JOIN orders x ON a = x.o_orderkey JOIN orders y ON b = y.o_orderkey""")
-def graph_same_principle(spark, sf):
-    from fondaco.plans.relational import join_self_pairs
+_SHARED = f"""n AS ({NORMS}), p AS (SELECT a.id AS a, b.id AS b, count(*) AS overlap FROM n a JOIN n b ON a.norm_id = b.norm_id AND a.id < b.id GROUP BY 1, 2 HAVING count(*) >= 2),
+    h AS (SELECT id, anno, list_transform({sql_words('testo')}, lambda w: ('0x' || substr(md5(w), 1, 2))::INT % 64) AS h FROM massime WHERE testo IS NOT NULL),
+    v AS (SELECT id, anno, list_transform(range(64), lambda i: len(list_filter(h, lambda x: x = i))::DOUBLE) AS v FROM h WHERE len(h) > 0)"""
+
 
-    o = table(spark, sf, "orders").select("o_orderkey", F.year("o_orderdate").alias("y"))
-    pairs = join_self_pairs(spark, sf).join(o.select(F.col("o_orderkey").alias("a"), F.col("y").alias("ya")), "a").join(o.select(F.col("o_orderkey").alias("b"), F.col("y").alias("yb")), "b")
-    return pairs.select("a", "b", F.col("shared").alias("overlap"), F.round(gr.edge_weight(F.col("shared"), F.lit(0.9), F.col("ya") - F.col("yb")), 4).alias("weight"))
+@op(f"""WITH {_SHARED}, c AS (SELECT a, b, overlap, round(list_cosine_similarity(x.v, y.v), 6) AS cosine, coalesce(x.anno - y.anno, 0) AS years FROM p JOIN v x ON a = x.id JOIN v y ON b = y.id)
+    SELECT a, b, overlap, cosine, round((least(overlap / 5.0, 1.0) + cosine + 1 / (1 + 0.1 * abs(years))) / 3, 4)::DOUBLE AS weight FROM c WHERE cosine >= 0.85""")
+def graph_same_principle(spark, sf):
+    """Massime that share norms and whose texts, as counts of hashed words, are alike."""
+    m = table(spark, sf, "massime").where("testo is not null")
+    buckets = F.transform(tx.words(F.col("testo")), lambda w: F.conv(F.substring(F.md5(w), 1, 2), 16, 10).cast("int") % 64)
+    counted = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.size(F.filter("h", lambda x: x == i)).cast("double"))
+    vectors = m.select("id", buckets.alias("h")).where(F.size("h") > 0).select("id", counted.alias("vec"))
+    return gr.same_principle(cited(spark, sf), vectors, m.select("id", F.col("anno").alias("year")))
 
 
 @op("SELECT l_orderkey, l_linenumber, round((least(l_quantity / 10.0, 1.0) + l_discount + 1 / (1 + 1.0 * l_linenumber)) / 3, 6)::DOUBLE AS weight FROM lineitem")

@@ -7,7 +7,7 @@ from pyspark.sql import Window, functions as F
 from fondaco.functions import similarity as sim, text as tx
 from fondaco.operators import chunk as ch, classify as cl, dedup as dd, evaluate as ev, extract as ex, relational as rel, retrieval as ret
 from fondaco.plans import extraction as xp, relational as rp, retrieval as rt
-from fondaco.plans.texts import sql_chain, sql_hash_form, sql_jaccard, sql_share, sql_words
+from fondaco.plans.texts import sql_chain, sql_hash_form, sql_jaccard, sql_share, sql_trigrams, sql_words
 from fondaco.session import table
 
 QUERIES, SQL = {}, {}
@@ -85,16 +85,40 @@ def dedup_near_simhash(spark, sf):
     return dd.fingerprint_pairs(table(spark, sf, "massime"), "id", "text_fingerprint", 9)
 
 
-ALIGNED = f"""SELECT a.id, a.brocardi_match_id AS target, a.testo = n.testo AS same, round({sql_jaccard('list_distinct(' + sql_words('a.testo') + ')', 'list_distinct(' + sql_words('n.testo') + ')')}, 6) AS sim
-    FROM normativa_altalex a JOIN normativa n ON a.brocardi_match_id = n.id"""
+_W = lambda c: f"list_distinct({sql_words(c)})"
+ALIGN = f"""WITH a AS (SELECT id, testo, sha256({sql_hash_form('testo')}) AS h FROM normativa_altalex WHERE trim(testo) <> ''), n AS (SELECT id, testo, sha256({sql_hash_form('testo')}) AS h FROM normativa WHERE trim(testo) <> ''),
+    ca AS (SELECT h, min(id) AS id, arg_min(testo, id) AS testo FROM a GROUP BY h), cn AS (SELECT h, min(id) AS id, arg_min(testo, id) AS testo FROM n GROUP BY h),
+    t AS (SELECT 0 AS side, id, {_W('testo')} AS w FROM ca WHERE h NOT IN (SELECT h FROM cn) UNION ALL SELECT 1, id, {_W('testo')} FROM cn),
+    x AS (SELECT side, id, len(w) AS n, unnest(w) AS k FROM t), c AS (SELECT k, count(*) AS c FROM x GROUP BY k),
+    p AS (SELECT side, id, n, k FROM (SELECT x.*, row_number() OVER (PARTITION BY side, id ORDER BY c, k) AS r FROM x JOIN c USING (k)) WHERE r <= n - ceil(n * 0.65 - 1e-9) + 4),
+    near AS (SELECT y.id, z.id AS target FROM p y JOIN p z ON y.k = z.k AND y.side = 0 AND z.side = 1 WHERE least(y.n, z.n) >= greatest(y.n, z.n) * 0.65 - 1e-9 GROUP BY y.id, z.id, y.n, z.n HAVING count(*) >= least(4, ceil(least(y.n, z.n) * 0.65 - 1e-9))),
+    j AS (SELECT near.id, target, round({sql_jaccard('y.w', 'z.w')}, 6) AS score FROM near JOIN t y ON y.side = 0 AND y.id = near.id JOIN t z ON z.side = 1 AND z.id = target),
+    w AS (SELECT id, max(score) AS score, arg_max(target, (score, -target)) AS target FROM j GROUP BY id),
+    g AS (SELECT near.id, target, round({sql_jaccard(sql_trigrams('ca.testo'), sql_trigrams('cn.testo'))}, 6) AS score FROM near JOIN ca ON ca.id = near.id JOIN cn ON cn.id = target WHERE near.id IN (SELECT id FROM w WHERE score < 0.65)),
+    b AS (SELECT id, max(score) AS score, arg_max(target, (score, -target)) AS target FROM g WHERE score >= 0.70 GROUP BY id),
+    m AS (SELECT h, cn.id AS target, 'exact' AS stage, 1.0::DOUBLE AS score FROM ca JOIN cn USING (h) UNION ALL
+        SELECT ca.h, CASE WHEN w.score >= 0.65 THEN w.target ELSE coalesce(b.target, w.target) END, CASE WHEN w.score >= 0.65 THEN 'tokens' WHEN b.id IS NOT NULL THEN 'grams' ELSE 'weak' END, CASE WHEN w.score >= 0.65 THEN w.score ELSE coalesce(b.score, w.score) END
+        FROM w JOIN ca ON ca.id = w.id LEFT JOIN b ON b.id = w.id WHERE w.score > 0.3 OR b.id IS NOT NULL)
+    SELECT l.id, m.target, coalesce(m.stage, 'unmatched') AS stage, coalesce(m.score, 0.0)::DOUBLE AS score FROM normativa_altalex l LEFT JOIN a ON a.id = l.id LEFT JOIN m ON m.h = a.h"""
+
+
+@op(ALIGN)
+def align_reference(spark, sf):
+    """The best match of every altalex row among the articles, whatever an earlier load stored."""
+    return dd.align(*(table(spark, sf, t).select("id", F.col("testo").alias("text")) for t in ("normativa_altalex", "normativa")))
+
+
+ALIGNED = f"""SELECT r.id, r.target, a.testo = n.testo AS same, round({sql_jaccard(_W('a.testo'), _W('n.testo'))}, 6) AS sim
+    FROM ({ALIGN}) r JOIN normativa_altalex a ON r.id = a.id JOIN normativa n ON r.target = n.id"""
 KIND = "CASE WHEN same THEN 'exact' WHEN sim > 0.95 THEN 'format_diff' WHEN sim > 0.80 THEN 'content_diff' ELSE 'mismatch' END"
 
 
 def aligned(spark, sf):
-    a = table(spark, sf, "normativa_altalex").where("brocardi_match_id is not null").select("id", F.col("brocardi_match_id").alias("target"), F.col("testo").alias("ta"))
+    a = table(spark, sf, "normativa_altalex").select("id", F.col("testo").alias("ta"))
     n = table(spark, sf, "normativa").select(F.col("id").alias("target"), F.col("testo").alias("tb"))
     words = lambda c: F.array_distinct(tx.words(F.col(c)))
-    return a.join(n, "target").select("id", "target", (F.col("ta") == F.col("tb")).alias("same"), F.round(sim.jaccard(words("ta"), words("tb")), 6).alias("sim"))
+    pairs = align_reference(spark, sf).where("target is not null").select("id", "target").join(a, "id").join(n, "target")
+    return pairs.select("id", "target", (F.col("ta") == F.col("tb")).alias("same"), F.round(sim.jaccard(words("ta"), words("tb")), 6).alias("sim"))
 
 
 @op(f"SELECT id, target, sim, {KIND} AS kind FROM ({ALIGNED})")
@@ -102,32 +126,44 @@ def cross_validate(spark, sf):
     return aligned(spark, sf).select("id", "target", "sim", dd.overlap_kind(F.col("same"), F.col("sim")).alias("kind"))
 
 
-@op(f"SELECT kind, count(*) AS n, round(avg(sim), 5) AS trust FROM (SELECT sim, {KIND} AS kind FROM ({ALIGNED})) GROUP BY kind")
+@op(f"""WITH r AS ({ALIGN}), u AS (SELECT target FROM r WHERE target IS NOT NULL GROUP BY target HAVING count(*) > 1)
+    SELECT stage, count(*) AS n, round(count(*) * 1.0 / (SELECT count(*) FROM r), 6)::DOUBLE AS share, round(avg(score), 5) AS trust, count(*) FILTER (target IN (SELECT target FROM u)) AS collisions FROM r GROUP BY stage""")
 def align_summary(spark, sf):
-    return cross_validate(spark, sf).groupBy("kind").agg(F.count("*").alias("n"), F.round(F.avg("sim"), 5).alias("trust"))
-
-
-STAGE = "CASE WHEN same THEN 'exact' WHEN sim >= 0.65 THEN 'tokens' WHEN sim > 0.3 THEN 'weak' ELSE 'unmatched' END"
+    """Rows by stage with their share of all rows, mean score, and how many share their target with another row."""
+    r = align_reference(spark, sf)
+    shared = r.where("target is not null").groupBy("target").agg((F.count("*") > 1).alias("shared"))
+    per = r.join(shared, "target", "left").groupBy("stage").agg(F.count("*").alias("n"), F.round(F.avg("score"), 5).alias("trust"), F.count_if(F.coalesce("shared", F.lit(False))).alias("collisions"))
+    return per.select("stage", "n", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))), 6).alias("share"), "trust", "collisions")  # at most a row a stage
 
 
-@op(f"SELECT id, target, {STAGE} AS stage FROM ({ALIGNED})")
-def align_reference(spark, sf):
-    stage = F.when(F.col("same"), "exact").when(F.col("sim") >= 0.65, "tokens").when(F.col("sim") > 0.3, "weak").otherwise("unmatched")
-    return aligned(spark, sf).select("id", "target", stage.alias("stage"))
-
-
-@op(f"SELECT bool_and(trust > 0) AS all_positive, sum(n) >= 1 AS enough FROM ({SQL['align_summary']})")
+@op(f"SELECT sum(share) FILTER (stage <> 'unmatched') >= 0.5 AS covered, coalesce(max(collisions) FILTER (stage = 'exact'), 0) <= 0.2 * sum(n) AS few_collisions, bool_and(trust > 0 OR stage = 'unmatched') AS all_positive, sum(n) >= 1 AS enough FROM ({SQL['align_summary']})")
 def alignment_guardrails(spark, sf):
-    return align_summary(spark, sf).agg(F.bool_and(F.col("trust") > 0).alias("all_positive"), (F.sum("n") >= 1).alias("enough"))
+    stage = F.col("stage")
+    return align_summary(spark, sf).agg(
+        (F.sum(F.when(stage != "unmatched", F.col("share"))) >= 0.5).alias("covered"), (F.coalesce(F.max(F.when(stage == "exact", F.col("collisions"))), F.lit(0)) <= 0.2 * F.sum("n")).alias("few_collisions"),
+        F.bool_and((F.col("trust") > 0) | (stage == "unmatched")).alias("all_positive"), (F.sum("n") >= 1).alias("enough"),
+    )
 
 
-@op(f"SELECT id, CASE WHEN sim >= 0.70 THEN 'confirm' WHEN sim >= 0.40 THEN 'partial' ELSE 'conflict' END AS status, greatest(sim, 0.5) AS best FROM ({ALIGNED})", name="enrich_choose_source")
+@op(f"SELECT id, CASE WHEN sim >= 0.70 THEN 'confirm' WHEN sim >= 0.40 THEN 'partial' ELSE 'conflict' END AS status, greatest(sim, 0.5) AS best FROM ({ALIGNED})")
 def enrich_choose_source(spark, sf):
     status = F.when(F.col("sim") >= 0.70, "confirm").when(F.col("sim") >= 0.40, "partial").otherwise("conflict")
     return aligned(spark, sf).select("id", status.alias("status"), F.greatest("sim", F.lit(0.5)).alias("best"))
 
 
-QUERIES["choose_best_source"], SQL["choose_best_source"] = enrich_choose_source, SQL["enrich_choose_source"]
+_BEST = f"""SELECT l.id, CASE WHEN r.sim >= 0.70 OR r.sim IS NULL AND length(trim(l.testo)) > 0 THEN 'altalex' WHEN length(n.testo) >= length(l.testo) THEN 'normativa' WHEN length(trim(l.testo)) > 0 THEN 'altalex' ELSE 'none' END AS source,
+    greatest(length(l.testo), coalesce(length(n.testo), 0)) AS longest FROM normativa_altalex l LEFT JOIN ({ALIGNED}) r ON r.id = l.id LEFT JOIN normativa n ON n.id = r.target"""
+
+
+@op(_BEST)
+def choose_best_source(spark, sf):
+    """Which source's text stands for each altalex row: its own where the match confirms it or where none was found, else the longer of the two."""
+    l = table(spark, sf, "normativa_altalex").select("id", "testo")  # noqa: E741
+    n = table(spark, sf, "normativa").select(F.col("id").alias("target"), F.length("testo").alias("_n"))
+    j = l.join(aligned(spark, sf).select("id", "target", "sim"), "id", "left").join(n, "target", "left")
+    some = F.length(F.trim("testo")) > 0
+    source = F.when((F.col("sim") >= 0.70) | (F.col("sim").isNull() & some), "altalex").when(F.col("_n") >= F.length("testo"), "normativa").when(some, "altalex").otherwise("none")
+    return j.select("id", source.alias("source"), F.greatest(F.length("testo"), F.coalesce("_n", F.lit(0))).alias("longest"))
 
 
 @op("SELECT id, CASE WHEN testo IS NULL OR length(testo) < 80 THEN 'short' WHEN rubrica IS NULL THEN 'no_heading' WHEN articolo = '' THEN 'no_number' WHEN codice = '' THEN 'no_act' ELSE 'none' END AS reason FROM normativa_altalex")
@@ -379,7 +415,7 @@ _METRICS = f"""WITH {rt._C}, {rt._Q}, ranked AS ({_RANKED}), truth AS (SELECT q.
 @op(_METRICS)
 def eval_ranking(spark, sf):
     c = rt.chunks(spark, sf)
-    ranked = ret.bm25_search(rt.question(c), c, 10)
+    ranked = ret.bm25_search(rt.question(spark, sf), c, 10)
     own = c.where("id % 50 = 0").select(F.col("id").alias("query_id"), "normativa_id")
     return ev.ranking_metrics(ranked, own.join(c.select("id", "normativa_id"), "normativa_id").select("query_id", "id"), 10)
 
@@ -405,7 +441,7 @@ def eval_category(spark, sf):
 def rerank_lift(spark, sf):
     m = eval_ranking(spark, sf)
     c = rt.chunks(spark, sf)
-    seen = ret.bm25_search(rt.question(c), c, 10).select("query_id").distinct()
+    seen = ret.bm25_search(rt.question(spark, sf), c, 10).select("query_id").distinct()
     return m.join(seen, "query_id").agg(F.round(F.avg((F.col("mrr") == 1).cast("double")) - F.avg("mrr"), 5).alias("lift"))
 
 

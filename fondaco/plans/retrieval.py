@@ -45,15 +45,16 @@ def asked(rows: DataFrame) -> DataFrame:
     return rows.where("id % 50 = 0").withColumnRenamed("id", "query_id")
 
 
-def question(rows: DataFrame) -> DataFrame:
-    """The first words of a text, as a question."""
-    return asked(rows).withColumn("text", F.array_join(F.slice(F.split("text", " "), 1, 12), " "))
+def question(spark: SparkSession, sf: str) -> DataFrame:
+    """Questions: the whole heading of the article of every fiftieth chunk."""
+    return asked(headings(spark, sf))
 
 
 _V = """vecs AS (SELECT chunk_id AS id, model AS part, arg_max(embedding, id) AS vec FROM (SELECT *, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS n
     FROM normativa_chunk_embeddings WHERE embedding IS NOT NULL AND len(embedding) = dims) WHERE n > 0 AND NOT isnan(n) {0} GROUP BY 1, 2)"""
 _C = "chunks AS (SELECT id, normativa_id, work_id, text FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY created_at DESC, text) AS r FROM normativa_chunk) WHERE r = 1)"
-_Q = "asked AS (SELECT id AS query_id, array_to_string(string_split(text, ' ')[1:12], ' ') AS text FROM chunks WHERE id % 50 = 0)"
+_H = "heads AS (SELECT c.id, n.rubrica AS text FROM chunks c JOIN normativa n ON c.normativa_id = n.id WHERE n.rubrica IS NOT NULL)"
+_Q = f"{_H}, asked AS (SELECT id AS query_id, text FROM heads WHERE id % 50 = 0)"
 _STOP = ", ".join(f"'{w}'" for w in dict.fromkeys(ret.STOP))
 
 
@@ -83,9 +84,6 @@ def sql_trgm(queries: str, docs: str, limit: int = 20, least: float = 0.3) -> st
         SELECT query_id, id, count(*)::DOUBLE / (max(nq) + max(nd) - count(*)) AS score FROM x JOIN y USING (gram) GROUP BY 1, 2""", limit, least)
 
 
-_H = "heads AS (SELECT c.id, n.rubrica AS text FROM chunks c JOIN normativa n ON c.normativa_id = n.id WHERE n.rubrica IS NOT NULL), asked_heads AS (SELECT id AS query_id, text FROM heads WHERE id % 50 = 0)"
-
-
 @op(f"WITH {_V.format(chr(65) + 'ND model = ' + chr(39) + 'lex-64' + chr(39))} {sql_dense()}")
 def dense_search(spark, sf):
     v = vectors(spark, sf)
@@ -101,16 +99,23 @@ def dense_multi_model(spark, sf):
 @op(f"WITH {_C}, {_Q} {sql_bm25('chunks')}")
 def sparse_bm25(spark, sf):
     c = chunks(spark, sf)
-    return ret.bm25_search(question(c), c)
+    return ret.bm25_search(question(spark, sf), c)
+
+
+def sql_term_rank(docs: str, limit: int = 20) -> str:
+    return sql_top(f"""
+        WITH d AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(list_filter({sql_words('text')}, lambda w: w NOT IN ({_STOP}))) AS term FROM {docs}) GROUP BY ALL),
+        a AS (SELECT query_id, unnest(list_distinct(t)) AS term, len(list_distinct(t)) AS terms FROM (SELECT query_id, list_filter({sql_words('text')}, lambda w: w NOT IN ({_STOP})) AS t FROM asked))
+        SELECT query_id, id, sum(0.1 * list_sum(list_transform(range(1, tf + 1), lambda i: 1.0::DOUBLE / (i * i))) / 1.64493406685) / max(terms) AS score FROM a JOIN d USING (term) GROUP BY 1, 2 HAVING count(*) = max(terms)""", limit)
 
 
-@op(f"WITH {_C}, {_Q} {sql_bm25('chunks', 20, True)}")
+@op(f"WITH {_C}, {_Q} {sql_term_rank('chunks')}")
 def sparse_tsrank_and(spark, sf):
     c = chunks(spark, sf)
-    return ret.bm25_search(question(c), c, 20, all_terms=True)
+    return ret.term_rank_search(question(spark, sf), c, 20)
 
 
-@op(f"WITH {_C}, {_H} {sql_trgm('asked_heads', 'heads')}")
+@op(f"WITH {_C}, {_Q} {sql_trgm('asked', 'heads')}")
 def trgm_search(spark, sf):
     h = headings(spark, sf)
     return ret.trgm_search(asked(h), h)
@@ -134,15 +139,15 @@ def keyword_boost(spark, sf):
     c, n = chunks(spark, sf), table(spark, sf, "normativa")
     words = c.select("id", "normativa_id").join(n.select(F.col("id").alias("normativa_id"), F.split(F.lower("rubrica"), " ").alias("keywords")), "normativa_id")
     wanted = F.array(*map(F.lit, ["contratto", "danno", "finale", "generale", "totale"]))
-    return ret.keyword_boost(ret.bm25_search(question(c), c, 40), words.select("id", F.array_distinct("keywords").alias("keywords")), wanted, 20)
+    return ret.keyword_boost(ret.bm25_search(question(spark, sf), c, 40), words.select("id", F.array_distinct("keywords").alias("keywords")), wanted, 20)
 
 
 def lists(spark, sf, dense=50, sparse=50, trgm=20):
     v, c, h = vectors(spark, sf), chunks(spark, sf).select("id", "text"), headings(spark, sf)
-    return [ret.dense_search(asked(v), v, dense), ret.bm25_search(question(c), c, sparse), ret.trgm_search(asked(h), h, trgm)]
+    return [ret.dense_search(asked(v), v, dense), ret.bm25_search(question(spark, sf), c, sparse), ret.trgm_search(asked(h), h, trgm)]
 
 
-_LISTS = f"{_V.format('AND model = ' + chr(39) + 'lex-64' + chr(39))}, {_C}, {_Q}, {_H}, dense AS ({sql_dense()}), sparse AS ({sql_bm25('chunks')}), trgm AS ({sql_trgm('asked_heads', 'heads')})"
+_LISTS = f"{_V.format('AND model = ' + chr(39) + 'lex-64' + chr(39))}, {_C}, {_Q}, dense AS ({sql_dense()}), sparse AS ({sql_bm25('chunks')}), trgm AS ({sql_trgm('asked', 'heads')})"
 
 
 def sql_rrf(parts: dict[str, float], limit: int, k: int = 60) -> str:
@@ -202,24 +207,30 @@ def min_score_filter(spark, sf):
     return hybrid(spark, sf).where("score >= 0.02").select("query_id", "id", "score")
 
 
-_TENANT = "tenant AS (SELECT id, text FROM chunks WHERE work_id = 1)"
+_TENANT = "tenant AS (SELECT id, text FROM chunks WHERE work_id = 1), tenant_vecs AS (SELECT v.* FROM vecs v JOIN tenant USING (id))"
+_TENANT_DENSE = sql_top("SELECT q.id AS query_id, r.id, list_cosine_similarity(q.vec::DOUBLE[], r.vec::DOUBLE[]) AS score FROM vecs q JOIN tenant_vecs r ON q.part = r.part WHERE q.id % 50 = 0", 20, -1.0)
+_TENANT_LISTS = f"{_V.format('AND model = ' + chr(39) + 'lex-64' + chr(39))}, {_C}, {_Q}, {_TENANT}, tenant_dense AS ({_TENANT_DENSE}), tenant_sparse AS ({sql_bm25('tenant', 20)})"
 
 
-@op(f"WITH {_C}, {_Q}, {_TENANT} {sql_bm25('tenant', 20)}")
+@op(f"WITH {_TENANT_LISTS} {sql_rrf({'tenant_dense': 1.0, 'tenant_sparse': 1.0}, 5)}")
 def hybrid_library(spark, sf):
-    """One tenant's rows only, filtered before anything is ranked; without vectors the sparse list stands alone."""
-    c = chunks(spark, sf)
-    return ret.bm25_search(question(c), c.where("work_id = 1").select("id", "text"), 20)
+    """Dense and sparse lists of one tenant's rows, filtered before anything is ranked, fused; a question without a vector has its sparse list alone."""
+    c, v = chunks(spark, sf), vectors(spark, sf)
+    tenant = c.where("work_id = 1").select("id", "text")
+    dense = ret.dense_search(asked(v), v.join(tenant.select("id"), "id", "left_semi"), 20, -1.0)
+    return ret.rrf([dense, ret.bm25_search(question(spark, sf), tenant, 20)], 5)
 
 
 _DATES = "SELECT id, data_decisione AS day, anno AS year FROM massime"
-_MQ = f"asked AS (SELECT id AS query_id, array_to_string(string_split(testo_normalizzato, ' ')[1:12], ' ') AS text FROM massime WHERE id % 50 = 0 AND testo_normalizzato IS NOT NULL), docs AS (SELECT id, testo_normalizzato AS text FROM massime WHERE testo_normalizzato IS NOT NULL)"
+_MQ = "asked AS (SELECT id AS query_id, concat_ws(' ', materia, array_to_string(keywords, ' ')) AS text FROM massime WHERE id % 50 = 0), docs AS (SELECT id, testo_normalizzato AS text FROM massime WHERE testo_normalizzato IS NOT NULL)"
 _RECENCY = "least(greatest(coalesce(1.0::DOUBLE / (1 + date_diff('day', day, DATE '2026-01-01') / 3650.0::DOUBLE), 1.0::DOUBLE / (1 + (2026 - year) * 0.1::DOUBLE), 0.5), 0.0), 1.0)"
 
 
 def _massime(spark, sf):
-    d = table(spark, sf, "massime").where("testo_normalizzato is not null").select("id", F.col("testo_normalizzato").alias("text"))
-    return question(d), d
+    """Questions of subject and keywords, and the texts they are asked of."""
+    m = table(spark, sf, "massime")
+    questions = asked(m).select("query_id", F.concat_ws(" ", "materia", F.array_join("keywords", " ")).alias("text"))
+    return questions, m.where("testo_normalizzato is not null").select("id", F.col("testo_normalizzato").alias("text"))
 
 
 @op(f"SELECT id, round({_RECENCY}, 6) AS recency FROM ({_DATES})")
@@ -255,7 +266,7 @@ def corpus_stats(spark, sf):
 def keyword_hits_at_k(spark, sf):
     c = chunks(spark, sf)
     hit = F.lower("text").contains("contratto") | F.lower("text").contains("danno")
-    return ret.bm25_search(question(c), c, 5).join(c.select("id", "text"), "id").groupBy("query_id").agg(F.count_if(hit).alias("hits"))
+    return ret.bm25_search(question(spark, sf), c, 5).join(c.select("id", "text"), "id").groupBy("query_id").agg(F.count_if(hit).alias("hits"))
 
 
 @op(f"WITH {_C}, {_Q}, {_V.format('')}, found AS ({sql_dense(10, 0.6)}) SELECT n.codice, count(*) AS hits FROM found f JOIN chunks c ON f.id = c.id JOIN normativa n ON c.normativa_id = n.id GROUP BY 1")
