@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fondaco.functions import similarity as sim
+from fondaco.session import materialise
 
 
 def neighbors(seeds: DataFrame, edges: DataFrame, depth: int, least: float = 0.0) -> DataFrame:
@@ -96,6 +97,17 @@ def ancestors(nodes: DataFrame, parents: DataFrame, depth: int = 6) -> DataFrame
     return out
 
 
+def closure(edges: DataFrame) -> DataFrame:
+    """(source, target): every pair joined by a path, each once. A round extends the pairs that were new in the round before; it ends with a round that finds none."""
+    steps = edges.select("source", "target").distinct()
+    known = fresh = materialise(steps, "closure")
+    while not fresh.isEmpty():
+        further = fresh.join(steps.select(F.col("source").alias("target"), F.col("target").alias("next")), "target").select("source", F.col("next").alias("target")).distinct()
+        fresh = materialise(further.join(known, ["source", "target"], "left_anti"), "closure")
+        known = known.unionByName(fresh)
+    return known
+
+
 def siblings(nodes: DataFrame, paths: DataFrame, most: int = 5) -> DataFrame:
     """(start, sibling): up to ``most`` nodes of the same path prefix, by id; a node without prefix has none."""
     prefixed = paths.where(F.size("path") > 1).select("id", F.slice("path", F.lit(1), F.size("path") - 1).alias("prefix"))

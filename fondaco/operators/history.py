@@ -62,21 +62,29 @@ def satellite(snapshots: DataFrame, attributes: list[str]) -> DataFrame:
     return marked.where(changed).select("key", F.col("snapshot").alias("load_date"), "hash_diff", *attributes)
 
 
-def append_satellite(stored: DataFrame, snapshots: DataFrame, attributes: list[str]) -> DataFrame:
+def append_satellite(stored: DataFrame, snapshots: DataFrame, attributes: list[str], tracked: DataFrame | None = None) -> DataFrame:
     """The rows to append to a stored satellite for new snapshots: insert-only, nothing stored is touched.
 
-    Snapshots must be newer than what is stored for their key; older (late) ones need ``satellite`` over all snapshots.
+    tracked: all snapshots (key, snapshot, *attributes) delivered before. With them snapshots may come in any order: a late one
+    adds its own row, and the row of the snapshot after it, which did not differ from the one before until now. Without them
+    snapshots must be newer than what is stored for their key. Only keys with new snapshots are looked at.
     """
-    last = stored.groupBy("key").agg(F.max_by("hash_diff", "load_date").alias("_stored"))
-    fresh = satellite(snapshots, attributes)
-    first = Window.partitionBy("key").orderBy("load_date")
-    fresh = fresh.withColumn("_n", F.row_number().over(first)).join(last, "key", "left")
-    return fresh.where((F.col("_n") > 1) | F.col("_stored").isNull() | (F.col("_stored") != F.col("hash_diff"))).drop("_n", "_stored")
+    if tracked is None:
+        tracked = stored.select("key", F.col("load_date").alias("snapshot"), *attributes)
+    known = tracked.join(snapshots.select("key").distinct(), "key", "left_semi").select("key", "snapshot", *attributes)
+    fresh = satellite(known.unionByName(snapshots.select("key", "snapshot", *attributes)).distinct(), attributes)
+    return fresh.join(stored.select("key", "load_date", "hash_diff"), ["key", "load_date", "hash_diff"], "left_anti")
 
 
 def satellite_view(stored: DataFrame) -> DataFrame:
-    """The satellite with ``end_date`` (exclusive, null for the current version), computed by lead."""
-    return stored.withColumn("end_date", F.lead("load_date").over(Window.partitionBy("key").orderBy("load_date")))
+    """The satellite with ``end_date`` (exclusive, null for the current version), computed by lead.
+
+    Rows that late ones have made repeat the version before are passed over.
+    """
+    by_key = Window.partitionBy("key").orderBy("load_date")
+    marked = stored.withColumn("_before", F.lag("hash_diff").over(by_key))
+    changes = marked.where(F.col("_before").isNull() | (F.col("_before") != F.col("hash_diff"))).drop("_before")
+    return changes.withColumn("end_date", F.lead("load_date").over(by_key))
 
 
 def text_history(rows: DataFrame, *, key: str, text: str, begin: str, end: str, version: str, created: str) -> DataFrame:

@@ -10,6 +10,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from fondaco.session import materialise
+
 # Merges. Tables are immutable files here: every merge gives the rows of the next state of the target.
 
 
@@ -145,3 +147,21 @@ def write_run(rows: DataFrame, path: str, run: int) -> None:
 def read_run(spark: SparkSession, path: str, run: int) -> DataFrame:
     """The rows of a run; other runs are not read."""
     return spark.read.parquet(path).where(F.col("run_id") == run)
+
+
+def paged(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """The rows with their ``page`` in the order of a unique key, pages of ``size`` rows.
+
+    Rows are split into ranges of the key; what goes through the driver is one count a range, and a window numbers the rows of
+    a range only.
+    """
+    ranges = rows.repartitionByRange(F.col(key)).withColumn("_range", F.spark_partition_id())
+    ranges = materialise(ranges, "pages")
+    counts = sorted((r["_range"], r["n"]) for r in ranges.groupBy("_range").agg(F.count("*").alias("n")).collect())
+    before, total = [], 0
+    for part, n in counts:
+        before.append((part, total))
+        total += n
+    starts = rows.sparkSession.createDataFrame(before, "_range int, _before long")
+    number = F.row_number().over(Window.partitionBy("_range").orderBy(key)) - 1 + F.col("_before")
+    return ranges.join(F.broadcast(starts), "_range").withColumn("page", F.floor(number / size)).drop("_range", "_before")

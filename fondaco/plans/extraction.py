@@ -286,7 +286,14 @@ def routed_search(spark, sf):
     return route_citation_lookup(spark, sf).withColumn("source", F.lit("lookup"))
 
 
-@op()
+_TRIMMED = "regexp_replace(line, '^ +| +$', '', 'g')"
+
+
+@op(f"""WITH l AS (SELECT id, unnest(string_split(testo, chr(10))) AS line, generate_subscripts(string_split(testo, chr(10)), 1) - 1 AS n FROM massime WHERE testo IS NOT NULL),
+    t AS (SELECT id, n, {_TRIMMED} AS t FROM l WHERE length({_TRIMMED}) > 0),
+    m AS (SELECT *, coalesce(lag(t LIKE '%-' OR (NOT regexp_matches(t, '[.!?:;)]$') AND length(t) > 10)) OVER (PARTITION BY id ORDER BY n), false) AS open FROM t),
+    r AS (SELECT *, sum(CASE WHEN open THEN 0 ELSE 1 END) OVER (PARTITION BY id ORDER BY n) AS run FROM m), e AS (SELECT *, n = max(n) OVER (PARTITION BY id, run) AS last FROM r)
+    SELECT id, min(n)::INT AS first, string_agg(CASE WHEN last THEN t WHEN t LIKE '%-' THEN left(t, length(t) - 1) ELSE t || ' ' END, '' ORDER BY n) AS text FROM e GROUP BY id, run""")
 def merge_split_paragraphs(spark, sf):
     lines = table(spark, sf, "massime").where("testo is not null").select("id", F.posexplode(F.split("testo", "\n")).alias("n", "line"))
     return ex.merge_paragraphs(lines, "id", "n", "line")
@@ -330,7 +337,6 @@ def graph_neighbors(spark, sf):
     return gr.neighbors(seeds(spark, sf), gr.both_ways(edges(spark, sf)), 2, 0.9)
 
 
-QUERIES["union_distinct_recursive"], SQL["union_distinct_recursive"] = graph_neighbors, SQL["graph_neighbors"]
 
 
 @op(f"""WITH {E}, {S}, {B}, one AS (SELECT s.id AS start, target AS node, max(weight) AS total FROM s JOIN b ON b.source = s.id WHERE weight >= 0.9 AND target <> s.id GROUP BY 1, 2),
@@ -388,6 +394,12 @@ def graph_parents(spark, sf):
     return gr.ancestors(table(spark, sf, "customer").select(F.col("c_custkey").alias("id")), parents(spark, sf), 4)
 
 
+@op(f"WITH RECURSIVE {PARENTS}, up(node, above) AS (SELECT id, parent FROM p WHERE parent IS NOT NULL UNION SELECT node, p.parent FROM up JOIN p ON up.above = p.id WHERE p.parent IS NOT NULL) SELECT node, above FROM up")
+def union_distinct_recursive(spark, sf):
+    """All (node, ancestor) pairs of the hierarchy, each once, by rounds that stop when nothing new comes."""
+    return gr.closure(parents(spark, sf).where("parent is not null").select(F.col("id").alias("source"), F.col("parent").alias("target"))).select(F.col("source").alias("node"), F.col("target").alias("above"))
+
+
 PATHS = "paths AS (SELECT c_custkey AS id, r_name AS a, n_name AS b FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
 SIBLINGS = f"WITH {PATHS} SELECT start, sibling FROM (SELECT x.id AS start, y.id AS sibling, row_number() OVER (PARTITION BY x.id ORDER BY y.id) AS n FROM paths x JOIN paths y ON x.a = y.a AND x.b = y.b AND x.id <> y.id WHERE x.id % 50 = 0) WHERE n <= 5"
 
@@ -437,6 +449,20 @@ def cascade_flag(spark, sf):
     return gr.cascade(flags, concept_paths(spark, sf).withColumnRenamed("c_custkey", "id"))
 
 
-@op("SELECT chunk_id, run_id, 'UNKNOWN' AS kind, concat_ws(':', 'chunk', chunk_id::VARCHAR, run_id::VARCHAR) AS edge FROM sync_item")
+_AMENDING = " UNION ".join(f"SELECT id, '{c}:' || g1 || ':' || g2 AS act FROM ({all_of(p, 2, 'normativa WHERE testo IS NOT NULL')})" for c, p in ex.ACT_REF.items()) + "".join(
+    f" UNION SELECT id, '{c}:' || g2 || ':' || g1 FROM ({all_of(p, 2, 'normativa WHERE testo IS NOT NULL')})" for c, p in ex.DATED_REF.items())
+
+
+@op(f"SELECT id, act, 'UNKNOWN' AS kind, concat_ws('->', act, id::VARCHAR) AS edge FROM ({_AMENDING})")
 def modification_edges(spark, sf):
-    return table(spark, sf, "sync_item").select("chunk_id", "run_id", F.lit("UNKNOWN").alias("kind"), F.concat_ws(":", F.lit("chunk"), F.col("chunk_id").cast("string"), F.col("run_id").cast("string")).alias("edge"))
+    """An edge from every act that an article's text names to the article; how the act changed it is not said."""
+    named = ex.norms(table(spark, sf, "normativa").where("testo is not null").select("id", F.col("testo").alias("text"))).where("number is not null")
+    return named.select("id", F.col("norm_id").alias("act"), F.lit("UNKNOWN").alias("kind"), F.concat_ws("->", "norm_id", F.col("id").cast("string")).alias("edge"))
+
+
+@op(f"""SELECT target AS id, count(*) AS overruled_by, min(m.anno) AS year, arg_min(source, (coalesce(m.anno, 9999), source)) AS turning FROM ({EDGES}) e JOIN massime m ON e.source = m.id WHERE indicator = 'OVERRULES' GROUP BY 1""")
+def turning_points(spark, sf):
+    """Decisions that others overrule, with the first that did."""
+    edges = dedupe_mentions(spark, sf).where("indicator = 'OVERRULES'").join(table(spark, sf, "massime").select(F.col("id").alias("source"), "anno"), "source")
+    first = F.min_by("source", F.struct(F.coalesce("anno", F.lit(9999)), "source")).alias("turning")
+    return edges.groupBy(F.col("target").alias("id")).agg(F.count("*").alias("overruled_by"), F.min("anno").alias("year"), first)

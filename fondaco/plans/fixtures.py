@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fondaco.functions import legal
-from fondaco.operators import extract as ex
+from fondaco.functions import legal, text as tx
+from fondaco.operators import chunk, extract as ex
+from fondaco.plans import quality
 
 QUERIES, SQL = {}, {}
 
@@ -154,3 +155,69 @@ CITED = [
 @expected(f"id BIGINT, {_C}", [(i, *c) for i, (_, c) in enumerate(CITED) if c])
 def fixture_citations(spark, sf):
     return ex.citations(texts(spark, [t for t, _ in CITED]))
+
+
+FORMS = [
+    ("L’Avv. “Rossi”  ＡＢＣ ﬁne", 'l\'avv. "rossi" abc fine'), ("C o n t r a t t o  d i  v e n d i t a", "contratto di vendita"), ("Il contratto\tdi\nvendita immobiliare", "il contratto di vendita immobiliare"), ("A B", "a b"), ("", ""), (None, None),
+]
+
+
+@expected("id BIGINT, normal VARCHAR", [(i, n) for i, (_, n) in enumerate(FORMS)])
+def fixture_normalize_v2(spark, sf):
+    return texts(spark, [t for t, _ in FORMS]).select("id", tx.normalize_v2(F.col("text")).alias("normal"))
+
+
+SCANS = [("Testo buono\n12\n-----\naaaaaa bbb ...... fine", "Testo buono\naa bbb .. fine"), ("....\n  7  \n_ _\nsolo", "_ _\nsolo"), ("1234\n12345", "12345"), ("", ""), (None, None)]
+
+
+@expected("id BIGINT, clean VARCHAR", [(i, n) for i, (_, n) in enumerate(SCANS)])
+def fixture_clean_ocr(spark, sf):
+    return texts(spark, [t for t, _ in SCANS]).select("id", tx.clean_ocr(F.col("text")).alias("clean"))
+
+
+#: A text of words only, 7 characters each; one of two paragraphs and sentences of 27; one of two articles.
+RUNS = ["breve", "parola " * 300, ("Frase di prova numero uno. " * 30 + "\n\n") * 4, "Art. 1. " + "testo dell'articolo primo " * 40 + "\nArt. 2. " + "testo del secondo " * 60]
+SPANS = {
+    "generic": [[(0, 5)], [(0, 2000), (1850, 2100)], [(0, 810), (660, 1622), (1472, 2434), (2284, 3246)], [(0, 7), (0, 1053), (903, 1056), (906, 2137)]],
+    "legal": [[(0, 5)], [(0, 1000), (850, 1850), (1700, 2100)], [(0, 920), (770, 1678), (1528, 2434), (2284, 3248)], [(0, 1049), (899, 1899), (1749, 2137)]],
+    "backward": [[(0, 5)], [(0, 1099), (949, 2044), (1894, 2100)], [(0, 1082), (932, 2029), (1879, 2976), (2826, 3248)], [(0, 1057), (907, 2003), (1853, 2137)]],
+    "paragraphs": [[(0, 5)], [(0, 2000), (1800, 2100)], [(0, 1624), (1424, 3248)], [(0, 1057), (857, 2137)]],
+}
+
+
+def _chunk_case(name: str, chunker: str):
+    def query(spark, sf):
+        return chunk.chunk(texts(spark, [*RUNS, "", " \n", None]), getattr(chunk, chunker)).select("id", "chunk_no", "char_start", "char_end", "text")
+
+    query.__name__ = name
+    rows = [(i, n, s, e, RUNS[i][s:e]) for i, spans in enumerate(SPANS[chunker]) for n, (s, e) in enumerate(spans)]
+    expected("id BIGINT, chunk_no INTEGER, char_start INTEGER, char_end INTEGER, text VARCHAR", rows)(query)
+
+
+for _name, _chunker in {"fixture_chunk_generic": "generic", "fixture_chunk_legal": "legal", "fixture_chunk_sql": "backward", "fixture_chunk_para_sentence": "paragraphs"}.items():
+    _chunk_case(_name, _chunker)
+
+CUTS = [("x" * 400, None), ("Una frase lunga. " * 40, (306, 0.791, "sentence")), ("a, b; " * 120, (306, 0.491, "clause")), (("parola " * 45).strip() + "\n\n" + "coda " * 40, (316, 0.976, "paragraph")), ("breve", None)]
+
+
+@expected("id BIGINT, cut INTEGER, score DOUBLE, kind VARCHAR", [(i, *c) for i, (_, c) in enumerate(CUTS) if c])
+def fixture_cut_propose(spark, sf):
+    return quality.best_cuts(texts(spark, [t for t, _ in CUTS]), 300, 500)
+
+
+@expected("id BIGINT, ratio DOUBLE", [(1, 0.75), (2, 0.0), (3, 1.0), (4, 0.8)])
+def fixture_sequence_ratio(spark, sf):
+    return quality.run_ratios(spark.createDataFrame([(1, "a b c d", "a b x d"), (2, "uno due", "tre"), (3, "x y", "x y"), (4, "a b", "a b c")], "id long, ta string, tb string"))
+
+
+SAID = "Il danno va provato. Cfr. art. 5 c.c. e Sez. Un. n. 3. Così anche Rv. 639966. La prova è libera! Segue altro. Fine."
+
+
+@expected("id BIGINT, n INTEGER, sentence VARCHAR", [(0, i, s) for i, s in enumerate(["Il danno va provato.", "Cfr. art. 5 c.c. e Sez. Un. n. 3.", "Così anche Rv. 639966.", "La prova è libera!", "Segue altro.", "Fine."])])
+def fixture_sentences(spark, sf):
+    return quality.sentences(texts(spark, [SAID, None]))
+
+
+@expected("id BIGINT, n INTEGER, w VARCHAR", [(0, 2, "Il danno va provato. Cfr. art. 5 c.c. e Sez. Un. n. 3. Così anche Rv. 639966. La prova è libera!")])
+def fixture_windows(spark, sf):
+    return quality.windows(quality.sentences(texts(spark, [SAID, None]))).withColumnRenamed("window", "w")

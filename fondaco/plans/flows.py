@@ -39,16 +39,21 @@ def source_markdown(spark, sf):
     return src.markdown_articles(files(spark, sf, text)).where("libro is not null").select("name", "articolo", "rubrica", "testo", "libro")
 
 
-@op()
+_PLAIN = "array_to_string(list_filter(list_transform(string_split({0}, chr(10)), lambda x: regexp_replace(regexp_replace(x, '[ \\t\\x{{a0}}]+', ' ', 'g'), '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''), chr(10))"
+_HTML = f"""SELECT id::VARCHAR AS name, regexp_extract(articolo, '(\\d+(?:[-\\s]?(?:bis|ter|quater|quinquies))?)', 1) AS articolo, rubrica, regexp_replace({_PLAIN.format('testo')}, '^\\s+|\\s+$', '', 'g') AS testo,
+    nullif(regexp_extract(libro, '([IVXLC]+)$', 1), '') AS libro FROM normativa WHERE testo IS NOT NULL"""
+
+
+@op(_HTML)
 def source_html_codes(spark, sf):
     text = F.concat(F.lit("<html><nav>Menu</nav><article><h1>"), F.coalesce("libro", F.lit("")), F.lit("</h1><h2>Art. "), number(), F.lit(". "), F.coalesce("rubrica", F.lit("")), F.lit("</h2><p>"), F.col("testo"), F.lit("</p></article><script>x()</script></html>"))
     return src.html_articles(files(spark, sf, text)).select("name", "articolo", "rubrica", "testo", "libro")
 
 
-@op()
+@op(f"SELECT id::VARCHAR AS name, {_PLAIN.format('testo')} AS text FROM normativa WHERE testo IS NOT NULL")
 def html_clean(spark, sf):
     text = F.concat(F.lit("<nav>Menu</nav><div>"), F.col("testo"), F.lit("</div>"))
-    return files(spark, sf, text).select("name", src.html_clean("content").alias("text"))
+    return files(spark, sf, text).where("content is not null").select("name", src.html_clean("content").alias("text"))
 
 
 @op("SELECT id::VARCHAR AS name, 0 AS n, 'SectionHeader' AS kind, 'Art. ' || articolo AS text, 1 AS page FROM normativa UNION ALL SELECT id::VARCHAR, 1, 'Text', testo, 2 FROM normativa")
@@ -65,19 +70,24 @@ def tree_walk_articles(spark, sf):
     return src.tree_articles(files(spark, sf, F.to_json(tree)), 3).where(F.size("path") > 0).select("name", F.get("path", F.lit(0)).alias("libro"), "articolo", "testo")
 
 
-@op()
+@op("""SELECT id::VARCHAR AS name, regexp_extract(articolo, '(\\d+(?:[-\\s]?(?:bis|ter|quater|quinquies))?)', 1) AS articolo, NULL::VARCHAR AS rubrica, regexp_replace(testo, '^\\s+|\\s+$', '', 'g') AS testo,
+    nullif(regexp_extract(libro, '([IVXLC]+)$', 1), '') AS libro, NULL::VARCHAR AS titolo, NULL::VARCHAR AS capo, NULL::VARCHAR AS sezione FROM normativa""")
 def structure_extract(spark, sf):
     """Articles with their place in the hierarchy, from the JSON rendering of the table."""
     tree = F.struct(F.array(F.struct(F.lit("Title").alias("block_type"), F.col("libro").alias("text")), F.struct(F.lit("SectionHeader").alias("block_type"), F.concat(F.lit("Art. "), number()).alias("text")), F.struct(F.lit("Text").alias("block_type"), F.col("testo").alias("text"))).alias("blocks"))
     return src.json_articles(files(spark, sf, F.to_json(tree)))
 
 
-@op()
+_FORM = r"'^\s*(\S.*?)\s*(?:\.{2,}|\s{2,}|\|)\s*(\d{1,4})\s*$'"
+_TOC = f"SELECT id, n::INT AS n, regexp_extract(line, {_FORM}, 1) AS title, regexp_extract(line, {_FORM}, 2)::INT AS page FROM (SELECT id, unnest(string_split(testo, chr(10))) AS line, generate_subscripts(string_split(testo, chr(10)), 1) - 1 AS n FROM massime WHERE testo IS NOT NULL) WHERE regexp_matches(line, {_FORM})"
+
+
+@op(_TOC)
 def toc_extract(spark, sf):
     return src.toc_lines(table(spark, sf, "massime").where("testo is not null"), "id", "testo")
 
 
-@op()
+@op(f"SELECT id, n, title, page, last_value(CASE WHEN regexp_matches(title, '(?i)^\\S*\\s*(?:cap|volume|parte|titolo)') THEN title END IGNORE NULLS) OVER (PARTITION BY id ORDER BY n ROWS UNBOUNDED PRECEDING) AS at_capo FROM ({_TOC})")
 def toc_index_tree(spark, sf):
     """Lines of contents under the last chapter line above them."""
     toc = toc_extract(spark, sf).withColumn("capo", F.when(F.col("title").rlike(r"(?i)^\S*\s*(?:cap|volume|parte|titolo)"), F.col("title")))
@@ -141,11 +151,37 @@ def rate_limit_60s(spark, sf):
     return st.over_limit(table(spark, sf, "events"), 1)
 
 
-@op()
+_STEP = "CASE WHEN moment < until THEN 'open' WHEN until IS NOT NULL THEN 'half_open' ELSE 'closed' END AS state, CASE WHEN moment < until THEN failures WHEN NOT bad THEN 0 WHEN until IS NOT NULL THEN 3 ELSE failures + 1 END AS f"
+
+
+@op(f"""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS moment, event_type = 'error' AS bad, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    s AS (SELECT user_id, n, event_id, 'closed' AS state, CASE WHEN bad THEN 1 ELSE 0 END AS failures, NULL::DOUBLE AS until FROM e WHERE n = 1 UNION ALL
+        SELECT user_id, n, event_id, state, f, CASE WHEN state = 'open' THEN until WHEN f >= 3 THEN moment + 300 END FROM (SELECT e.*, s.until, {_STEP} FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1))
+    SELECT event_id, state FROM s""")
 def circuit_breaker(spark, sf):
     return st.circuit_breaker(table(spark, sf, "events"))
 
 
+_PAIRS = "SELECT v.event_id AS view_id, p.event_id AS purchase_id, v.user_id FROM events v JOIN events p ON v.user_id = p.user_id AND p.ts BETWEEN v.ts AND v.ts + INTERVAL 6 HOUR WHERE v.event_type = 'view' AND p.event_type = 'purchase'"
+
+
+@op(_PAIRS)
+def stream_join(spark, sf):
+    """Views of a stream with the purchases of another that follow within six hours."""
+    views, purchases = (stream(spark, sf).where(F.col("event_type") == k) for k in ("view", "purchase"))
+    return st.run_once(st.followed_by(views, purchases, "6 hours").select(F.col("event_id").alias("view_id"), F.col("other_id").alias("purchase_id"), "user_id"), "append")
+
+
+@op("""WITH b AS (SELECT max(ts) FILTER (event_id % 4 <> 0) - INTERVAL 30 DAY AS mark FROM events), e AS (SELECT ts, time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, value FROM events, b WHERE event_id % 4 <> 0 OR time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR > mark)
+    SELECT start, event_type, count(*) AS n FROM e GROUP BY 1, 2""")
+def stream_late_data(spark, sf):
+    """Hourly counts over two rounds of one stream: every fourth event comes late, and counts only if its hour ends after the mark, 30 days behind the newest event."""
+    rows = table(spark, sf, "events").select("event_id", "ts", "event_type", "value")
+    rounds = [rows.where("event_id % 4 <> 0"), rows.where("event_id % 4 = 0")]
+    out = st.run_rounds(rounds, lambda r: st.tumbling(r, "1 hour", "30 days").select("start", "event_type", "n"))
+    return out.groupBy("start", "event_type").agg(F.max_by("n", "round").alias("n"))
+
+
 @op("SELECT event_id, user_id, event_type, value FROM events")
 def workflow_sync(spark, sf):
     """Events merged batch by batch into a table that starts without half of them."""

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from fondaco.functions import legal, similarity as sim, text as tx
-from fondaco.operators import dedup as dd, extract as ex
-from fondaco.plans import extraction as xp, quality as qu
+from fondaco.operators import dedup as dd, extract as ex, retrieval as ret
+from fondaco.plans import extraction as xp, quality as qu, retrieval as rt
 from fondaco.plans.texts import sql_article_number, sql_article_suffix, sql_hash_form, sql_jaccard, sql_shingles, sql_sort_key, sql_words
 from fondaco.session import table
 from fondaco.sources import articles as src
@@ -47,7 +47,13 @@ def dedup_jaccard_pairs(spark, sf):
     return dd.jaccard_pairs(words, "id", sim.shingles(F.col("w"), 3), 0.85)
 
 
-QUERIES["join_nested_loop_sim"], SQL["join_nested_loop_sim"] = dedup_jaccard_pairs, SQL["dedup_jaccard_pairs"]
+
+@op(f"WITH a AS (SELECT id AS query_id, codice AS text FROM normativa_altalex WHERE codice <> ''), w AS (SELECT id, nome_completo AS text FROM work) {rt.sql_trgm('a', 'w', 3, 0.3)}")
+def join_nested_loop_sim(spark, sf):
+    """The acts whose names are most like the act that a dirty source names: a join on similarity, not on equality."""
+    named = table(spark, sf, "normativa_altalex").where("codice <> ''").select(F.col("id").alias("query_id"), F.col("codice").alias("text"))
+    return ret.trgm_search(named, table(spark, sf, "work").select("id", F.col("nome_completo").alias("text")), 3, 0.3)
+
 
 _ACTUAL = "work_id || '~art' || {0} || coalesce({1}, '')".format(f"{sql_article_number('articolo')}::VARCHAR", sql_article_suffix("articolo"))
 
@@ -98,11 +104,31 @@ def view_golden_with_info(spark, sf):
     return qu.golden_sample(spark, sf).join(m.select("id", "rv", "anno", "document_id"), "id").join(per, "document_id", "left").select("id", "materia", "rv", "anno", "n")
 
 
-@op("""WITH c AS (SELECT DISTINCT sha256(text) AS digest FROM normativa_chunk c JOIN (SELECT DISTINCT chunk_id FROM normativa_chunk_embeddings WHERE embedding IS NOT NULL) e ON c.id = e.chunk_id)
-    SELECT sha256(text) IN (SELECT digest FROM c) AS cached, count(*) AS n FROM (SELECT DISTINCT id, text FROM normativa_chunk) GROUP BY 1""")
+@op("""WITH c AS (SELECT sha256(text) AS digest, max(embedding) AS vec FROM normativa_chunk c JOIN normativa_chunk_embeddings e ON c.id = e.chunk_id AND e.model = 'lex-64' AND len(embedding) = 64 GROUP BY 1),
+    h AS (SELECT DISTINCT text, list_transform(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: ('0x' || substr(md5(w), 1, 2))::INT % 64) AS h FROM normativa_chunk),
+    v AS (SELECT text, list_transform(range(64), lambda i: len(list_filter(h, lambda x: x = i))::FLOAT) AS v FROM h)
+    SELECT id, c.vec IS NOT NULL AS cached, round(list_sum(coalesce(c.vec, v.v)::DOUBLE[]), 3) AS total FROM (SELECT DISTINCT id, text FROM normativa_chunk) t JOIN v ON v.text = t.text LEFT JOIN c ON c.digest = sha256(t.text)""")
 def embed_generate(spark, sf):
-    """Chunk texts whose vector the cache has by the hash of the text, and those that are to be embedded."""
-    c, e = table(spark, sf, "normativa_chunk"), table(spark, sf, "normativa_chunk_embeddings").where("embedding is not null")
-    cache = c.join(e.select(F.col("chunk_id").alias("id"), "embedding"), "id").groupBy(F.sha2("text", 256).alias("digest")).agg(F.first("embedding").alias("vec"))
-    told = src.with_cached_vectors(c.select(F.col("id").alias("key"), "text").distinct(), cache)
-    return told.groupBy(F.col("vec").isNotNull().alias("cached")).agg(F.count("*").alias("n"))
+    """A vector for every chunk text: the cached one by the hash of the text, else that of a plugged-in function, here counts of hashed words."""
+    from pyspark.sql.types import ArrayType, FloatType
+
+    @F.pandas_udf(ArrayType(FloatType()))
+    def embed(text):
+        import re
+        from hashlib import md5
+
+        def vector(t):
+            counts = [0.0] * 64
+            for w in re.split(r"[\W_]+", t.lower()):
+                counts[int(md5(w.encode()).hexdigest()[:2], 16) % 64] += 1.0
+            return counts
+
+        return text.map(vector)
+
+    c = table(spark, sf, "normativa_chunk").select("id", "text").distinct()
+    e = table(spark, sf, "normativa_chunk_embeddings").where("model = 'lex-64' and size(embedding) = 64").select(F.col("chunk_id").alias("id"), "embedding")
+    cache = table(spark, sf, "normativa_chunk").join(e, "id").groupBy(F.sha2("text", 256).alias("digest")).agg(F.max("embedding").alias("vec"))
+    told = src.with_cached_vectors(c.select(F.col("id").alias("key"), "text"), cache, embed, 64)
+    known = told.join(cache.select("digest"), "digest", "left_semi").select("key", "digest").distinct().withColumn("cached", F.lit(True))
+    total = F.round(F.aggregate(F.transform("vec", lambda x: x.cast("double")), F.lit(0.0), lambda a, x: a + x), 3)
+    return told.join(known, ["key", "digest"], "left").select(F.col("key").alias("id"), F.coalesce("cached", F.lit(False)).alias("cached"), total.alias("total"))

@@ -7,7 +7,7 @@ from pyspark.sql import Window, functions as F
 from fondaco.functions import similarity as sim, text as tx
 from fondaco.operators import chunk as ch, classify as cl, dedup as dd, evaluate as ev, extract as ex, relational as rel, retrieval as ret
 from fondaco.plans import extraction as xp, relational as rp, retrieval as rt
-from fondaco.plans.texts import sql_chain, sql_hash_form, sql_jaccard, sql_share, sql_trigrams, sql_words
+from fondaco.plans.texts import sql_chain, sql_clean, sql_hash_form, sql_jaccard, sql_share, sql_trigrams, sql_words
 from fondaco.session import table
 
 QUERIES, SQL = {}, {}
@@ -39,18 +39,23 @@ for _name, _spans in {"chunk_generic": ch.generic, "chunk_legal": ch.legal, "chu
     QUERIES[_name] = lambda spark, sf, s=_spans: ch.chunk(articles(spark, sf), s)
 
 
-@op()
-def cut_propose(spark, sf):
-    """The best cut of each text over the soft limit."""
+def best_cuts(rows, soft, hard):
+    """(id, cut, score, kind): the best cut of each text of (id, text) over the soft limit."""
+
     def best(batches):
         import pyarrow as pa
 
         for batch in batches:
-            rows = [(i, *c[0]) for i, t in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()) if t and (c := ch.cut_scores(t, 300, 500))]
+            rows = [(i, *c[0]) for i, t in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()) if t and (c := ch.cut_scores(t, soft, hard))]
             cols = list(zip(*rows)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.string())], names=["id", "cut", "score", "kind"])
 
-    return articles(spark, sf).mapInArrow(best, "id long, cut int, score double, kind string")
+    return rows.select("id", "text").mapInArrow(best, "id long, cut int, score double, kind string")
+
+
+@op()
+def cut_propose(spark, sf):
+    return best_cuts(articles(spark, sf), 300, 500)
 
 
 @op(f"SELECT c.id FROM ({rp._FIRST[1:-1]}) c WHERE c.id NOT IN (SELECT n.id FROM normativa_chunk n JOIN ({rp._LAST[1:-1]}) l ON n.id = l.id WHERE n.text <> l.text)")
@@ -172,9 +177,9 @@ def enrich_trigger(spark, sf):
     return table(spark, sf, "normativa_altalex").select("id", reason.alias("reason"))
 
 
-@op()
-def sequence_ratio(spark, sf):
-    """Ratio of matching runs between the altalex and the matched text, by the standard library's matcher."""
+def run_ratios(pairs):
+    """(id, ratio) of (id, ta, tb)."""
+
     def ratio(batches):
         from difflib import SequenceMatcher
 
@@ -182,11 +187,18 @@ def sequence_ratio(spark, sf):
 
         for batch in batches:
             a, b = batch.column("ta").to_pylist(), batch.column("tb").to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([round(SequenceMatcher(None, x.split(), y.split(), autojunk=False).ratio(), 6) for x, y in zip(a, b)])], names=["id", "ratio"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([round(SequenceMatcher(None, x.split(), y.split(), autojunk=False).ratio(), 6) for x, y in zip(a, b)], pa.float64())], names=["id", "ratio"])
+
+    return pairs.select("id", "ta", "tb").mapInArrow(ratio, "id long, ratio double")
 
-    a = table(spark, sf, "normativa_altalex").where("brocardi_match_id is not null and testo is not null").select("id", F.col("brocardi_match_id").alias("t"), F.col("testo").alias("ta"))
+
+@op()
+def sequence_ratio(spark, sf):
+    """Ratio of matching runs between the altalex and the matched text, by the standard library's matcher."""
+    a = table(spark, sf, "normativa_altalex").where("testo is not null").select("id", F.col("testo").alias("ta"))
     n = table(spark, sf, "normativa").where("testo is not null").select(F.col("id").alias("t"), F.col("testo").alias("tb"))
-    return a.join(n, "t").select("id", "ta", "tb").mapInArrow(ratio, "id long, ratio double")
+    a = a.join(align_reference(spark, sf).select("id", F.col("target").alias("t")), "id")
+    return run_ratios(a.join(n, "t"))
 
 
 # Classification
@@ -487,24 +499,46 @@ def doc_diagnose_profile(spark, sf):
     return table(spark, sf, "massime").groupBy("document_id", "anno").agg(F.count("*").alias("n"), F.round(F.avg(F.length("testo")), 4).alias("mean"))
 
 
-@op()
+ABBREVIATIONS = "art|artt|n|sez|cod|proc|civ|pen|rv|c|p|s|l|lav|un|disp|att|nav|fall|cfr"
+
+
+def sentences(rows):
+    """(id, n, sentence) of (id, text): cut after a mark that ends a sentence and no abbreviation."""
+    cut = F.split(F.regexp_replace("text", r"\s+", " "), rf"(?<!\b(?i:{ABBREVIATIONS})\.)(?<=[.!?])\s+(?=[A-ZÀ-Ý(])")
+    return rows.where("text is not null").select("id", F.posexplode(cut).alias("n", "sentence"))
+
+
+def windows(cut):
+    """(id, n, window): two sentences before and one after each sentence that cites a register number."""
+    by = Window.partitionBy("id").orderBy("n").rowsBetween(-2, 1)
+    return cut.withColumn("window", F.array_join(F.collect_list("sentence").over(by), " ")).where(F.col("sentence").rlike(ex.RV)).select("id", "n", "window")
+
+
+#: A split sentence begins anew after a mark, a blank and a capital, where no abbreviation ends: cut at a sign that no text holds.
+_CUT = rf"regexp_replace(regexp_replace(regexp_replace(testo, '\s+', ' ', 'g'), '([.!?]) +([A-ZÀ-Ý(])', '\1' || chr(1) || '\2', 'g'), '(^|[^\w])((?i:{ABBREVIATIONS}))\.' || chr(1), '\1\2. ', 'g')"
+_SENTENCES = f"SELECT id, generate_subscripts(string_split({_CUT}, chr(1)), 1)::INT - 1 AS n, unnest(string_split({_CUT}, chr(1))) AS sentence FROM massime WHERE testo IS NOT NULL"
+
+
+@op(_SENTENCES)
 def sentence_split(spark, sf):
-    """Sentences of massime with their numbers, cut after a full stop that ends no abbreviation."""
-    cut = F.split(F.regexp_replace("testo", r"\s+", " "), r"(?<!\b(?:art|artt|n|sez|cod|proc|civ|pen|rv|c|p|s|l|lav|un|disp|att|nav|fall|cfr)\.)(?<=[.!?])\s+(?=[A-ZÀ-Ý(])")
-    return table(spark, sf, "massime").where("testo is not null").select("id", F.posexplode(cut).alias("n", "sentence"))
+    """Sentences of massime with their numbers."""
+    return sentences(xp.texts(spark, sf))
 
 
-@op()
+@op(f"SELECT id, n, w AS window FROM (SELECT id, n, sentence, string_agg(sentence, ' ') OVER (PARTITION BY id ORDER BY n ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS w FROM ({_SENTENCES})) WHERE regexp_matches(sentence, {xp.q(ex.RV)})")
 def anchored_windows(spark, sf):
-    """Two sentences before and one after each sentence that cites a register number."""
-    s = sentence_split(spark, sf)
-    by = Window.partitionBy("id").orderBy("n").rowsBetween(-2, 1)
-    return s.withColumn("window", F.array_join(F.collect_list("sentence").over(by), " ")).where(F.col("sentence").rlike(ex.RV)).select("id", "n", "window")
+    return windows(sentence_split(spark, sf))
 
 
-@op()
+_VALID = r"[\p{L}\p{N}\s.,;:!?()\"'-]"
+_FIELDS = xp.SQL["extract_citation_fields"]
+
+
+@op(f"""SELECT m.id, {sql_clean('m.testo')} AS testo, sha256({sql_hash_form('m.testo')}) AS content_hash, f.sezione, f.numero, f.anno, f.rv, round({sql_share(sql_clean('m.testo'), _VALID)}, 6) AS quality
+    FROM massime m JOIN ({xp.SQL['is_massima_text']}) o ON m.id = o.id AND o.ok JOIN ({_FIELDS}) f ON f.id = m.id""")
 def extract_massime_elements(spark, sf):
     """Texts that are case-law summaries, cleaned, hashed, with the citation they hold and the share of valid characters."""
     clean = tx.clean_legal_text(F.col("text"))
-    return xp.texts(spark, sf).where(ex.is_massima(F.col("text"))).select("id", clean.alias("testo"), tx.content_hash(tx.normalize_for_hash(F.col("text"))).alias("content_hash"),
-        ex.citation_fields(F.col("text")).alias("citation"), F.round(tx.share_of(clean, r"[\p{L}\p{N}\s.,;:!?()\"'-]"), 6).alias("quality"))
+    told = xp.texts(spark, sf).where(ex.is_massima(F.col("text"))).select("id", clean.alias("testo"), tx.content_hash(tx.normalize_for_hash(F.col("text"))).alias("content_hash"),
+        ex.citation_fields(F.col("text")).alias("c"), F.round(tx.share_of(clean, _VALID), 6).alias("quality"))
+    return told.select("id", "testo", "content_hash", "c.sezione", "c.numero", "c.anno", "c.rv", "quality")

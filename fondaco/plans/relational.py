@@ -33,11 +33,11 @@ def scan_table(spark, sf):
     return _t(spark, sf, "massime").where("is_active and rv is not null").select("id", "rv", "anno")
 
 
-@op("SELECT id, rv FROM massime WHERE id > (SELECT min(id) + 100 FROM massime) ORDER BY id LIMIT 200")
+@op("SELECT (i // 200)::BIGINT AS page, min(id) AS first_id, max(id) AS last_id, count(*) AS n FROM (SELECT id, row_number() OVER (ORDER BY id) - 1 AS i FROM massime) GROUP BY 1")
 def scan_batch_paged(spark, sf):
-    rows = _t(spark, sf, "massime")
-    start = rows.agg((F.min("id") + 100).alias("s"))
-    return rows.join(F.broadcast(start), F.col("id") > F.col("s")).select("id", "rv").orderBy("id").limit(200)
+    """All pages of 200 rows in the order of the key, each by its first and last key."""
+    paged = rel.paged(_t(spark, sf, "massime").select("id", "rv"), "id", 200)
+    return paged.groupBy("page").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.count("*").alias("n"))
 
 
 @op("SELECT id, data_decisione, anno FROM massime WHERE id IN (SELECT massima_id FROM llm_resolver_result WHERE accepted)")
@@ -409,9 +409,21 @@ def agg_cube(spark, sf):
     return _t(spark, sf, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
 
 
-@op()
+@op("SELECT l_returnflag, true AS parts_close, true AS middle_close FROM lineitem GROUP BY 1")
 def agg_approx(spark, sf):
-    return _t(spark, sf, "lineitem").agg(F.approx_count_distinct("l_partkey").alias("parts"), F.percentile_approx("l_quantity", 0.5).alias("mid"))
+    """Whether the approximate count of parts and median of quantities of each group lie near the exact ones: within 5 % and 1 % of the ranks."""
+    li = _t(spark, sf, "lineitem")
+    told = li.groupBy("l_returnflag").agg(
+        F.approx_count_distinct("l_partkey", 0.02).alias("a"), F.countDistinct("l_partkey").alias("e"), F.percentile_approx("l_quantity", 0.5, 1000).alias("m"), F.percentile("l_quantity", F.array(F.lit(0.49), F.lit(0.51))).alias("r"),
+    )
+    return told.select("l_returnflag", (F.abs(F.col("a") - F.col("e")) <= 0.05 * F.col("e")).alias("parts_close"), F.col("m").between(F.floor(F.col("r")[0]), F.ceil(F.col("r")[1])).alias("middle_close"))
+
+
+@op("SELECT l_returnflag, l_linestatus, year(l_shipdate)::INT AS y, count(*) AS n, grouping(l_returnflag, l_linestatus, year(l_shipdate)) AS level FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (year(l_shipdate)), ())")
+def agg_grouping_sets(spark, sf):
+    li = _t(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", F.year("l_shipdate").alias("y"))
+    flag, status, y = F.col("l_returnflag"), F.col("l_linestatus"), F.col("y")
+    return li.groupingSets([[flag, status], [y], []], flag, status, y).agg(F.count("*").alias("n"), F.grouping_id().alias("level"))
 
 
 # Windows, sorts, set operations
@@ -494,6 +506,21 @@ def win_ntile_lag(spark, sf):
     return _t(spark, sf, "work").select("id", F.ntile(4).over(Window.orderBy("nome_breve")).alias("quarter"), F.dense_rank().over(Window.orderBy("atto_tipo")).alias("kind"), F.lag("code").over(Window.orderBy("id")).alias("before"))
 
 
+@op("SELECT o_orderkey, round(cume_dist() OVER w, 6) AS below, round(percent_rank() OVER w, 6) AS rank, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderdate RANGE BETWEEN INTERVAL 90 DAY PRECEDING AND CURRENT ROW) AS recent FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice)")
+def win_cume_dist(spark, sf):
+    """Where an order stands among its customer's by price, and how many orders the customer placed in the 90 days to it."""
+    by = Window.partitionBy("o_custkey").orderBy("o_totalprice")
+    days = Window.partitionBy("o_custkey").orderBy(F.unix_micros(F.col("o_orderdate").cast("timestamp"))).rangeBetween(-90 * 86_400_000_000, 0)
+    return _t(spark, sf, "orders").select("o_orderkey", F.round(F.cume_dist().over(by), 6).alias("below"), F.round(F.percent_rank().over(by), 6).alias("rank"), F.count("*").over(days).alias("recent"))
+
+
+@op("SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC) <= 2")
+def win_qualify(spark, sf):
+    """Rows by the rank they have in their group, ties included."""
+    best = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"))
+    return _t(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice", F.rank().over(best).alias("r")).where("r <= 2").drop("r")
+
+
 @op("SELECT id, importance_score FROM massime WHERE importance_score IS NOT NULL ORDER BY importance_score DESC, id LIMIT 50")
 def topk_score(spark, sf):
     return _t(spark, sf, "massime").where("importance_score is not null").select("id", "importance_score").orderBy(F.desc("importance_score"), "id").limit(50)

@@ -93,12 +93,18 @@ _over("clean_legal_text", "massime", ["id"], lambda: {"clean": tx.clean_legal_te
 _over("normalize_for_hash", "massime", ["id"], lambda: {"normal": tx.normalize_for_hash(F.col("testo"))}, {"normal": sql_hash_form("testo")})
 _over("normalize_simple", "massime", ["id"], lambda: {"normal": tx.normalize_simple(F.col("testo"))}, {"normal": sql_chain("lower(testo)", [(r"\s+", " "), (r"[^\p{L}\p{N}_\s]", ""), ("^ +| +$", "")])})
 _over("normalize_citation", "massime", ["id"], lambda: {"normal": tx.normalize_citation(F.col("testo"))}, {"normal": sql_squeeze(_sub("lower(testo)", r"[^\p{L}\p{N}_\s]", " "))})
+_over("normalize_chunking", "documents", ["doc_id"], lambda: {"normal": tx.normalize_chunking(F.col("text"))}, {"normal": sql_chain("translate(text, chr(8217) || chr(8216) || chr(8220) || chr(8221) || chr(160), '''''\"\" ')", [(r"[ \t]+", " "), (r"\n{3,}", "\n\n"), (r"^\s+|\s+$", "")])})
 _over("normalize_v2", "documents", ["doc_id"], lambda: {"normal": tx.normalize_v2(F.col("text"))}, {})
 _over("nfc_texts", "documents", ["doc_id"], lambda: {"composed": tx.nfc(F.col("text"))}, {"composed": "nfc_normalize(text)"})
 _over("fix_encoding", "documents", ["doc_id"], lambda: {"fixed": F.translate("text", "’‘“”–— ", "''\"\"-- ")}, {"fixed": "translate(text, '’‘“”–—' || chr(160), '''''\"\"-- ')"})
 _over("clean_ocr", "massime", ["id"], lambda: {"clean": tx.clean_ocr(F.col("testo"))}, {})
-_over("spaced_letters_score", "documents", ["doc_id"], lambda: {"score": tx.spaced_letters_score(F.col("text"))}, {})
-_over("safe_despace", "documents", ["doc_id"], lambda: {"despaced": tx.safe_despace(F.col("text"))}, {})
+_n = lambda pattern: f"len(regexp_extract_all(text, '{pattern}'))::DOUBLE"
+_letters, _pairs, _runs = _n(tx.LETTER), _n(rf"{tx.LETTER}\s{tx.LETTER}"), _n(f"{tx.LETTER}+")
+_factor = "CASE " + " ".join(f"WHEN {_pairs} / {_letters} > {least} AND {_letters} / {_runs} < {most} THEN {f}" for least, most, f in tx.SPACED) + " ELSE 0.0 END"
+_spaced = f"CASE WHEN text IS NULL OR length(text) < {tx.SHORT} OR {_letters} = 0 THEN 0.0 ELSE round(least(1.0, least(1.0, {_pairs} / {_letters} * {_factor}) * CASE WHEN {_n(' ')} / length(text) > {tx.BLANKS} THEN {tx.RAISED} ELSE 1.0 END), 4) END::DOUBLE"
+_over("spaced_letters_score", "documents", ["doc_id"], lambda: {"score": tx.spaced_letters_score(F.col("text"))}, {"score": _spaced})
+_close = f"regexp_replace({{0}}, '({tx.LETTER})\\s({tx.LETTER})', '\\1\\2', 'g')"
+_over("safe_despace", "documents", ["doc_id"], lambda: {"despaced": tx.safe_despace(F.col("text"))}, {"despaced": f"CASE WHEN length(text) >= 20 AND {_spaced} >= 0.12 THEN {_close.format(_close.format('text'))} ELSE text END"})
 _over("unaccent_voce", "normativa", ["id"], lambda: {"voce": tx.unaccent(F.col("rubrica"))}, {"voce": f"translate(lower(rubrica), '{tx.ACCENTS[0]}', '{tx.ACCENTS[1]}')"})
 _over(
     "content_hash", "massime", ["id"], lambda: {f"hash{n}": tx.content_hash(tx.normalize_for_hash(F.col("testo")), n) for n in (64, 40, 32, 16)},

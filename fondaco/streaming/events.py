@@ -38,6 +38,26 @@ def run_once(stream: DataFrame, mode: str = "complete") -> DataFrame:
     return spark.read.parquet(path).select(*stream.columns) if last["n"] >= 0 else spark.createDataFrame([], stream.schema)
 
 
+def run_rounds(rounds: list[DataFrame], transform: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The updates of a stream that is fed round by round and stopped in between, with the number of their ``round``.
+
+    State and watermark outlive the stops in the checkpoint, so a later round meets the mark that the earlier ones set.
+    """
+    spark = rounds[0].sparkSession
+    base = f"{shared_dir(spark)}/fondaco-rounds-{uuid.uuid4().hex}"
+    out = None
+    for rows in rounds:
+        rows.write.mode("append").parquet(f"{base}/in")
+        stream = transform(read_stream(spark, f"{base}/in/*.parquet", rows.schema))
+
+        def write(batch: DataFrame, number: int) -> None:
+            batch.withColumn("round", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+
+        stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+        out = stream.schema
+    return spark.read.parquet(f"{base}/out").select(*out.names, "round")
+
+
 def tumbling(rows: DataFrame, width: str, late: str = "1 hour") -> DataFrame:
     """(start, event_type, n, total) by windows of one width."""
     told = rows.withWatermark("ts", late) if rows.isStreaming else rows
@@ -58,6 +78,14 @@ def sessions(rows: DataFrame, gap: str, late: str = "1 hour") -> DataFrame:
     return told.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
 
 
+def followed_by(left: DataFrame, right: DataFrame, within: str, late: str = "1 hour") -> DataFrame:
+    """Rows of ``left`` with the ``other_id`` of the same user's rows of ``right`` that follow within a time; on streams both keep rows only as long as a match may come."""
+    mark = lambda df, ts: df.withWatermark(ts, late) if df.isStreaming else df
+    other = right.select(F.col("event_id").alias("other_id"), F.col("user_id").alias("other_user"), F.col("ts").alias("other_ts"))
+    near = (F.col("user_id") == F.col("other_user")) & (F.col("other_ts") >= F.col("ts")) & (F.col("other_ts") <= F.col("ts") + F.expr(f"interval {within}"))
+    return mark(left, "ts").join(mark(other, "other_ts"), near)
+
+
 def first_seen(rows: DataFrame, keys: list[str], late: str = "1 hour") -> DataFrame:
     """Each key once; on a stream within the watermark."""
     return rows.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys) if rows.isStreaming else rows.dropDuplicates(keys)

@@ -53,3 +53,23 @@ def test_history_is_built_from_satellites(spark, monkeypatch):
     rows = [row(1, "a", "20200101", date(2020, 2, 1)), row(1, "b", "20200401", date(2020, 2, 1)), row(1, "b", "20200701")]
     assert run(spark, rows) == [(1, date(2020, 2, 1), None), (1, date(2020, 2, 1), date(2020, 2, 1))]
     assert built == [["_digest"], ["_from", "_to"]]
+
+
+def test_snapshots_appended_in_any_order_give_the_full_history(spark):
+    import itertools
+    import random
+
+    versions = "a a b a a c".split()
+    snaps = [(1, date(2020, 1 + i, 1), v) for i, v in enumerate(versions)] + [(2, date(2020, 1, 1), None), (2, date(2020, 3, 1), "x")]
+    schema = "key long, snapshot date, v string"
+    view = lambda stored: sorted((r["key"], r["load_date"], r["v"], r["end_date"]) for r in history.satellite_view(stored).collect())
+    full = view(history.satellite(spark.createDataFrame(snaps, schema), ["v"]))
+    for seed in range(3):
+        order = random.Random(seed).sample(snaps, len(snaps))
+        stored, tracked = [], []
+        for chunk in itertools.batched(order, 2):
+            table = spark.createDataFrame(stored, "key long, load_date date, hash_diff string, v string")
+            fresh = history.append_satellite(table, spark.createDataFrame(list(chunk), schema), ["v"], spark.createDataFrame(tracked, schema))
+            stored += [tuple(r) for r in fresh.collect()]
+            tracked += chunk
+        assert view(spark.createDataFrame(stored, "key long, load_date date, hash_diff string, v string")) == full
