@@ -18,16 +18,19 @@ def exact(rows: DataFrame, key: str, digest: Column) -> DataFrame:
 def fingerprint_pairs(rows: DataFrame, key: str, fingerprint: str, most: int) -> DataFrame:
     """(a, b, distance): pairs of fingerprints that differ in at most ``most`` bits.
 
-    The bits are cut in ``most`` + 1 bands; two such fingerprints agree on one band at least. Equal fingerprints are one
-    class, named by its smallest key, so copies cost nothing; the pairs are between classes.
+    The bits are cut in bands, half as many as ``most`` + 1; two such fingerprints differ in at most one bit of one band at least. So
+    one side of each band meets the other as it is and with each of its bits turned, and bands are wide enough to be rare. Equal
+    fingerprints are one class, named by its smallest key, so copies cost nothing; the pairs are between classes.
     """
-    bands = most + 1
+    bands = (most + 2) // 2
     classes = rows.where(F.col(fingerprint).isNotNull()).groupBy(fingerprint).agg(F.min(key).alias("_k"))
     edges = [64 * i // bands for i in range(bands + 1)]
-    band = lambda i: F.shiftrightunsigned(fingerprint, edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1))
-    keys = F.array(*[F.struct(F.lit(i).alias("i"), band(i).cast("long").alias("v")) for i in range(bands)])
-    spread = classes.select("_k", F.col(fingerprint).alias("_f"), F.explode(keys).alias("_b"))
-    other = spread.select(F.col("_k").alias("_k2"), F.col("_f").alias("_f2"), "_b")
+    band = lambda i: F.shiftrightunsigned(fingerprint, edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1 if bands > 1 else -1)).cast("long")
+    at = lambda i, v: F.struct(F.lit(i).alias("i"), v.alias("v"))
+    exact = F.array(*[at(i, band(i)) for i in range(bands)])
+    turned = F.array(*[at(i, band(i).bitwiseXOR(F.lit(1 << j if j < 63 else -(1 << 63)).cast("long"))) for i in range(bands) for j in range(edges[i + 1] - edges[i])])
+    spread = classes.select("_k", F.col(fingerprint).alias("_f"), F.explode(exact).alias("_b"))
+    other = classes.select(F.col("_k").alias("_k2"), F.col(fingerprint).alias("_f2"), F.explode(F.concat(exact, turned)).alias("_b"))
     found = spread.join(other, "_b").where("_k < _k2").withColumn("distance", sim.hamming(F.col("_f"), F.col("_f2"))).where(F.col("distance") <= most)
     return found.select(F.col("_k").alias("a"), F.col("_k2").alias("b"), "distance").distinct()
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fondaco.functions import similarity as sim
+from fondaco.operators.relational import sharing_pairs
 from fondaco.session import materialise
 
 
@@ -72,17 +73,12 @@ def expand_from(seeds: DataFrame, edges: DataFrame, least: float, most: int = 50
 def same_principle(norms: DataFrame, vectors: DataFrame, years: DataFrame, shared: int = 2, cosine: float = 0.85) -> DataFrame:
     """(a, b, overlap, cosine, weight): rows that share two norms or more and whose vectors are alike.
 
-    norms: (id, norm_id), vectors: (id, vec), years: (id, year). Rows meet on pairs of norms, not on single ones, so a norm
-    that many rows cite brings only those together that share another.
+    norms: (id, norm_id), vectors: (id, vec), years: (id, year).
     """
-    sets = norms.groupBy("id").agg(F.sort_array(F.collect_set("norm_id")).alias("n")).where(F.size("n") >= shared)
-    rest = lambda x, i: F.slice("n", i + 2, F.size("n"))
-    both = F.flatten(F.transform("n", lambda x, i: F.transform(rest(x, i), lambda y: F.concat(x, F.lit("\n"), y))))
-    keyed = sets.select("id", F.explode(both).alias("key"))
-    pairs = keyed.select(F.col("id").alias("a"), "key").join(keyed.select(F.col("id").alias("b"), "key"), "key").where("a < b").select("a", "b").distinct()
-    side = lambda c: sets.join(vectors, "id").join(years, "id").select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("vec").alias(f"v{c}"), F.col("year").alias(f"y{c}"))
-    told = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("overlap", F.size(F.array_intersect("na", "nb"))).withColumn("cosine", F.round(sim.cosine(F.col("va"), F.col("vb")), 6))
-    told = told.where((F.col("overlap") >= shared) & (F.col("cosine") >= cosine))
+    pairs = sharing_pairs(norms, "id", "norm_id", shared)
+    side = lambda c: vectors.join(years, "id").select(F.col("id").alias(c), F.col("vec").alias(f"v{c}"), F.col("year").alias(f"y{c}"))
+    told = pairs.withColumnRenamed("shared", "overlap").join(side("a"), "a").join(side("b"), "b").withColumn("cosine", F.round(sim.cosine(F.col("va"), F.col("vb")), 6))
+    told = told.where(F.col("cosine") >= cosine)
     return told.select("a", "b", "overlap", "cosine", F.round(edge_weight(F.col("overlap"), F.col("cosine"), F.coalesce(F.col("ya") - F.col("yb"), F.lit(0))), 4).alias("weight"))
 
 

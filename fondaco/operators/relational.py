@@ -165,3 +165,17 @@ def paged(rows: DataFrame, key: str, size: int) -> DataFrame:
     starts = rows.sparkSession.createDataFrame(before, "_range int, _before long")
     number = F.row_number().over(Window.partitionBy("_range").orderBy(key)) - 1 + F.col("_before")
     return ranges.join(F.broadcast(starts), "_range").withColumn("page", F.floor(number / size)).drop("_range", "_before")
+
+
+def sharing_pairs(rows: DataFrame, key: str, item: str, least: int = 2) -> DataFrame:
+    """(a, b, shared): pairs of keys with ``least`` items in common, two at the fewest.
+
+    Keys meet on pairs of items, not on single ones, so an item that many keys hold brings only those together that share
+    another with it. A key's items are gathered, so they must be few.
+    """
+    sets = rows.select(F.col(key).alias("k"), F.col(item).alias("i")).where("k is not null and i is not null").groupBy("k").agg(F.sort_array(F.collect_set("i")).alias("items")).where(F.size("items") >= least)
+    both = F.flatten(F.transform("items", lambda x, n: F.transform(F.slice("items", n + 2, F.size("items")), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    met = sets.select("k", F.explode(both).alias("p"))
+    pairs = met.select(F.col("k").alias("a"), "p").join(met.select(F.col("k").alias("b"), "p"), "p").where("a < b").select("a", "b").distinct()
+    told = pairs.join(sets.select(F.col("k").alias("a"), F.col("items").alias("ia")), "a").join(sets.select(F.col("k").alias("b"), F.col("items").alias("ib")), "b")
+    return told.select("a", "b", F.size(F.array_intersect("ia", "ib")).cast("long").alias("shared")).where(F.col("shared") >= least)

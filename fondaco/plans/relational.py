@@ -203,10 +203,8 @@ def join_anti_orphan(spark, sf):
 @op("""WITH e AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem)
     SELECT a.o AS a, b.o AS b, count(*) AS shared FROM e a JOIN e b ON a.p = b.p AND a.o < b.o GROUP BY 1, 2 HAVING count(*) >= 2""")
 def join_self_pairs(spark, sf):
-    """Orders that share two parts or more, through the parts: no part is in many orders, so no part makes many pairs."""
-    e = _t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p")).distinct()
-    a, b = e.withColumnRenamed("o", "a"), e.withColumnRenamed("o", "b")
-    return a.join(b, "p").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).where("shared >= 2")
+    """Orders that share two parts or more."""
+    return rel.sharing_pairs(_t(spark, sf, "lineitem"), "l_orderkey", "l_partkey")
 
 
 @op("SELECT c.id, c.chunk_no FROM (SELECT DISTINCT normativa_id, chunk_no, char_start, id FROM normativa_chunk) c JOIN (SELECT DISTINCT normativa_id, chunk_no, char_start FROM normativa_chunk) p ON c.normativa_id = p.normativa_id AND c.chunk_no = p.chunk_no + 1 WHERE c.char_start < p.char_start")

@@ -45,12 +45,38 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+#: Folders of written tables that nothing has deleted yet.
+_written: set[str] = set()
+
+
 def materialise(df: DataFrame, name: str = "t") -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut, lost executors cost nothing that came before."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/fondaco-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _written.add(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._fondaco_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _written.discard(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that ``materialise`` wrote and nothing reads any more; other tables stay."""
+    path = getattr(df, "_fondaco_path", None)
+    if path in _written:
+        _delete(df.sparkSession, path)
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Delete all tables that this process has written to the shared folder. For the end of a job: results that were not stored elsewhere go too."""
+    for path in list(_written):
+        _delete(spark, path)
 
 
 def tasks_of(spark: SparkSession) -> int:

@@ -26,9 +26,9 @@ def test_query_equals_sql(spark, con, name):
 
 @pytest.mark.parametrize("name", [n for n, (_, sql) in CORE.items() if not sql])
 def test_query_runs(spark, name):
+    """What these give is held by literal cases (fondaco.plans.fixtures) and in test_functions."""
     df = CORE[name][0](spark, SF)
-    assert df.columns
-    assert df.count() >= 0
+    assert df.columns and df.count() > 0 and df.distinct().count() > 1
 
 
 def test_entry_has_rows(spark):
