@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from fondaco.llm.counts import cells_for, hash_words, hashed_counts, mix
-from fondaco.session import materialise, tasks_of
+from fondaco.session import discard, materialise, tasks_of
 
 WORDS = re.compile(r"[^\W_]+")
 HOT = 20_000
@@ -324,12 +324,14 @@ def near_groups(rows: DataFrame, id_column: str, text_column: str, *, threshold:
     links = materialise(links.select("a", "b"), "links")
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = both.groupBy("a").agg(F.count("*").alias("links"))
-    labels = materialise(degree.select(F.col("a").alias("node"), F.col("a").alias("label")), "labels")
+    labels = held = materialise(degree.select(F.col("a").alias("node"), F.col("a").alias("label")), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         step = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("next"))
         hop = step.select(F.col("node").alias("next"), F.col("next").alias("far"))
         step = materialise(step.join(hop, "next", "left").select("node", "label", F.least("next", F.coalesce("far", "next")).alias("next")), "labels")
+        discard(held)
+        held = step
         changed = step.where("label <> next").limit(1).count()
         labels = step.select("node", F.col("next").alias("label"))
         if not changed:

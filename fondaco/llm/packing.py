@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from fondaco.llm.tokens import TOKENIZERS, MergeReplay
+from fondaco.llm.tokens import MergeReplay, vocabulary_content
 from fondaco.session import materialise
 
 DIMENSIONS, BITS, BUCKETS = 3, 10, 4096
@@ -69,9 +69,9 @@ def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-def _placer(path: str):
+def _placer(source):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        replay, table = MergeReplay(path), projections()
+        replay, table = MergeReplay(source.value), projections()
         for batch in batches:
             ids = replay.encode(batch.column("text").to_pylist())
             points = np.zeros((len(ids), DIMENSIONS))
@@ -144,7 +144,7 @@ def _packer(capacity: int):
 def containers(documents: DataFrame, id_column: str, text_column: str, capacity: int = 4096, vocabulary: str = "byte_bpe_50k", folder: str | None = None) -> DataFrame:
     """(id, piece, container, start, n_tokens): the piece of a document that begins at token ``start`` lies in the container."""
     texts = documents.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).where("id is not null")
-    placed = materialise(texts.mapInArrow(_placer(f"{folder or TOKENIZERS}/{vocabulary}.json"), "id long, n_tokens long, curve long"), "curve")
+    placed = materialise(texts.mapInArrow(_placer(vocabulary_content(documents, vocabulary, folder)), "id long, n_tokens long, curve long"), "curve")
     total = placed.agg(F.sum("n_tokens").alias("n")).first()["n"] or 0
     stretches = max(1, round(total / (capacity * STRETCH)))
     along = placed.where("n_tokens > 0").repartitionByRange(stretches, "curve", "id").sortWithinPartitions("curve", "id")

@@ -17,6 +17,7 @@ import heapq
 import json
 import os
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -39,11 +40,10 @@ def byte_symbols() -> list[str]:
 
 
 class MergeReplay:
-    """Encodes words with the vocabulary in ``path`` (a tokenizers JSON of byte-level BPE)."""
+    """Encodes words with a vocabulary: the path or the content of a tokenizers JSON of byte-level BPE."""
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+    def __init__(self, source: str | bytes):
+        model = json.loads(source if isinstance(source, bytes) else Path(source).read_bytes())["model"]
         vocab = model["vocab"]
         self.of_byte = [vocab[s] for s in byte_symbols()]
         # Pair of ids -> (rank, id of the merged token), keyed by one integer.
@@ -123,9 +123,14 @@ class MergeReplay:
         return out
 
 
-def _encoder(path: str, id_column: str, text_column: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def vocabulary_content(documents: DataFrame, vocabulary: str, folder: str | None):
+    """The content of a vocabulary file (a few MB), sent from the driver, so executors need no copy of the folder."""
+    return documents.sparkSession.sparkContext.broadcast(Path(f"{folder or TOKENIZERS}/{vocabulary}.json").read_bytes())
+
+
+def _encoder(source, id_column: str, text_column: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches):
-        replay = MergeReplay(path)
+        replay = MergeReplay(source.value)
         for batch in batches:
             ids = replay.encode(batch.column(text_column).to_pylist())
             lengths = np.fromiter(map(len, ids), np.int64, len(ids))
@@ -140,13 +145,12 @@ def _encoder(path: str, id_column: str, text_column: str) -> Callable[[Iterator[
 def encode(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", vocabulary: str = "byte_bpe_50k", folder: str | None = None) -> DataFrame:
     """(id, ids): the token ids of every document, null and empty ones included."""
     kind = dict(documents.dtypes)[id_column]
-    path = f"{folder or TOKENIZERS}/{vocabulary}.json"
-    return documents.select(id_column, text_column).mapInArrow(_encoder(path, id_column, text_column), f"`{id_column}` {kind}, ids array<int>")
+    return documents.select(id_column, text_column).mapInArrow(_encoder(vocabulary_content(documents, vocabulary, folder), id_column, text_column), f"`{id_column}` {kind}, ids array<int>")
 
 
-def _counter(path: str, id_column: str, text_column: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _counter(source, id_column: str, text_column: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches):
-        replay = MergeReplay(path)
+        replay = MergeReplay(source.value)
         for batch in batches:
             n = [len(i) for i in replay.encode(batch.column(text_column).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(id_column), pa.array(n, pa.int64())], names=[id_column, "n_tokens"])
@@ -157,5 +161,4 @@ def _counter(path: str, id_column: str, text_column: str) -> Callable[[Iterator[
 def token_counts(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", vocabulary: str = "byte_bpe_50k", folder: str | None = None) -> DataFrame:
     """(id, n_tokens) of every document; null and empty texts have none."""
     kind = dict(documents.dtypes)[id_column]
-    path = f"{folder or TOKENIZERS}/{vocabulary}.json"
-    return documents.select(id_column, text_column).mapInArrow(_counter(path, id_column, text_column), f"`{id_column}` {kind}, n_tokens long")
+    return documents.select(id_column, text_column).mapInArrow(_counter(vocabulary_content(documents, vocabulary, folder), id_column, text_column), f"`{id_column}` {kind}, n_tokens long")
