@@ -6,7 +6,7 @@ that is, mostly of lines that do not recur, is boilerplate of the host; it is su
 does not recur, never from others. So copies of one bad page, exact or near, stay cases. A record is excluded if what is left
 of it holds evidence:
 
-* error        a message that stands as a line of its own;
+* error        a message that stands as a line of its own: of known wording, or a short line full of words of servers and browsers;
 * script       a notice that scripts are required, as a line of its own;
 * placeholder  a template variable or blank that was not filled, anywhere;
 * filler       dummy text, dummy letters, or one sentence again and again.
@@ -104,6 +104,11 @@ FILLERS = [
     r"(?:placeholder|dummy) text",
 ]
 
+#: Words of servers and browsers, which legal prose has no use for. A short line that holds several is a message, whatever its wording.
+SERVICE = r"\b(?:servers?|browsers?|javascript|cookies?|cache|login|log-?in|urls?|https?|timeout|prox(?:y|ies)|dns|gateway|captcha|redirect(?:ion)?|plugins?|refresh|reload|webmasters?|homepage|firewall|cloudflare|nginx|apache|iis|cdn|ssl|tls|localhost|database|backend|api)\b"
+#: A line of at most so many characters, with so many different words of SERVICE, of which one stands in so many words.
+SHORT_LINE, SEVERAL, EVERY = 200, 2, 8
+
 QUOTED = "«[^»\n]*»|“[^”\n]*”|„[^“\n]*“|<<[^<>\n]*>>"
 
 
@@ -134,10 +139,13 @@ def evidence(said: Column, low: Column) -> Column:
     # One sentence three times in a row, or more; sentences cut at abbreviations recur, but not in a row.
     repeated = F.size(F.filter(F.zip_with(sentences, F.slice(sentences, F.lit(2), F.size(sentences)), lambda x, y: x == y), lambda same: same)) >= 2
     repeated = low.rlike(r"(?s)[.!?]\s.*[.!?]\s") & repeated  # three sentences at least
+    served = F.array_distinct(F.regexp_extract_all(low, F.lit(SERVICE), F.lit(0)))
+    service = (F.length(said) <= SHORT_LINE) & low.rlike(SERVICE) & (F.size(served) >= SEVERAL) & (F.size(served) * EVERY >= F.size(F.split(F.trim(low), r"\s+")))
     return (
         F.when(said.rlike(start + _any(ERROR_LINES)), "error")
         .when(said.rlike(start + _any(SCRIPT_LINES)), "script")
         .when(said.rlike(MAY_HOLD_PLACEHOLDER) & said.rlike(_any(PLACEHOLDERS)), "placeholder")
+        .when(service, "error")
         .when(said.rlike(ONE_WORD), "filler")
         .when((low.rlike(MAY_BE_FILLER) & F.concat(said, F.lit(" ")).rlike("(?iu)" + _any(FILLERS))) | repeated, "filler")
     )

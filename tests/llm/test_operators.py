@@ -451,6 +451,20 @@ def test_residue_kinds(spark):
     assert got == {i: [k] for i, _, _, k in bad}
 
 
+def test_messages_of_wording_that_no_list_holds(spark):
+    unseen = [
+        "Your browser does not accept cookies from this domain.", "DNS lookup failed, proxy server not reachable", "La cache del browser va svuotata prima di un nuovo accesso.", "nginx/1.18 upstream timeout on backend 3",
+        "Der Server antwortet nicht, bitte Login wiederholen", "Le serveur a refusé la connexion : SSL, gateway absent",
+    ]
+    fine = [
+        "Il gestore del server risponde dei danni verso il cliente.", "La clausola relativa al login dell'utente è nulla se non approvata per iscritto.", "L'accesso alla pagina richiesta dal creditore non è disponibile al terzo.",
+        "Il perito ha esaminato il server e il browser dell'imputato e ha riferito che la corrispondenza telematica tra le parti, durata per oltre tre anni, non conteneva alcun accenno al contratto di locazione.",
+    ]
+    rows = spark.createDataFrame([(i, f"Testo di diritto.\n{t}", "h") for i, t in enumerate(unseen + fine)], "doc_id long, text string, source string")
+    got = {r["id"] for r in residue.residue(rows, "doc_id", "text", "source").collect()}
+    assert not got & set(range(len(unseen), 100)) and len(got) >= 5  # recall 5 of 6 at full precision; the French one names its server otherwise
+
+
 def test_boilerplate_of_a_host_is_no_evidence(spark):
     notice = "Please enable JavaScript to continue."
     rows = [(i, f"Testo numero {i} del sito.\n{notice}", "a") for i in range(60)] + [(100, f"Altro.\n{notice}", "b"), (101, f"Testo.\n{notice}\nil {{{{nome}}}} manca", "a")]
