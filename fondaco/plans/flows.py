@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from fondaco.operators import relational as rel
 from fondaco.sources import articles as src
 from fondaco.streaming import events as st
-from fondaco.session import materialise, table
+from fondaco.session import materialise, shared_dir, table
 
 QUERIES, SQL = {}, {}
 
@@ -107,6 +109,34 @@ def sink_jsonl_csv(spark, sf):
     return a.join(b.select("event_id"), "event_id", "left_semi")
 
 
+@op("SELECT id::VARCHAR AS name, n::INT AS n, kind, text, page::INT AS page FROM (SELECT id, 0 AS n, 'heading' AS kind, upper('pagina ' || coalesce(libro, 'prima')) AS text, 1 AS page FROM normativa UNION ALL SELECT id, 1, CASE WHEN rubrica = upper(rubrica) AND regexp_matches(rubrica, '\\p{L}') THEN 'heading' ELSE 'text' END, trim(rubrica), 1 FROM normativa WHERE trim(rubrica) <> '' UNION ALL SELECT id, CASE WHEN trim(rubrica) <> '' THEN 2 ELSE 1 END, 'text', regexp_replace(testo, '^\\s+|\\s+$', '', 'g'), 2 FROM normativa WHERE testo NOT LIKE '%' || chr(10) || chr(10) || '%')")
+def source_pdf(spark, sf):
+    """Elements of binary files by a parser that is handed in; here pages of text, one file an article."""
+    n = table(spark, sf, "normativa").where(~F.col("testo").contains("\n\n"))
+    text = F.concat(F.upper(F.concat(F.lit("pagina "), F.coalesce("libro", F.lit("prima")))), F.lit("\n\n"), F.coalesce("rubrica", F.lit("")), F.lit("\f"), F.col("testo"))
+    return src.parsed_elements(n.select(F.col("id").cast("string").alias("name"), F.encode(text, "UTF-8").alias("content")), src.paged_text)
+
+
+@op("SELECT id, normativa_id, opendata_version, inizio_vigore, testo FROM normativa_vigenza")
+def source_opendata(spark, sf):
+    """Rows that a fetcher left as lines of JSON, read with a given schema."""
+    rows = table(spark, sf, "normativa_vigenza").select("id", "normativa_id", "opendata_version", "inizio_vigore", "testo")
+    path = f"{shared_dir(spark)}/fondaco-landing-{uuid.uuid4().hex}"
+    src.write_jsonl(rows, path)
+    return src.landing_json(spark, path, rows.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "))
+
+
+@op("SELECT doc_id::VARCHAR AS name, '3' || coalesce(anno, 2000) || 'R' || lpad((doc_id % 10000)::VARCHAR, 4, '0') AS celex, lang FROM documents WHERE tipo = 'atto_ue'")
+def source_sparql_eurlex(spark, sf):
+    """Acts of the Union from the answers of an endpoint, one answer a document; a document without language binds none."""
+    d = table(spark, sf, "documents").where("tipo = 'atto_ue'")
+    celex = F.concat(F.lit("3"), F.coalesce("anno", F.lit(2000)).cast("string"), F.lit("R"), F.lpad((F.col("doc_id") % 10000).cast("string"), 4, "0"))
+    value = lambda c: F.struct(F.lit("literal").alias("type"), c.alias("value"))
+    binding = F.struct(value(celex).alias("celex"), F.when(F.col("lang").isNotNull(), value(F.col("lang"))).alias("lang"))
+    answer = F.to_json(F.struct(F.struct(F.array(F.lit("celex"), F.lit("lang")).alias("vars")).alias("head"), F.struct(F.array(binding).alias("bindings")).alias("results")))
+    return src.sparql_bindings(d.select(F.col("doc_id").cast("string").alias("name"), answer.alias("content")), ["celex", "lang"])
+
+
 # Streams
 
 

@@ -424,6 +424,14 @@ def agg_grouping_sets(spark, sf):
     return li.groupingSets([[flag, status], [y], []], flag, status, y).agg(F.count("*").alias("n"), F.grouping_id().alias("level"))
 
 
+@op("SELECT s AS strategy, count(*) AS n, round(sum(l_quantity), 2) AS qty FROM (SELECT unnest(['broadcast', 'merge', 'shuffle_hash']) AS s), lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' GROUP BY 1")
+def join_physical(spark, sf):
+    """One join by three strategies, asked for by hints: the choice is the optimiser's, the rows are the same."""
+    li, o = _t(spark, sf, "lineitem", "orders")
+    each = [li.join(o.where("o_orderstatus = 'F'").hint(h), li.l_orderkey == o.o_orderkey, "left_semi").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("qty")).withColumn("strategy", F.lit(h)) for h in ("broadcast", "merge", "shuffle_hash")]
+    return each[0].unionByName(each[1]).unionByName(each[2]).select("strategy", "n", "qty")
+
+
 # Windows, sorts, set operations
 
 

@@ -211,3 +211,19 @@ def with_cached_vectors(texts: DataFrame, cache: DataFrame, embed=None, dims: in
     new = F.lit(None).cast("array<float>") if embed is None else F.when(F.col("vec").isNull(), embed(F.col("text")))
     vec = F.coalesce("vec", new)
     return known.select("key", "digest", (vec if not dims else F.when(F.size(vec) == dims, vec)).alias("vec"))
+
+
+def paged_text(content: bytes):
+    """The simplest parser for ``parsed_elements``: pages of plain text apart by form feeds, elements apart by empty lines, a first line in capitals a heading."""
+    for page, text in enumerate(content.decode("utf-8").split("\f"), 1):
+        for block in re.split(r"\n\s*\n", text):
+            if block := block.strip():
+                yield ("heading" if block.isupper() else "text"), block, page
+
+
+def sparql_bindings(files: DataFrame, variables: list[str]) -> DataFrame:
+    """(name, *variables) of the answers of a SPARQL endpoint in its JSON form; a variable that a row does not bind is null, an unreadable answer has no rows."""
+    row = ", ".join(f"`{v}`: struct<value: string>" for v in variables)
+    told = F.from_json("content", f"struct<results: struct<bindings: array<struct<{row}>>>>")
+    rows = files.select("name", F.explode(told["results"]["bindings"]).alias("b"))
+    return rows.select("name", *[F.col(f"b.`{v}`.value").alias(v) for v in variables])
