@@ -10,6 +10,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from pyspark.sql.types import IntegerType, StructField, StructType
+
 from fondaco.session import materialise
 
 # Merges. Tables are immutable files here: every merge gives the rows of the next state of the target.
@@ -144,9 +146,10 @@ def write_run(rows: DataFrame, path: str, run: int) -> None:
     rows.withColumn("run_id", F.lit(run)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
 
 
-def read_run(spark: SparkSession, path: str, run: int) -> DataFrame:
-    """The rows of a run; other runs are not read."""
-    return spark.read.parquet(path).where(F.col("run_id") == run)
+def read_run(spark: SparkSession, path: str, run: int, like: DataFrame) -> DataFrame:
+    """The rows of a run, of the columns of ``like``; other runs are not read. A run without rows is empty."""
+    schema = StructType([*like.schema.fields, StructField("run_id", IntegerType())])
+    return spark.read.schema(schema).parquet(path).where(F.col("run_id") == run)
 
 
 def paged(rows: DataFrame, key: str, size: int) -> DataFrame:

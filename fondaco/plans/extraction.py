@@ -139,7 +139,7 @@ def sink_dual_write(spark, sf):
     path = f"{shared_dir(spark)}/fondaco-graph-{uuid.uuid4().hex}"
     for _ in range(2):
         rel.write_run(both, path, 7)
-    return rel.read_run(spark, path, 7).select("kind", "source", "target", "weight", "run_id")
+    return rel.read_run(spark, path, 7, both).select("kind", "source", "target", "weight", "run_id")
 
 
 _codes = ", ".join(f"WHEN g{i + 3} <> '' THEN '{c}'" for i, c in enumerate(ex.CODES)).replace(", WHEN", " WHEN")
