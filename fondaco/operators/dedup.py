@@ -24,14 +24,14 @@ def fingerprint_pairs(rows: DataFrame, key: str, fingerprint: str, most: int) ->
     """
     bands = (most + 2) // 2
     classes = rows.where(F.col(fingerprint).isNotNull()).groupBy(fingerprint).agg(F.min(key).alias("_k"))
-    edges = [64 * i // bands for i in range(bands + 1)]
-    band = lambda i: F.shiftrightunsigned(fingerprint, edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1 if bands > 1 else -1)).cast("long")
-    at = lambda i, v: F.struct(F.lit(i).alias("i"), v.alias("v"))
-    exact = F.array(*[at(i, band(i)) for i in range(bands)])
-    turned = F.array(*[at(i, band(i).bitwiseXOR(F.lit(1 << j if j < 63 else -(1 << 63)).cast("long"))) for i in range(bands) for j in range(edges[i + 1] - edges[i])])
-    spread = classes.select("_k", F.col(fingerprint).alias("_f"), F.explode(exact).alias("_b"))
-    other = classes.select(F.col("_k").alias("_k2"), F.col(fingerprint).alias("_f2"), F.explode(F.concat(exact, turned)).alias("_b"))
-    found = spread.join(other, "_b").where("_k < _k2").withColumn("distance", sim.hamming(F.col("_f"), F.col("_f2"))).where(F.col("distance") <= most)
+    start = lambda i: f"cast({i} * 64 div {bands} as int)"
+    mask = f"shiftleft(1L, {start('(i + 1)')} - {start('i')}) - 1" if bands > 1 else "-1L"
+    banded = lambda df: df.withColumn("v", F.expr(f"shiftrightunsigned(g, {start('i')}) & ({mask})"))
+    exact = banded(classes.select("_k", F.col(fingerprint).alias("_f"), F.col(fingerprint).alias("g"), F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("i")))
+    turned = classes.select("_k", F.col(fingerprint).alias("_f"), F.explode(F.sequence(F.lit(0), F.lit(63))).alias("j"))
+    turned = banded(turned.select("_k", "_f", F.expr("_f ^ shiftleft(1L, j)").alias("g"), F.expr(f"cast(((j + 1) * {bands} - 1) div 64 as int)").alias("i")))
+    near = exact.unionByName(turned).select(F.col("_k").alias("_k2"), F.col("_f").alias("_f2"), "i", "v")
+    found = exact.select("_k", "_f", "i", "v").join(near, ["i", "v"]).where("_k < _k2").withColumn("distance", sim.hamming(F.col("_f"), F.col("_f2"))).where(F.col("distance") <= most)
     return found.select(F.col("_k").alias("a"), F.col("_k2").alias("b"), "distance").distinct()
 
 
@@ -65,14 +65,16 @@ def align(left: DataFrame, right: DataFrame, tokens_at: float = 0.65, grams_at:
     smaller target. Null and empty texts are unmatched. Equal texts of one side are one class while they are compared.
     """
     hashed = lambda df: df.where("text is not null and trim(text) <> ''").select("id", "text", F.unhex(F.sha2(tx.normalize_for_hash(F.col("text")), 256)).alias("h"))
-    a, b = hashed(left), hashed(right)
+    a = materialise(hashed(left).select("id", "h", "text"), "left")
     first = lambda df: df.groupBy("h").agg(F.min("id").alias("id"), F.min_by("text", "id").alias("text"))
-    classes, targets = first(a), first(b)
+    words = F.array_distinct(tx.words(F.col("text"))).alias("t")
+    classes = first(a)
+    targets = materialise(first(hashed(right)).select("h", "id", "text", words), "targets")
     exact = classes.join(targets.select("h", F.col("id").alias("target")), "h").select("h", "target", F.lit("exact").alias("stage"), F.lit(1.0).alias("score"))
-    rest = classes.join(targets.select("h"), "h", "left_anti")
-    words = lambda df, side: df.select(F.lit(side).alias("side"), "id", F.array_distinct(tx.words(F.col("text"))).alias("t")).where(F.size("t") > 0)
-    near = materialise(_candidates(words(rest, 0).unionByName(words(targets, 1)), tokens_at), "near")
-    told = near.join(words(rest, 0).select("id", F.col("t").alias("ta")), "id").join(words(targets, 1).select(F.col("id").alias("target"), F.col("t").alias("tb")), "target")
+    rest = materialise(classes.join(targets.select("h"), "h", "left_anti").select("h", "id", "text", words), "rest")
+    side = lambda df, n: df.where(F.size("t") > 0).select(F.lit(n).alias("side"), "id", "t")
+    near = materialise(_candidates(side(rest, 0).unionByName(side(targets, 1)), tokens_at), "near")
+    told = near.join(rest.select("id", F.col("t").alias("ta")), "id").join(targets.select(F.col("id").alias("target"), F.col("t").alias("tb")), "target")
     told = told.select("id", "target", F.round(sim.jaccard(F.col("ta"), F.col("tb")), 6).alias("score"))
     best = lambda df: df.groupBy("id").agg(F.max(F.struct("score", (-F.col("target")).alias("t"))).alias("b")).select("id", (-F.col("b.t")).alias("target"), "b.score")
     by_words = best(told).withColumn("stage", F.when(F.col("score") >= tokens_at, "tokens").when(F.col("score") > weak_at, "weak"))
@@ -83,7 +85,7 @@ def align(left: DataFrame, right: DataFrame, tokens_at: float = 0.65, grams_at:
     by_grams = by_grams.select("id", F.struct("target", F.lit("grams").alias("stage"), "score").alias("g"))
     chosen = by_words.select("id", F.struct("target", "stage", "score").alias("w")).join(by_grams, "id", "left")
     chosen = chosen.select("id", F.when(F.col("w.stage") == "tokens", F.col("w")).otherwise(F.coalesce("g", "w")).alias("m")).where("m.stage is not null").select("id", "m.*")
-    of_class = exact.unionByName(chosen.join(classes.select("id", "h"), "id").select("h", "target", "stage", "score"))
+    of_class = exact.unionByName(chosen.join(rest.select("id", "h"), "id").select("h", "target", "stage", "score"))
     found = a.select("id", "h").join(of_class, "h").select("id", "target", "stage", "score")
     return left.select("id").join(found, "id", "left").select("id", "target", F.coalesce("stage", F.lit("unmatched")).alias("stage"), F.coalesce("score", F.lit(0.0)).alias("score"))
 

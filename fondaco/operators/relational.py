@@ -9,7 +9,6 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
-
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from fondaco.session import materialise

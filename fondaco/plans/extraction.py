@@ -425,11 +425,14 @@ _SHARED = f"""n AS ({NORMS}), p AS (SELECT a.id AS a, b.id AS b, count(*) AS ove
     SELECT a, b, overlap, cosine, round((least(overlap / 5.0, 1.0) + cosine + 1 / (1 + 0.1 * abs(years))) / 3, 4)::DOUBLE AS weight FROM c WHERE cosine >= 0.85""")
 def graph_same_principle(spark, sf):
     """Massime that share norms and whose texts, as counts of hashed words, are alike."""
-    m = table(spark, sf, "massime").where("testo is not null")
-    buckets = F.transform(tx.words(F.col("testo")), lambda w: F.conv(F.substring(F.md5(w), 1, 2), 16, 10).cast("int") % 64)
-    counted = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.size(F.filter("h", lambda x: x == i)).cast("double"))
-    vectors = m.select("id", buckets.alias("h")).where(F.size("h") > 0).select("id", counted.alias("vec"))
-    return gr.same_principle(cited(spark, sf), vectors, m.select("id", F.col("anno").alias("year")))
+    norms = materialise(cited(spark, sf), "norms")
+    several = norms.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
+    m = table(spark, sf, "massime").where("testo is not null").join(several, "id", "left_semi")
+    word = m.select("id", F.explode(tx.words(F.col("testo"))).alias("w"))
+    counted = word.groupBy("id", (F.conv(F.substring(F.md5("w"), 1, 2), 16, 10).cast("int") % 64).alias("b")).agg(F.count("*").alias("n"))
+    counted = counted.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("m"))
+    vectors = counted.select("id", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0)).cast("double")).alias("vec"))
+    return gr.same_principle(norms, vectors, m.select("id", F.col("anno").alias("year")))
 
 
 @op("SELECT l_orderkey, l_linenumber, round((least(l_quantity / 10.0, 1.0) + l_discount + 1 / (1 + 1.0 * l_linenumber)) / 3, 6)::DOUBLE AS weight FROM lineitem")
