@@ -1,6 +1,7 @@
 """Corpus counts in hashed tables whose size follows the corpus, up to a bound.
 
-Every task counts its rows into one table; the tables are summed segment by segment. ``cells_for`` gives a table a cell for
+Every task counts its rows into one table; the tables are summed segment by segment, in two steps, so that no task holds
+more than a few dozen segments of half a MB. ``cells_for`` gives a table a cell for
 four occurrences of keys, up to ``MOST_CELLS`` (128 MB), which is the bound of what is sent to the driver and broadcast. A count
 can only be too high, by the counts of the other keys in its cell. The operators that use a table take no decision from a count
 that could lose a result: counts give an order of tokens or the weight of one, and any order and any weights are sound.
@@ -14,9 +15,11 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-SEGMENTS = 16
+#: Cells of a segment, and branches into which the tasks' tables are summed first.
+SEGMENT, BRANCHES = 1 << 17, 64
 LEAST_CELLS, MOST_CELLS = 1 << 18, 1 << 25
 
 
@@ -37,8 +40,10 @@ def _partial(hashes: Callable[[pa.RecordBatch], Iterable[np.ndarray]], cells: in
                 else:
                     total += np.bincount(at, minlength=cells).astype(np.uint32)
         if total.any():
-            packed = [zlib.compress(s.tobytes(), 1) for s in np.split(total, SEGMENTS)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(SEGMENTS), pa.int32()), pa.array(packed, pa.binary())], names=["segment", "packed"])
+            branch = TaskContext.get().partitionId() % BRANCHES
+            for segment, at in enumerate(range(0, cells, SEGMENT)):
+                packed = zlib.compress(total[at : at + SEGMENT].tobytes(), 1)
+                yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([branch], pa.int32()), pa.array([packed], pa.binary())], names=["segment", "branch", "packed"])
 
     return run
 
@@ -49,16 +54,17 @@ def _sum(group: pa.Table) -> pa.Table:
         part = np.frombuffer(zlib.decompress(packed.as_py()), np.uint32).astype(np.int64)
         total = part if total is None else total + part
     packed = zlib.compress(np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes(), 1)
-    return pa.table([pa.array([group.column("segment")[0].as_py()], pa.int32()), pa.array([packed], pa.binary())], names=["segment", "packed"])
+    return pa.table([pa.array([group.column("segment")[0].as_py()], pa.int32()), pa.array([0], pa.int32()), pa.array([packed], pa.binary())], names=["segment", "branch", "packed"])
 
 
 def hashed_counts(rows: DataFrame, hashes: Callable[[pa.RecordBatch], Iterable[np.ndarray]], cells: int = 1 << 20) -> np.ndarray:
     """The table of counts of all hashes that ``hashes`` gives for the batches of ``rows``."""
-    segments = rows.mapInArrow(_partial(hashes, cells), "segment int, packed binary").groupBy("segment").applyInArrow(_sum, "segment int, packed binary")
+    schema = "segment int, branch int, packed binary"
+    parts = rows.mapInArrow(_partial(hashes, cells), schema).groupBy("segment", "branch").applyInArrow(_sum, schema)
     table = np.zeros(cells, np.uint32)
-    width = cells // SEGMENTS
-    for row in segments.collect():  # SEGMENTS rows
-        table[row["segment"] * width : (row["segment"] + 1) * width] = np.frombuffer(zlib.decompress(bytes(row["packed"])), np.uint32)
+    for row in parts.groupBy("segment").applyInArrow(_sum, schema).collect():  # a row for each segment
+        at = row["segment"] * SEGMENT
+        table[at : at + SEGMENT] = np.frombuffer(zlib.decompress(bytes(row["packed"])), np.uint32)
     return table
 
 
