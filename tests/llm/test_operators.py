@@ -250,8 +250,9 @@ def test_linkage_of_hot_copies_hot_keys_and_short_texts(spark):
     assert got == {1: 100, 2: 310} | {10 + i: 500 + i for i in range(12)}
 
 
-@pytest.mark.parametrize("shrink", [1, 64, 1024])
-def test_linkage_by_text_alone_whatever_the_table(spark, monkeypatch, shrink):
+@pytest.mark.parametrize("shrink, pairs", [(1, 100_000), (64, 7), (1024, 100_000)])
+def test_linkage_by_text_alone_whatever_the_table_and_the_blocks(spark, monkeypatch, shrink, pairs):
+    monkeypatch.setattr(linkage, "PAIRS_A_TASK", pairs)
     usual = linkage.cells_for
     monkeypatch.setattr(linkage, "cells_for", lambda keys: max(16, usual(keys) // (64 * shrink)))
     rnd = random.Random(13)
@@ -259,12 +260,13 @@ def test_linkage_by_text_alone_whatever_the_table(spark, monkeypatch, shrink):
     body = lambda: " ".join(rnd.choice([rnd.choice(phrases), " ".join(f"parola{rnd.randrange(900)}" for _ in range(6))]) for _ in range(12))
     right = [(100 + i, None, None, None, body()) for i in range(300)]
     left = [(i, None, None, None, " ".join(w if rnd.random() > 0.05 else "xx" for w in right[i][4].split()[: rnd.randint(40, 80)])) for i in range(300)]
+    left += [(600 + i, "CPOR", None, f"Titolo {i}", left[0][4]) for i in range(30)]  # one text under many headings
     left += [(400, None, None, None, ""), (401, None, None, None, "  "), (402, None, None, None, "due parole")]
     acts = spark.createDataFrame([], "id long, code string, nome_completo string, nome_breve string, abbreviazioni array<string>, atto_numero string, atto_data date")
     l = spark.createDataFrame(left, "id long, codice string, articolo string, rubrica string, testo string")  # noqa: E741
     r = spark.createDataFrame(right + [(500, None, None, None, "")], "id long, work_id long, articolo string, rubrica string, testo string")
     got = {x["left_id"]: x["right_id"] for x in linkage.link(l, r, acts).collect()}
-    assert got == {i: 100 + i for i in range(300)}
+    assert got == {i: 100 + i for i in range(300)} | {600 + i: 100 for i in range(30)}
 
 
 def test_blank_text_is_unknown(spark):
