@@ -505,10 +505,13 @@ def repair(rows: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """(id, text, words, furniture): the text put right, the words that were broken or misread, the lines of page furniture."""
     texts = rows.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).where("id is not null")
     tasks = tasks_of(rows.sparkSession)
-    parts = max(2 * tasks, math.ceil((texts.agg(F.sum(F.length("text"))).first()[0] or 0) / CHARS_A_PART))
+    n, chars = texts.agg(F.count("*"), F.sum(F.length("text"))).first()
+    parts = max(2 * tasks, math.ceil((chars or 0) / CHARS_A_PART))
     spread = max(tasks, parts // 2)
-    # Records of near ids share a part, so that a task's records fall in few parts where ids follow the order of the files.
-    texts = texts.withColumn("part", F.pmod(F.xxhash64(F.shiftright("id", 10)), F.lit(parts)).cast("int"))
+    # Records of near ids share a part, so that a task's records fall in few parts where ids follow the order of the files: up to
+    # 1,024 ids, fewer where texts are so long that these would be more than an eighth of a part.
+    near = int(math.log2(max(1.0, CHARS_A_PART / 8 * n / max(chars or 0, 1))))
+    texts = texts.withColumn("part", F.pmod(F.xxhash64(F.shiftright("id", min(near, 10))), F.lit(parts)).cast("int"))
     gathered = texts.select("part", "text").mapInArrow(_gather, "kind string, part int, word string, pair long, n long")
     gathered = materialise(gathered.groupBy("kind", "part", "word", "pair").agg(F.sum("n").alias("n")), "gathered")
     total = float(gathered.where("kind = 'w'").agg(F.sum("n")).first()[0] or 0)
