@@ -68,6 +68,26 @@ def hashed_counts(rows: DataFrame, hashes: Callable[[pa.RecordBatch], Iterable[n
     return table
 
 
+class _Deflated:
+    """Bytes that are pickled deflated and come out as they were, by what every Python has."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+
+    def __reduce__(self):
+        return zlib.decompress, (zlib.compress(self.data, 1),)
+
+
+class Sent:
+    """A table of counts to broadcast: most cells are small, so its file on each machine takes a fraction; its value there is the table."""
+
+    def __init__(self, table: np.ndarray):
+        self.table = table
+
+    def __reduce__(self):
+        return np.frombuffer, (_Deflated(self.table.tobytes()), self.table.dtype.str)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads them evenly."""
     h = h ^ (h >> np.uint64(30))

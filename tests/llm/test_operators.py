@@ -5,6 +5,7 @@ import os
 import random
 import re
 from datetime import datetime
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -295,6 +296,31 @@ def test_text_blocks_against_all_pairs(spark, monkeypatch):
     assert len(want) > 2 and want <= got
 
 
+def test_linkage_leaves_little_on_disk_and_is_whole_in_any_slices(spark, monkeypatch):
+    def shuffled():
+        folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+        return {p: p.stat().st_size for folder in folders for p in Path(folder.getPath()).rglob("shuffle_*.data")}
+
+    rnd = random.Random(19)
+    body = lambda: " ".join(f"v{rnd.randrange(12)}" for _ in range(60))
+    right = [(100 + i, 1, str(i % 40), f"Oggetto {i % 7}", body()) for i in range(400)]
+    left = [(i, "CPOR", str(i % 40) if i % 3 else None, None, " ".join(right[i][4].split()[:50])) for i in range(400)]
+    acts = spark.createDataFrame([(1, "CPOR", "Codice dei porti", "Cod. porti", ["c.p."], "26", T0.date())],
+        "id long, code string, nome_completo string, nome_breve string, abbreviazioni array<string>, atto_numero string, atto_data date")
+    l = spark.createDataFrame(left, "id long, codice string, articolo string, rubrica string, testo string").repartition(2)  # noqa: E741
+    r = spark.createDataFrame(right, "id long, work_id long, articolo string, rubrica string, testo string").repartition(3)
+    found = lambda: {(x["left_id"], x["right_id"], round(x["confidence"], 6)) for x in linkage.link(l, r, acts, 0.0).collect()}
+    before = set(shuffled())
+    linked = linkage.link(l, r, acts, 0.0)
+    kept = sum(size for p, size in shuffled().items() if p not in before)
+    assert kept < 2 * sum(len(x[4]) for x in left + right)
+    want = {(x["left_id"], x["right_id"], round(x["confidence"], 6)) for x in linked.collect()}
+    assert {x[:2] for x in want} == {(i, 100 + i) for i in range(400)}
+    monkeypatch.setattr(linkage, "SLICE", 40_000)
+    monkeypatch.setattr(linkage, "MEETS", 500)
+    assert found() == want
+
+
 def test_solver_keeps_values_exclusive_and_rows_of_one_text_together():
     left, right = np.array([1, 1, 2, 2]), np.array([10, 11, 10, 11])
     pull = np.array([3.0, 3.0, 3.0, 0.0])
