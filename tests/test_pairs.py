@@ -49,3 +49,18 @@ def test_jaccard_pairs_never_broadcast_the_sets(spark, no_broadcast_by_size):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
     got = dd.jaccard_pairs(spark.createDataFrame([(i, s) for i, s in enumerate(_sets())], "id long, t array<string>"), "id", F.col("t"), 0.85)
     assert got.count() > 20 and "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_fingerprint_pairs_are_told_once_without_another_shuffle(spark):
+    draw = random.Random(3)
+    base = [draw.getrandbits(63) for _ in range(20)]
+    prints = [f ^ sum({1 << draw.randrange(64) for _ in range(draw.randrange(12))}) for f in base for _ in range(8)]
+    prints = [f - (1 << 64) if f >> 63 else f for f in prints]
+    got = dd.fingerprint_pairs(spark.createDataFrame(list(enumerate(prints)), "id long, f long"), "id", "f", 9)
+    first = {}
+    for i, f in enumerate(prints):
+        first.setdefault(f, i)
+    far = lambda a, b: ((a ^ b) & ((1 << 64) - 1)).bit_count()
+    want = {(i, j, far(a, b)) for a, i in first.items() for b, j in first.items() if i < j and far(a, b) <= 9}
+    assert len(want) > 50 and sorted(map(tuple, got.collect())) == sorted(want)
+    assert plan(got).splitlines()[0].startswith("Project")  # no distinct over the pairs
