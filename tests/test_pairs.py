@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fondaco.functions import similarity as sim, text as tx
-from fondaco.operators import dedup as dd
+from fondaco.operators import dedup as dd, retrieval as ret
 
 
 def plan(df) -> str:
@@ -64,3 +64,31 @@ def test_fingerprint_pairs_are_told_once_without_another_shuffle(spark):
     want = {(i, j, far(a, b)) for a, i in first.items() for b, j in first.items() if i < j and far(a, b) <= 9}
     assert len(want) > 50 and sorted(map(tuple, got.collect())) == sorted(want)
     assert plan(got).splitlines()[0].startswith("Project")  # no distinct over the pairs
+
+
+def _trigrams(text):
+    words = "".join(c if c.isalnum() else " " for c in text.lower()).split()
+    return {f"  {w} "[i : i + 3] for w in words for i in range(len(w) + 1)}
+
+
+def test_trigram_bits_are_the_trigrams():
+    texts = ["", "  ab   c ", "  a ", "  città   àb𝄞 ", "  ab   c   ab "]
+    bits = sim.trigram_bits(texts)
+    sets = [{t[i : i + 3] for i in range(len(t) - 2) if t[i + 1 : i + 3] != "  "} for t in texts]
+    shared = lambda a, b: sum(int(x & y).bit_count() for x, y in zip(bits[a], bits[b]))
+    assert all(shared(i, j) == len(sets[i] & sets[j]) for i in range(5) for j in range(5))
+
+
+def test_trigram_search_compares_texts_and_writes_no_pairs(spark):
+    draw = random.Random(5)
+    names = [" ".join(draw.choice(["Atto", "attore", "rilevanza", "L'onere", "città", "di"]) for _ in range(draw.randrange(4))) for _ in range(30)] + [None, "-"]
+    docs = [(i, draw.choice(names)) for i in range(400)]
+    asked = [(i, t) for i, t in docs if i % 9 == 0]
+    got = ret.trgm_search(spark.createDataFrame(asked, "query_id long, text string"), spark.createDataFrame(docs, "id long, text string"), 20, 0.3)
+    want = []
+    for q, t in asked:
+        a = _trigrams(t or "")
+        found = [(-round(len(a & b) / len(a | b), 6), i) for i, d in docs if (b := _trigrams(d or "")) and a & b]
+        want += [(q, i, -s, r + 1) for r, (s, i) in enumerate(sorted(x for x in found if -x[0] >= 0.3)[:20])]
+    assert len(want) > 300 and sorted(map(tuple, got.collect())) == sorted(want)
+    assert "array_intersect" not in plan(got)
