@@ -1,5 +1,6 @@
 """Pairs of sets, texts and fingerprints at size: what is met, sent and broadcast, and that the pairs are those of brute force."""
 
+import math
 import random
 
 import pytest
@@ -92,3 +93,49 @@ def test_trigram_search_compares_texts_and_writes_no_pairs(spark):
         want += [(q, i, -s, r + 1) for r, (s, i) in enumerate(sorted(x for x in found if -x[0] >= 0.3)[:20])]
     assert len(want) > 300 and sorted(map(tuple, got.collect())) == sorted(want)
     assert "array_intersect" not in plan(got)
+
+
+def test_align_in_small_blocks_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(dd, "LEFT_BLOCK", 15), monkeypatch.setattr(dd, "RIGHT_BLOCK", 20)
+    draw = random.Random(11)
+    vocabulary = [a + b for a in ("contr", "dan", "tut", "reg", "leg", "pol") for b in ("atto", "no", "ore", "istro", "ato", "izza", "o", "i")]
+    right = [" ".join(draw.choice(vocabulary) for _ in range(draw.randrange(1, 25))) for _ in range(70)]
+
+    def edited(text):
+        words = text.split()
+        for _ in range(draw.randrange(len(words))):
+            k = draw.randrange(len(words))
+            words[k] = draw.choice([draw.choice(vocabulary), words[k] + "e", words[k][:-1] or "a"])
+        return " ".join(words)
+
+    left = [edited(draw.choice(right)) for _ in range(90)] + [right[0].upper() + "!", None, "  "]
+    frame = lambda rows: spark.createDataFrame([(i + 100, t) for i, t in enumerate(rows)], "id long, text string")
+    got = {r.id: (r.target, r.stage, r.score) for r in dd.align(frame(left), frame(right)).collect()}
+    normal = lambda t: " ".join("".join(c for c in t.lower() if c.isalnum() or c == " ").split())
+    kept = {}
+    for i, t in enumerate(right):
+        kept.setdefault(normal(t), (i + 100, t.lower()))
+    sides = [{normal(t): t.lower() for t in left if t and t.strip() and normal(t) not in kept}, {k: t for k, (_, t) in kept.items()}]
+    counts = {}
+    for side in sides:
+        for t in side.values():
+            for w in set(t.split()):
+                counts[w] = counts.get(w, 0) + 1
+    least = lambda n: math.ceil(n * 0.65 - 1e-9)
+    prefix = lambda w: set(sorted(w, key=lambda x: (counts[x], x))[: len(w) - least(len(w)) + dd.AGREE])
+    alike = lambda a, b: round(len(a & b) / len(a | b), 6)
+    for i, t in enumerate(left):
+        want = (None, "unmatched", 0.0)
+        if t and t.strip() and normal(t) in kept:
+            want = (kept[normal(t)][0], "exact", 1.0)
+        elif t and t.strip():
+            a, near = set(t.split()), []
+            for k, b in kept.values():
+                b = set(b.split())
+                if min(len(a), len(b)) >= max(len(a), len(b)) * 0.65 - 1e-9 and len(prefix(a) & prefix(b)) >= min(dd.AGREE, least(min(len(a), len(b)))):
+                    near.append(k)
+            by = lambda f: max(((alike(f(t.lower()), f(next(x for y, x in kept.values() if y == k))), -k) for k in near), default=(0.0, 0))
+            (w, wk), (g, gk) = by(lambda x: set(x.split())), by(_trigrams)
+            want = (-wk, "tokens", w) if w >= 0.65 else (-gk, "grams", g) if g >= 0.7 else (-wk, "weak", w) if w > 0.3 else want
+        assert got[i + 100] == want, (t, want)
+    assert {"exact", "tokens", "grams", "weak", "unmatched"} <= {s for _, s, _ in got.values()}
