@@ -139,3 +139,15 @@ def test_align_in_small_blocks_equals_brute_force(spark, monkeypatch):
             want = (-wk, "tokens", w) if w >= 0.65 else (-gk, "grams", g) if g >= 0.7 else (-wk, "weak", w) if w > 0.3 else want
         assert got[i + 100] == want, (t, want)
     assert {"exact", "tokens", "grams", "weak", "unmatched"} <= {s for _, s, _ in got.values()}
+
+
+def test_matched_texts_are_never_broadcast(spark, no_broadcast_by_size):
+    from fondaco.plans import quality
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    for told in (quality.aligned(spark, "/root/testdata/sf0.001"),):
+        within = None
+        for line in told._jdf.queryExecution().executedPlan().toString().splitlines():
+            depth = len(line) - len(line.lstrip(" :+-"))
+            within = within if within is not None and depth > within else depth if "BroadcastExchange" in line else None
+            assert within is None or "testo" not in line
