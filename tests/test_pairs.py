@@ -145,7 +145,7 @@ def test_matched_texts_are_never_broadcast(spark, no_broadcast_by_size):
     from fondaco.plans import quality
 
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
-    for told in (quality.aligned(spark, "/root/testdata/sf0.001"),):
+    for told in (quality.aligned(spark, "/root/testdata/sf0.001"), quality.sequence_ratio(spark, "/root/testdata/sf0.001")):
         within = None
         for line in told._jdf.queryExecution().executedPlan().toString().splitlines():
             depth = len(line) - len(line.lstrip(" :+-"))
