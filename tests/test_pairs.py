@@ -151,3 +151,32 @@ def test_matched_texts_are_never_broadcast(spark, no_broadcast_by_size):
             depth = len(line) - len(line.lstrip(" :+-"))
             within = within if within is not None and depth > within else depth if "BroadcastExchange" in line else None
             assert within is None or "testo" not in line
+
+
+@pytest.mark.parametrize("all_terms", [False, True])
+def test_bm25_adds_weights_in_blocks_and_writes_no_shared_rows(spark, all_terms):
+    draw = random.Random(2)
+    vocabulary = ["contratto", "danno", "tutore", "legato", "polizza", "onere", "rendita"]
+    docs = [(i, " ".join(draw.choice(vocabulary) for _ in range(draw.randrange(1, 9)))) for i in range(120)]
+    asked = [(i, " ".join(draw.sample(vocabulary, 1 + i % 3))) for i in range(12)] + [(99, "assente"), (98, None)]
+    got = ret.bm25_search(spark.createDataFrame(asked, "query_id long, text string"), spark.createDataFrame(docs, "id long, text string"), 7, all_terms=all_terms)
+    words = {i: t.split() for i, t in docs}
+    average = sum(map(len, words.values())) / len(docs)
+    want = []
+    for q, t in asked:
+        terms, scores = set((t or "").split()), []
+        for i, w in words.items():
+            held = [x for x in terms if x in w]
+            if held and (not all_terms or len(held) == len(terms)):
+                df = {x: sum(x in v for v in words.values()) for x in held}
+                scores.append((-round(sum(math.log(1 + (len(docs) - df[x] + 0.5) / (df[x] + 0.5)) * w.count(x) * 2.2 / (w.count(x) + 1.2 * (0.25 + 0.75 * len(w) / average)) for x in held), 6), i))
+        want += [(q, i, -s, r + 1) for r, (s, i) in enumerate(sorted(scores)[:7])]
+    assert len(want) > 60 and sorted(map(tuple, got.collect())) == sorted(want)
+    assert "FlatMapCoGroupsInArrow" in plan(got)
+
+
+def test_dense_search_sends_vectors_as_they_are_stored(spark):
+    rows = spark.createDataFrame([(1, "m", [1.0, 0.0]), (2, "m", [1.0, 1.0]), (3, "m", [0.0, -1.0])], "id long, part string, vec array<float>")
+    got = ret.dense_search(rows.where("id < 3").withColumnRenamed("id", "query_id"), rows)
+    assert sorted(map(tuple, got.collect())) == [(1, 1, 1.0, 1), (1, 2, 0.707107, 2), (2, 1, 0.707107, 2), (2, 2, 1.0, 1)]
+    assert "array<double>" not in plan(got)
